@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartwright.llm import archives, fingerprints
+from chartwright.llm import archives, fingerprints, privacy, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": archives.op1_warc,
+        "op2_secrets": secrets.op2_secrets,
         "op5_fingerprints": fingerprints.op5_fingerprints,
+        "op8_pii": privacy.op8_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": archives.OP1_SQL}
+    return {"op1_warc": archives.OP1_SQL, "op2_secrets": secrets.OP2_SQL}
