@@ -90,7 +90,7 @@ def disclosing(near: DataFrame, docs: DataFrame, share: float = SHARE, support:
     pairs = staged(pairs, "pairs")
     entities = near.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
     terms = staged(pairs.select("term").distinct(), "terms")
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", -1))).alias("term"))
+    words = docs.select(F.explode_outer(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", -1))).alias("term"))
     wanted = F.broadcast(terms) if terms.count() <= TERMS_BROADCAST else terms
     n_t = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     n = F.lit(float(docs.count()))

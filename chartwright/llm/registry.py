@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartwright.llm import archives, fingerprints, privacy, secrets
+from chartwright.llm import archives, decontaminate, fingerprints, packing, privacy, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": archives.op1_warc,
         "op2_secrets": secrets.op2_secrets,
         "op5_fingerprints": fingerprints.op5_fingerprints,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_pii": privacy.op8_pii,
+        "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": archives.OP1_SQL, "op2_secrets": secrets.OP2_SQL}
+    return {"op1_warc": archives.OP1_SQL, "op2_secrets": secrets.OP2_SQL, "op7_decontaminate": decontaminate.OP7_SQL}
