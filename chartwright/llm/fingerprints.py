@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 
 from chartwright.llm.common import read, staged
 
-#: Hash words of 63 bits for a paragraph; three bits go to each long of a vector.
-WORDS, SHIFTS, LANE = 2, 21, 20
+#: Hash words for a paragraph, of 60 bits each; every SHIFTS-th bit is a lane of the same long.
+WORDS, SHIFTS, LANE = 2, 20, 20
 WIDTH = WORDS * SHIFTS
 LANES = 3 * WIDTH
-#: Bits 0, 21 and 42 of a hash word, moved to the three lanes.
 LOW = (1 << LANE) - 1
+#: The lowest bit of each of a long's three lanes.
+ONES = 1 | 1 << LANE | 1 << 2 * LANE
 MODULUS = (1 << 3 * LANE) - 1
 PARAGRAPHS = r"(?<=[.!?])[\x20\t]+|[\r\n]+"
 
@@ -41,13 +42,12 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), PARAGRAPHS, -1), lambda p: p != "")
 
 
-def vector(paragraph: Column) -> list[Column]:
-    """A paragraph's vector: bit k, k+21 and k+42 of word w are lanes of long 21w+k."""
-    out = []
-    for w in range(WORDS):
-        h = F.xxhash64(F.lit(w), paragraph)
-        out += [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(1)) + F.shiftleft(F.shiftrightunsigned(h, k + SHIFTS).bitwiseAND(F.lit(1)), LANE) + F.shiftleft(F.shiftrightunsigned(h, k + 2 * SHIFTS).bitwiseAND(F.lit(1)), 2 * LANE) for k in range(SHIFTS)]
-    return out
+def _hashes(paras: Column, word: int) -> Column:
+    return F.transform(paras, lambda p: F.xxhash64(F.lit(word), p))
+
+
+def _lane_sum(hashes: Column, k: int) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ONES)), lambda a: a.bitwiseAND(F.lit(MODULUS)))
 
 
 def add_fingerprints(a: Column, b: Column) -> Column:
@@ -78,19 +78,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - total / F.lit(float(LANES)) / F.greatest(both, F.lit(1.0)))))
 
 
-def fingerprints(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """For texts with some key columns and some text columns: the keys, copies (rows with that key, which must be alike) and an array <column>_sums for each text column."""
-    def marked(c: str, i: int) -> Column:
-        mark = F.array(F.struct(F.lit(i).alias("of"), F.lit(None).cast("string").alias("p")))
-        return F.concat(mark, F.transform(paragraphs(F.col(c)), lambda p: F.struct(F.lit(i).alias("of"), p.alias("p"))))
-
-    units = texts.select(*keys, F.explode(F.concat(*(marked(c, i) for i, c in enumerate(columns)))).alias("u")).select(*keys, "u.of", "u.p")
-    real = F.col("p").isNotNull()
-    copies = F.sum((~real).cast("long"))
-    summed = units.groupBy(*keys, "of").agg(copies.alias("copies"), F.sum(real.cast("long")).alias("n"), *(F.sum(F.when(real, v)).alias(f"s{i}") for i, v in enumerate(vector(F.col("p")))))
-    each = lambda c: F.coalesce(F.expr(f"{c} div copies"), F.lit(0)).bitwiseAND(F.lit(MODULUS))
-    arrays = summed.select(*keys, "of", "copies", F.array(*(each(f"s{i}") for i in range(WIDTH)), each("n")).alias("sums"))
-    return arrays.groupBy(*keys).agg(F.max("copies").alias("copies"), *(F.max(F.when(F.col("of") == i, F.col("sums"))).alias(f"{c}_sums") for i, c in enumerate(columns)))
+def with_fingerprints(texts: DataFrame, columns: list[str]) -> DataFrame:
+    """Replaces text columns by their fingerprints, named <column>_sums. The steps are columns of their own, so that each text is split and each paragraph hashed once."""
+    keys = [c for c in texts.columns if c not in columns]
+    split = texts.select(*keys, *(paragraphs(F.col(c)).alias(c) for c in columns))
+    hashed = split.select(*keys, *(F.size(c).cast("long").alias(f"{c}_n") for c in columns), *(_hashes(F.col(c), w).alias(f"{c}_{w}") for c in columns for w in range(WORDS)))
+    return hashed.select(*keys, *(F.array(*(_lane_sum(F.col(f"{c}_{w}"), k) for w in range(WORDS) for k in range(SHIFTS)), F.col(f"{c}_n")).alias(f"{c}_sums") for c in columns))
 
 
 def neighbours(keys: DataFrame, order: list[str], carry: list[str]) -> DataFrame:
@@ -126,8 +119,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     donors = linked.select(F.col("prev_doc_id").alias("to_doc_id"), F.col("prev_h").alias("to_h"), F.expr("substring(text, 1, cast(take as int))").alias("donor")).dropDuplicates(["to_doc_id", "to_h"])
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 4 as int))"), F.col("donor"))
     both = linked.join(donors, linked["doc_id"].eqNullSafe(donors["to_doc_id"]) & (linked["h"] == donors["to_h"])).select("doc_id", "h", "n_chars", "next_doc_id", "next_h", "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
-    keys = ["doc_id", "h", "n_chars", "next_doc_id", "next_h", "edited_sha256"]
-    prints = staged(fingerprints(both, keys, ["text", "edited"]), "fingerprints")
-    after = prints.select(F.col("doc_id").alias("at_doc_id"), F.col("h").alias("at_h"), F.col("text_sums").alias("next_sums"))
+    prints = staged(with_fingerprints(both, ["text", "edited"]), "fingerprints")
+    after = prints.select(F.col("doc_id").alias("at_doc_id"), F.col("h").alias("at_h"), F.col("text_sums").alias("next_sums")).dropDuplicates(["at_doc_id", "at_h"])
     found = prints.join(after, prints["next_doc_id"].eqNullSafe(after["at_doc_id"]) & (prints["next_h"] == after["at_h"]))
-    return found.select("doc_id", "n_chars", "edited_sha256", to_text(F.col("text_sums")).alias("fingerprint"), to_text(F.col("edited_sums")).alias("edited_fingerprint"), likeness(F.col("text_sums"), F.col("edited_sums")).alias("near_edited"), likeness(F.col("text_sums"), F.col("next_sums")).alias("near_next"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_")).drop("_")
+    return found.select("doc_id", "n_chars", "edited_sha256", to_text(F.col("text_sums")).alias("fingerprint"), to_text(F.col("edited_sums")).alias("edited_fingerprint"), likeness(F.col("text_sums"), F.col("edited_sums")).alias("near_edited"), likeness(F.col("text_sums"), F.col("next_sums")).alias("near_next"))
