@@ -117,24 +117,29 @@ def knapsack(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), counts
 
 
-def patterns(demand: np.ndarray, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def patterns(demand: np.ndarray, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Columns (patterns of sizes 1..len(demand), capacity len(demand)) and how often the linear program's optimum uses each.
 
-    The primal simplex method on sum of pattern * use = demand, from patterns of one size, with the
-    inverse of the basis updated at each step; the knapsack prices the entering column.
+    The primal simplex method on sum of pattern * use = demand over the sizes that occur, from patterns
+    of one size; the inverse of the basis is updated at each step, and the knapsack prices the entering
+    column. Demands are raised by tiny distinct amounts, so that no step is empty and none repeats. It
+    ends after the given rounds at the latest, with a feasible plan.
     """
-    m = len(demand)
-    basis = np.diag([m // s for s in range(1, m + 1)]).astype(float)
-    inverse = np.diag([1.0 / (m // s) for s in range(1, m + 1)])
-    use = inverse @ demand
+    capacity, active = len(demand), np.flatnonzero(demand)
+    m = len(active)
+    most = capacity // (active + 1)
+    basis, inverse = np.diag(most.astype(float)), np.diag(1.0 / most)
+    wanted = demand[active] + np.random.default_rng(0).uniform(1e-4, 1e-3, m)
+    use, prices = inverse @ wanted, np.zeros(capacity)
     for k in range(rounds):
-        prices = inverse.sum(axis=0)
-        value, column = knapsack(np.maximum(prices, 0), m)
-        if value <= 1 + 1e-7:
+        prices[active] = np.maximum(inverse.sum(axis=0), 0)
+        value, counts = knapsack(prices, capacity)
+        if value <= 1 + 1e-6:
             break
+        column = counts[active]
         if k % 200 == 199:
             inverse = np.linalg.inv(basis)
-            use = np.maximum(inverse @ demand, 0)
+            use = np.maximum(inverse @ wanted, 0)
         d = inverse @ column
         ratio = np.where(d > 1e-9, use / np.where(d > 1e-9, d, 1), np.inf)
         out = int(np.argmin(ratio))
@@ -145,7 +150,9 @@ def patterns(demand: np.ndarray, rounds: int = 20_000) -> tuple[np.ndarray, np.n
         row = inverse[out] / d[out]
         inverse -= np.outer(d, row)
         inverse[out] = row
-    return np.rint(basis).astype(np.int64), use
+    columns = np.zeros((capacity, m), dtype=np.int64)
+    columns[active] = np.rint(basis).astype(np.int64)
+    return columns, use
 
 
 def plan(demand: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
@@ -169,7 +176,8 @@ def plan(demand: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         sequence += times
 
     for p in order:
-        if (times := int(use[p] + 1e-6)) > 0 and (columns[:, p] * times <= left).all():
+        has = columns[:, p] > 0
+        if (times := min(int(use[p] + 1e-6), int((left[has] // columns[has, p]).min()))) > 0:
             assign(columns[:, p], times)
     while left.any():  # a few items for each pattern: falling first-fit, one sequence at a time
         counts, room = np.zeros(len(demand), dtype=np.int64), len(demand)
