@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartwright.llm import archives, decontaminate, fingerprints, packing, privacy, secrets
+from chartwright.llm import archives, decontaminate, fingerprints, neardup, packing, privacy, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": archives.op1_warc,
         "op2_secrets": secrets.op2_secrets,
+        "op4_neardup": neardup.op4_neardup,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_pii": privacy.op8_pii,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": archives.OP1_SQL, "op2_secrets": secrets.OP2_SQL, "op7_decontaminate": decontaminate.OP7_SQL}
+    return {"op1_warc": archives.OP1_SQL, "op2_secrets": secrets.OP2_SQL, "op4_neardup": neardup.OP4_SQL, "op7_decontaminate": decontaminate.OP7_SQL}
