@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartwright.llm import archives, decontaminate, fingerprints, neardup, packing, privacy, secrets
+from chartwright.llm import archives, decontaminate, fingerprints, language, neardup, packing, privacy, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": archives.op1_warc,
         "op2_secrets": secrets.op2_secrets,
+        "op3_language": language.op3_language,
         "op4_neardup": neardup.op4_neardup,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op7_decontaminate": decontaminate.op7_decontaminate,
