@@ -213,8 +213,10 @@ def learned(docs: DataFrame) -> Model:
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with a language, which becomes their lang; those without a letter are rejected. All columns, in order."""
-    named = predict(docs, model, docs.columns)
-    return named.where("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names that no column of a prediction has
+    of = dict(zip(docs.columns, plain.columns, strict=True))
+    named = predict(plain, model, plain.columns, of["text"]).where("lang_pred <> 'und'")
+    return named.select(*((F.col("lang_pred") if c == "lang" else F.col(of[c])).alias(c) for c in docs.columns))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

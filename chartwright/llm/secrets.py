@@ -105,9 +105,11 @@ def with_secrets(docs: DataFrame, column: str = "text", allow: list[str] | None
 
 def redacted(docs: DataFrame, column: str = "text") -> DataFrame:
     """The documents with each secret replaced by [SECRET]; texts without one stay as they are."""
-    found = with_secrets(docs, column)
+    text = F.coalesce(F.col(column), F.lit(""))
+    found = docs.withColumn("__base", base_spans(text))
+    found = found.withColumn("__spans", F.concat("__base", *(entropy_spans(text, i) for i in range(len(CLASSES)))))
     marks = ["[SECRET]"] * (len(KINDS) + len(CLASSES))
-    return found.withColumn(column, S.replaced(F.col(column), F.col("secret_spans"), marks)).drop("secret_base", "secret_spans")
+    return found.withColumn(column, S.replaced(F.col(column), F.col("__spans"), marks)).select(*docs.columns)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
