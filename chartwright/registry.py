@@ -5,11 +5,295 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from chartwright.functions import text as X
+from chartwright.functions.grammar import HOLE, Grammar, load, stages
+from chartwright.operators import machines, parsing, ranking, repairing, scoring, typed
+from chartwright.plans import oracle, relational
+
+SESSION = """
+START -> Visit | START Visit
+Visit -> view | view Acts | signup | click | error Recover
+Acts -> click | click Acts | click purchase
+Recover -> click | view
+"""
+FUNNEL = """
+START -> Entry Exit | Entry Middle Exit
+Entry -> view | signup
+Middle -> click | click click | view click | click Middle error
+Exit -> purchase | error | click purchase
+"""
+#: Longest sentence of a funnel in completions and oracles.
+FUNNEL_MOST = 8
+FLAGS = """
+START -> Item | START Item
+Item -> AO | RO | NF | AF Pair NO | RF
+Pair -> AF | RF | Pair Pair
+"""
+TALK = """
+START -> Turns | system Turns
+Turns -> user | user assistant | user assistant Turns
+"""
+EXPRESSIONS = """
+START -> E
+E -> E + E | E * E | ( E ) | x | 1
+"""
+SPANS = {"sessions": 10, "orders": 13, "dialogues": 9}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ordered_tokens(df: DataFrame, keys: list, order: list, token) -> DataFrame:
+    """One row for each key: tokens in order."""
+    items = F.array_sort(F.collect_list(F.struct(*order, token.alias("tok"))))
+    return df.groupBy(*keys).agg(F.transform(items, lambda s: s["tok"]).alias("tokens"))
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sid, user_id, day, tokens): the types of a user's events in a day."""
+    e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "event_type")
+    rows = ordered_tokens(e, ["user_id", "day"], ["ts", "event_id"], F.col("event_type"))
+    return rows.withColumn("sid", F.concat_ws(":", F.col("user_id").cast("string"), F.col("day").cast("string")))
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    return ordered_tokens(li, [F.col("l_orderkey").cast("string").alias("sid")], ["l_linenumber", "l_partkey", "l_suppkey"], F.concat("l_returnflag", "l_linestatus"))
+
+
+def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered_tokens(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), [F.col("conv_id").cast("string").alias("sid")], ["turn"], F.col("role"))
+
+
+def session_accept(spark, sf_dir):
+    return parsing.accept(sessions(spark, sf_dir).select("sid", "tokens"), load(SESSION)).select("sid", F.size("tokens").cast("long").alias("n_tokens"), "accepted")
+
+
+def session_tree_count(spark, sf_dir):
+    return parsing.tree_counts(sessions(spark, sf_dir).select("sid", "tokens"), load(SESSION)).select("sid", F.col("n_trees").cast("string").alias("n_trees"))
+
+
+def session_active_cells(spark, sf_dir):
+    cells = parsing.cells(sessions(spark, sf_dir).select("sid", "tokens"), load(SESSION))
+    return cells.groupBy("sid", (F.col("q2") - F.col("q")).alias("span")).agg(F.count("*").alias("n_active"))
+
+
+def session_trees(spark, sf_dir):
+    return parsing.trees(sessions(spark, sf_dir).select("sid", "tokens"), load(SESSION)).select("sid", "tree")
+
+
+def session_segments(spark, sf_dir):
+    return parsing.segments(sessions(spark, sf_dir).select("sid", "tokens"), load(FUNNEL)).select("sid", "lo", "hi", "kind")
+
+
+def session_scenarios(spark, sf_dir):
+    found = parsing.scenarios(holed(sessions(spark, sf_dir)), load(FUNNEL))
+    return found.groupBy("scenario").agg(F.count("*").alias("n"))
+
+
+def session_fragments(spark, sf_dir):
+    return parsing.max_fragment(sessions(spark, sf_dir).select("sid", "tokens"), load(FUNNEL)).select("sid", "prefix", "suffix")
+
+
+def short_sessions(spark, sf_dir):
+    return sessions(spark, sf_dir).where(F.size("tokens") <= FUNNEL_MOST).select("sid", "tokens")
+
+
+def session_led(spark, sf_dir):
+    return repairing.nearest(short_sessions(spark, sf_dir), load(FUNNEL), 2).select("sid", F.col("led").cast("long").alias("led"))
+
+
+def session_repairs(spark, sf_dir, k=5):
+    return repairing.repairs(short_sessions(spark, sf_dir), load(FUNNEL), 2, 1, k)
+
+
+def session_repairs_topk(spark, sf_dir):
+    return session_repairs(spark, sf_dir).select("sid", F.col("rank").cast("long").alias("rank"), F.col("dist").cast("long").alias("dist"), F.array_join("repair", " ").alias("repair"))
+
+
+def holed(df: DataFrame) -> DataFrame:
+    return df.select("sid", F.transform("tokens", lambda t, i: F.when(i % 2 == 1, HOLE).otherwise(t)).alias("tokens"))
+
+
+def session_complete_holes(spark, sf_dir):
+    found = repairing.completions(holed(short_sessions(spark, sf_dir)), load(FUNNEL))
+    return found.select("sid", F.col("rank").cast("long").alias("rank"), F.array_join("completion", " ").alias("completion"))
+
+
+def session_suffixes(spark, sf_dir):
+    found = repairing.suffixes(short_sessions(spark, sf_dir).where(F.size("tokens") <= 3), load(FUNNEL), 5, 5)
+    return found.select("sid", F.col("rank").cast("long").alias("rank"), F.array_join("suffix", " ").alias("suffix"))
+
+
+def session_plans(spark, sf_dir):
+    """Plans for sessions whose last event is typed in part: its first letter."""
+    typed_ = short_sessions(spark, sf_dir).select("sid", F.transform("tokens", lambda t, i: F.when(i == F.size("tokens") - 1, F.substring(t, 1, 1)).otherwise(t)).alias("tokens"))
+    return repairing.plans(typed_, load(FUNNEL), 6).select("sid", "expanded", "candidates", "committed", F.array_join("forced", " ").alias("forced"), F.array_join(F.transform("branches", lambda b: b["terminal"]), " ").alias("terminals"))
+
+
+def session_samples(spark, sf_dir):
+    found = repairing.sampled(holed(short_sessions(spark, sf_dir)), load(FUNNEL), 3, 1)
+    return found.select("sid", "nth", F.array_join("word", " ").alias("word"))
+
+
+def order_flag_accept(spark, sf_dir):
+    return parsing.accept(orders(spark, sf_dir), load(FLAGS)).select("sid", F.size("tokens").cast("long").alias("n_tokens"), "accepted")
+
+
+def order_chart_joins(spark, sf_dir):
+    """The same question as order_flag_accept, by the relational closure, with counts of trees."""
+    sent, g = orders(spark, sf_dir), load(FLAGS)
+    longest = sent.agg(F.max(F.size("tokens"))).first()[0] or 1
+    found = relational.roots(relational.chart(sent, g, longest), sent, g)
+    return found.select("sid", F.col("n_trees").cast("string").alias("n_trees"))
+
+
+def dialogue_accept(spark, sf_dir):
+    return parsing.accept(dialogues(spark, sf_dir), load(TALK)).select("sid", F.size("tokens").cast("long").alias("n_tokens"), "accepted")
+
+
+TAG = r"</?(?:div|ul|li|nav|p)\b"
+
+
+def tag_balance(spark, sf_dir):
+    """Opening and closing container tags of each page, and whether none closes before it opens."""
+    tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TAG), F.lit(0))
+    steps = F.transform(tags, lambda t: F.when(t.startswith("</"), -1).otherwise(1))
+    run = F.aggregate(steps, F.struct(F.lit(0).alias("d"), F.lit(0).alias("least"), F.lit(0).alias("opened")), lambda a, s: F.struct((a["d"] + s).alias("d"), F.least(a["least"], a["d"] + s).alias("least"), (a["opened"] + F.when(s > 0, 1).otherwise(0)).alias("opened")))
+    pages = table(spark, sf_dir, "pages").select("page_id", run.alias("r"))
+    return pages.select("page_id", F.col("r.opened").cast("long").alias("n_open"), F.col("r.d").cast("long").alias("depth_left"), ((F.col("r.d") == 0) & (F.col("r.least") == 0)).alias("balanced"))
+
+
+def word_sentences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("tokens"))
+
+
+def token_ngrams4(spark, sf_dir):
+    return scoring.ngrams(word_sentences(spark, sf_dir), 4).select(F.array_join("g", " ").alias("gram"), "n")
+
+
+def ngram_cost(spark, sf_dir):
+    sent = sessions(spark, sf_dir).select("sid", "tokens")
+    return scoring.ngram_scores(sent, scoring.ngrams(sent), ["sid"])
+
+
+def automaton_cost(spark, sf_dir):
+    found = session_repairs(spark, sf_dir)
+    auto = scoring.bigram_automaton(sessions(spark, sf_dir).select("tokens"))
+    return scoring.automaton_scores(found, auto).select("sid", "rank", "dist", F.array_join("repair", " ").alias("repair"), "score")
+
+
+def prefix_sums(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("qty"))
+    found = relational.running(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "qty"], "qty")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "qty", F.col("before").cast("long").alias("before"))
+
+
+KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+def edit_distance(spark, sf_dir):
+    """Distance of each session from the same user's one before."""
+    s = sessions(spark, sf_dir).withColumn("last", F.lag("tokens").over(W.partitionBy("user_id").orderBy("day"))).where(F.col("last").isNotNull())
+    return s.select("sid", X.token_distance(F.col("last"), F.col("tokens"), KINDS).cast("long").alias("dist"))
+
+
+def edit_signature_dedup(spark, sf_dir):
+    found = session_repairs(spark, sf_dir, 10)
+    kept = ranking.one_for_signature(found, ["sid"], "tokens", "repair", [F.col("rank")])
+    return kept.select("sid", "rank", "dist", F.array_join("repair", " ").alias("repair"), "signature")
+
+
+def fair_merge(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    placed = e.withColumn("place", F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("event_id")))
+    return ranking.fair_merge(placed, ["user_id"], "event_type", "place", 10).select("user_id", "event_type", "event_id", F.col("merged").cast("long").alias("merged"))
+
+
+GRAMMARS = {"session": SESSION, "funnel": FUNNEL, "flags": FLAGS, "talk": TALK, "expressions": EXPRESSIONS}
+
+
+def grammar_stats(spark, sf_dir):
+    rows = [(name, *r) for name, g in GRAMMARS.items() for r in stages(g)]
+    return spark.createDataFrame(rows, "name string, form string, nonterminals long, terminals long, productions long")
+
+
+def matrix_square(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    m = li.groupBy((F.col("l_partkey") % 60).alias("r"), (F.col("l_suppkey") % 60).alias("c")).agg(F.count("*").alias("v"))
+    return relational.matrix_square(m)
+
+
+def programs(spark, sf_dir):
+    """A countdown for each part, from its size; parts of size 13 don't end before the step limit."""
+    m = machines
+    word = lambda op, arg: (F.shiftleft(arg, m.OPCODE) + op).cast("int")
+    n = F.when(F.col("p_size") == 13, F.lit(1 << 20)).otherwise(F.col("p_size")).cast("int")
+    code = F.array(word(m.LOD, n), word(m.STO, F.lit(100)), word(m.PRI, F.lit(100)), word(m.LOD, F.lit(m.WORD)), word(m.ADD, F.lit(100)), word(m.STO, F.lit(100)), word(m.BNZ, F.lit(3)))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vid"), "p_size", code.alias("program"))
+
+
+def rasp_histogram(spark, sf_dir):
+    return machines.histogram(machines.run(programs(spark, sf_dir), 5000), 5000, 50)
+
+
+def typed_expressions(spark, sf_dir):
+    values = spark.createDataFrame([("name", "String"), ("count", "Int")], "name string, type string")
+    fns = spark.createDataFrame([("hello", [], "String"), ("greet", ["String"], "String"), ("size", ["String"], "Int"), ("join", ["Any", "Any"], "String")], "name string, params array<string>, ret string")
+    members = spark.createDataFrame([("String", "length", None, "Int"), ("Int", "plus", ["Int"], "Int")], "owner string, name string, params array<string>, ret string")
+    subtypes = spark.createDataFrame([("String", "Any"), ("Int", "Any")], "sub string, sup string")
+    return typed.expressions(values, fns, members, subtypes, 6).withColumn("len", F.col("len").cast("long"))
+
+
+_QUERIES = [session_accept, session_tree_count, session_active_cells, session_trees, session_segments, session_scenarios, session_fragments, session_led, session_repairs_topk, session_complete_holes, session_suffixes, session_plans, session_samples, order_flag_accept, order_chart_joins, dialogue_accept, tag_balance, token_ngrams4, ngram_cost, automaton_cost, prefix_sums, edit_distance, edit_signature_dedup, fair_merge, grammar_stats, matrix_square, rasp_histogram, typed_expressions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    words = oracle.language(load(FUNNEL), FUNNEL_MOST + 2)
+    near = oracle.near_ctes(oracle.SESSIONS, words, KINDS, FUNNEL_MOST, 2)
+    code = " ".join(f"WHEN '{t}' THEN '{chr(65 + i)}'" for i, t in enumerate(KINDS))
+    listed = oracle.values([(" ".join(w), "".join(chr(65 + KINDS.index(t)) for t in w), len(w)) for w in words], "word, code, len")
+    short = f"tok AS ({oracle.SESSIONS}), said AS (SELECT sid, string_agg(CASE tok {code} END, '' ORDER BY q) AS code, count(*) AS n FROM tok GROUP BY sid HAVING count(*) <= {FUNNEL_MOST})"
+    stats = oracle.values([(name, *r) for name, g in GRAMMARS.items() for r in stages(g)], "name, form, nonterminals, terminals, productions")
+    framed = f"tok AS ({oracle.SESSIONS}), f AS (SELECT sid, ['BOS', 'NEWLINE'] || list(tok ORDER BY q) || ['NEWLINE', 'EOS'] AS w FROM tok GROUP BY sid), r AS (SELECT sid, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) AS g FROM f), c AS (SELECT g, count(*) AS n FROM r GROUP BY g), t AS (SELECT sum(n) AS total FROM c)"
+    return {
+        "session_accept": oracle.accept_sql(oracle.SESSIONS, load(SESSION), SPANS["sessions"]),
+        "session_tree_count": oracle.count_sql(oracle.SESSIONS, load(SESSION), SPANS["sessions"]),
+        "session_active_cells": oracle.cells_sql(oracle.SESSIONS, load(SESSION), SPANS["sessions"]),
+        "session_led": near + "\nSELECT sid, min(dist) AS led FROM near GROUP BY sid",
+        "session_repairs_topk": near + """, m AS (SELECT *, min(dist) OVER (PARTITION BY sid) AS least FROM near),
+r AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY dist, len, word) AS rank, dist, word AS repair FROM m WHERE dist <= least + 1)
+SELECT * FROM r WHERE rank <= 5""",
+        "session_complete_holes": f"WITH {short}, words AS (SELECT * FROM {listed}), p AS (SELECT sid, n, regexp_replace(code, '(.).', '\\1_', 'g') AS pat FROM said), "
+        "r AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY word) AS rank, word AS completion FROM p JOIN words ON len = n AND words.code LIKE pat) SELECT * FROM r WHERE rank <= 29",
+        "session_suffixes": f"WITH {short}, words AS (SELECT * FROM {listed}), r AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY len, word) AS rank, array_to_string(string_split(word, ' ')[CAST(n + 1 AS INT):], ' ') AS suffix "
+        "FROM said JOIN words ON starts_with(words.code, said.code) AND len BETWEEN n AND n + 5 WHERE n <= 3) SELECT * FROM r WHERE rank <= 5",
+        "order_flag_accept": oracle.accept_sql(oracle.ORDERS, load(FLAGS), SPANS["orders"]),
+        "order_chart_joins": oracle.count_sql(oracle.ORDERS, load(FLAGS), SPANS["orders"]),
+        "dialogue_accept": oracle.accept_sql(oracle.DIALOGUES, load(TALK), SPANS["dialogues"]),
+        "tag_balance": r"""WITH t AS (SELECT page_id, list_transform(regexp_extract_all(coalesce(html, ''), '</?(?:div|ul|li|nav|p)\b'), lambda x: CASE WHEN starts_with(x, '</') THEN -1 ELSE 1 END) AS s FROM pages)
+SELECT page_id, CAST(len(list_filter(s, lambda x: x > 0)) AS BIGINT) AS n_open, CAST(coalesce(list_sum(s), 0) AS BIGINT) AS depth_left,
+  coalesce(list_sum(s), 0) = 0 AND coalesce(list_min(list_transform(range(1, len(s) + 1), lambda i: list_sum(s[1:i]))), 0) >= 0 AS balanced FROM t""",
+        "token_ngrams4": r"""WITH d AS (SELECT list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+f AS (SELECT ['BOS', 'NEWLINE'] || w || ['NEWLINE', 'EOS'] AS w FROM d), r AS (SELECT unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) AS gram FROM f)
+SELECT gram, count(*) AS n FROM r GROUP BY gram""",
+        "ngram_cost": f"WITH {framed} SELECT sid, CAST(sum(greatest(0, floor(-ln(n / total) * 10000 + 0.5))) AS BIGINT) AS score FROM r JOIN c USING (g), t GROUP BY sid",
+        "prefix_sums": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS qty, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM lineitem",
+        "edit_distance": f"WITH tok AS ({oracle.SESSIONS}), said AS (SELECT sid, string_agg(CASE tok {code} END, '' ORDER BY q) AS code FROM tok GROUP BY sid), "
+        "l AS (SELECT sid, code, lag(code) OVER (PARTITION BY split_part(sid, ':', 1) ORDER BY split_part(sid, ':', 2)) AS last FROM said) SELECT sid, levenshtein(last, code) AS dist FROM l WHERE last IS NOT NULL",
+        "fair_merge": "WITH p AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS place FROM events), m AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY place, event_type) AS merged FROM p) SELECT * FROM m WHERE merged <= 10",
+        "grammar_stats": f"SELECT name, form, CAST(nonterminals AS BIGINT) AS nonterminals, CAST(terminals AS BIGINT) AS terminals, CAST(productions AS BIGINT) AS productions FROM {stats}",
+        "matrix_square": "WITH m AS (SELECT l_partkey % 60 AS r, l_suppkey % 60 AS c, count(*) AS v FROM lineitem GROUP BY ALL) SELECT a.r, b.c, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM m a JOIN m b ON a.c = b.r GROUP BY ALL",
+    }
+
+
+def grammar(name: str) -> Grammar:
+    return load(GRAMMARS[name])
