@@ -174,3 +174,10 @@ def stages(text: str, epsilons: bool = False, stubs: bool = False) -> list[tuple
     left = {a for a, _ in rules}
     right = {x for _, r in rules for x in r}
     return [("original", len(left), len(right - left), len(rules)), ("normal", *normal_form(rules, epsilons, stubs).size())]
+
+
+def meta_grammar(names: Iterable[str]) -> Grammar:
+    """A grammar of grammar lines over given symbols: a nonterminal, an arrow, alternatives of symbols. START stands as [START]."""
+    symbols = sorted({f"[{START}]" if x == START else x for x in names} - {ARROW, BAR})
+    rules: list[Rule] = [(START, ("Symbol", "Right")), ("Right", (ARROW, "Body")), ("Body", ("Body", BAR, "Body")), ("Body", ("Symbol", "Body")), ("Body", ("Symbol",))]
+    return normal_form([*rules, *(("Symbol", (x,)) for x in symbols)])

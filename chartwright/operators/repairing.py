@@ -187,3 +187,48 @@ def plans(sentences: DataFrame, grammar: Grammar, most: int = 20) -> DataFrame:
         return [(*got[:4], [{"terminal": w, "tokens": ts, "suffix_lengths": ls} for w, ts, ls in got[4]])] if got else []
 
     return per_sentence(sentences, grammar, one, PLAN)
+
+
+def frontier(t: C.Tables, chart: C.Chart, q: int, width: int, k: int, most: int = 264) -> list[tuple[str, ...]]:
+    """Strings of a root by leftmost derivation: states are what is emitted and a stack of cells still to derive.
+
+    While there are at most width states all are kept; beyond it those that emitted least, then by their
+    tokens, so that a run is repeatable. Ends after most steps, or with k finished strings.
+    """
+    states: list[tuple[tuple[str, ...], tuple[tuple[int, int, int], ...]]] = [((), ((0, q, t.ids[START]),))]
+    done: dict[tuple[str, ...], None] = {}
+    for _ in range(most):
+        grown = set()
+        for out, stack in states:
+            (p, r, a), rest = stack[0], stack[1:]
+            for token in chart.leaf_tokens(p, r, a):
+                if rest:
+                    grown.add(((*out, token), rest))
+                else:
+                    done[(*out, token)] = None
+            grown.update((out, ((p, m, b), (m, r, c), *rest)) for m, b, c in chart.backs(p, r, a))
+        states = sorted(grown, key=lambda s: (len(s[0]) + len(s[1]), s))[:width]
+        if not states or len(done) >= k:
+            break
+    return sorted(done, key=lambda s: (len(s), s))[:k]
+
+
+def beam(sentences: DataFrame, grammar: Grammar, width: int = 2000, k: int = TOP) -> DataFrame:
+    """Completions by a bounded frontier instead of whole cells: rank, completion. All of them while the frontier fits its width."""
+
+    def one(t: C.Tables, tokens: list[str]) -> list[tuple]:
+        chart = C.line_chart(t, tokens)
+        return [(i + 1, list(s)) for i, s in enumerate(frontier(t, chart, len(tokens), width, k))] if chart.has(0, len(tokens)) else []
+
+    return per_sentence(sentences, grammar, one, "rank int, completion array<string>")
+
+
+def yield_bounds(sentences: DataFrame, grammar: Grammar) -> DataFrame:
+    """The lexicographically least and greatest completion of each sentence: least, greatest."""
+
+    def one(t: C.Tables, tokens: list[str]) -> list[tuple]:
+        chart = C.line_chart(t, tokens)
+        n = len(tokens)
+        return [(list(chart.best(0, n, t.ids[START], 1)[0]), list(greatest(chart, n)))] if chart.has(0, n) else []
+
+    return per_sentence(sentences, grammar, one, "least array<string>, greatest array<string>")

@@ -121,3 +121,20 @@ def test_completion_plans():
     got = plan_of("START -> begin Table x | begin Target y | begin Task z | begin Tail w | end Toe v", "begin T")
     assert got[0] == "Ta" and got[1] == 4 and len(got[4]) == 3
     assert [b[2] for b in plan_of("START -> begin Table x | begin Target y z", "begin Ta")[4]] == [[1], [2]]
+
+
+def test_frontier_finds_what_cells_do():
+    from chartwright.operators.repairing import frontier
+
+    t = C.Tables(load("START -> a b | a START b | c | START START"))
+    chart = C.line_chart(t, ["_"] * 4)
+    assert set(frontier(t, chart, 4, 10_000, 10_000)) == set(chart.best(0, 4, t.ids[START], 10_000))
+    assert len(frontier(t, chart, 4, 3, 2)) <= 2
+
+
+def test_meta_grammar():
+    from chartwright.functions.grammar import meta_grammar
+
+    t = C.Tables(meta_grammar(["A", "b", "START"]))
+    for line, ok in (("A -> b | A b", True), ("[START] -> A", True), ("A ->", False), ("-> b", False), ("A b", False)):
+        assert C.line_chart(t, line.split()).has(0, len(line.split())) == ok
