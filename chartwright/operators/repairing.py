@@ -14,6 +14,13 @@ from chartwright.operators.runner import per_sentence
 TOP = 29
 
 
+def widest(radius: int) -> int:
+    """Greatest number of tokens of a sentence to repair: its automaton's width, height and ten more fit the bound."""
+    if not 0 <= radius <= C.MAX_RADIUS:
+        raise ValueError(f"the radius is 0 to {C.MAX_RADIUS}")
+    return C.MAX_WIDTH - radius - 12
+
+
 def nearest(sentences: DataFrame, grammar: Grammar, radius: int = 2) -> DataFrame:
     """Sentences with some string of the language within the radius: led, its distance, and n_derivations of all at that state."""
 
@@ -21,7 +28,7 @@ def nearest(sentences: DataFrame, grammar: Grammar, radius: int = 2) -> DataFram
         chart, roots = C.edit_roots(t, tokens, radius)
         return [(roots[0][1], str(sum(chart.size(0, k, t.ids[START]) for k, d in roots if d == roots[0][1])))] if roots else []
 
-    return per_sentence(sentences, grammar, one, "led int, n_derivations string")
+    return per_sentence(sentences, grammar, one, "led int, n_derivations string", most=widest(radius))
 
 
 def repaired(t: C.Tables, tokens: list[str], radius: int, buffer: int, k: int) -> list[tuple[int, tuple[str, ...]]]:
@@ -40,7 +47,7 @@ def repairs(sentences: DataFrame, grammar: Grammar, radius: int = 2, buffer: int
     def one(t: C.Tables, tokens: list[str]) -> list[tuple]:
         return [(i + 1, d, list(s)) for i, (d, s) in enumerate(repaired(t, tokens, radius, buffer, k))]
 
-    return per_sentence(sentences, grammar, one, "rank int, dist int, repair array<string>")
+    return per_sentence(sentences, grammar, one, "rank int, dist int, repair array<string>", most=widest(radius))
 
 
 def completions(sentences: DataFrame, grammar: Grammar, k: int = TOP) -> DataFrame:

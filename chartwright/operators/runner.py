@@ -13,17 +13,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartwright.functions.chart import MAX_WIDTH, Tables
+from chartwright.functions.chart import Tables
 from chartwright.functions.grammar import Grammar
 
 
-def distinct_sentences(sentences: DataFrame) -> DataFrame:
-    """Distinct non-empty token arrays, as column tokens."""
-    return sentences.where((F.size("tokens") > 0) & (F.size("tokens") <= MAX_WIDTH)).groupBy("tokens").agg(F.lit(1).alias("_")).drop("_")
+def distinct_sentences(sentences: DataFrame, most: int | None = None) -> DataFrame:
+    """Distinct token arrays of 1 to most tokens, as column tokens."""
+    fits = (F.size("tokens") > 0) if most is None else F.size("tokens").between(1, most)
+    return sentences.where(fits).groupBy("tokens").agg(F.lit(1).alias("_")).drop("_")
 
 
-def per_sentence(sentences: DataFrame, grammar: Grammar, fn: Callable[[Tables, list[str]], list[tuple]], schema: str, how: str = "inner") -> DataFrame:
-    """Adds the columns of schema to each sentence, a row for each row that fn returns. Sentences that are empty or too long have none."""
+def per_sentence(sentences: DataFrame, grammar: Grammar, fn: Callable[[Tables, list[str]], list[tuple]], schema: str, how: str = "inner", most: int | None = None) -> DataFrame:
+    """Adds the columns of schema to each sentence, a row for each row that fn returns. Sentences that are empty or have over most tokens have none."""
     names = [c.split()[0] for c in schema.split(", ")]  # nested types have no blank after a comma
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,5 +33,5 @@ def per_sentence(sentences: DataFrame, grammar: Grammar, fn: Callable[[Tables, l
             rows = [(tokens, *r) for tokens in map(list, pdf["tokens"]) for r in fn(tables, tokens)]
             yield pd.DataFrame(rows, columns=["tokens", *names])
 
-    found = distinct_sentences(sentences).mapInPandas(go, f"tokens array<string>, {schema}")
+    found = distinct_sentences(sentences, most).mapInPandas(go, f"tokens array<string>, {schema}")
     return sentences.join(found, "tokens", how)

@@ -79,9 +79,11 @@ def automaton_scores(df: DataFrame, automaton: Automaton, tokens: str = "repair"
     return df.withColumn("score", score(F.col(tokens), F.col(dist)))
 
 
-def bigram_automaton(sentences: DataFrame) -> Automaton:
-    """An automaton with a state for each token, from the bigrams of sentences; as many edges as distinct bigrams."""
-    rows = ngrams(sentences, 2).collect()
+def bigram_automaton(sentences: DataFrame, most: int = 1_000_000) -> Automaton:
+    """An automaton with a state for each token, from the bigrams of sentences; an edge for each distinct bigram, an error if there are over `most`."""
+    rows = ngrams(sentences, 2).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} different bigrams")
     total: dict[str, int] = {}
     for r in rows:
         total[r["g"][0]] = total.get(r["g"][0], 0) + r["n"]
