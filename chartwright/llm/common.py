@@ -50,6 +50,21 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns a Python worker's free memory to the system; workers are used again, and would keep the most that any task of theirs has needed."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def crc_bucket(doc_id: Column, buckets: int) -> Column:
     """crc32 of the id as text, modulo buckets; 0 for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(buckets)), F.lit(0)).cast("int")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartwright.llm.common import crc_bucket, read, staged
+from chartwright.llm.common import crc_bucket, give_back, read, staged
 
 DEPTH, CONTEXTS, WORDS = 4, 1 << 13, 1 << 18
 #: Words held by a task before it passes their counts on; bytes counted at once.
@@ -109,6 +109,8 @@ def counted(docs: DataFrame) -> DataFrame:
         for k in range(0, len(grams[0]), 100_000):
             part = slice(k, k + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(grams[0][part].astype(np.int64)), pa.nulls(len(grams[0][part]), pa.binary()), pa.array(grams[1][part])], names)
+        words, grams = Counter(), (grams[0][:0], grams[1][:0])
+        give_back()
 
     rows = docs.select("text").mapInArrow(count, "gram long, word binary, n long")
     return rows.groupBy("gram", "word").agg(F.sum("n").alias("n"))
@@ -203,7 +205,7 @@ def tree(counts: DataFrame, contexts: int = CONTEXTS) -> Tree:
     each = F.array(*(F.struct(F.lit(d).alias("d"), F.col("gram").bitwiseAND(F.lit(m)).alias("k")) for d, m in enumerate(masks)))
     grams = staged(counts.where(F.col("gram").isNotNull()).select(F.explode(each).alias("e"), "n").groupBy("e.d", "e.k").agg(F.sum("n").alias("n")), "grams")
     total = grams.where("d = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    nodes = grams.groupBy("d", F.shiftright("k", 8).alias("c")).agg(F.sum("n").alias("all")).where(F.col("all") * contexts >= total).select("d", "c")
+    nodes = grams.groupBy("d", F.shiftright("k", 8).alias("c")).agg(F.sum("n").alias("all")).where(F.col("all") >= F.lit(total / contexts)).select("d", "c")
     found = grams.withColumn("c", F.shiftright("k", 8)).join(F.broadcast(nodes), ["d", "c"], "left_semi").select("d", "k", "n").toArrow()
     ds, ks, ns = (found.column(c).to_numpy() for c in ("d", "k", "n"))
     levels = []
@@ -225,7 +227,7 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     words = counts.where(F.col("word").isNotNull()).select("word", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor = total + 0.5 * (distinct + 1)
-    frequent = {bytes(r[0]): int(r[1]) for r in words.where(F.col("n") * WORDS >= F.lit(total)).collect()}
+    frequent = {bytes(r[0]): int(r[1]) for r in words.where(F.col("n") >= F.lit(total / WORDS)).collect()}
     logs = {w: float(np.log10((c + 0.5) / floor)) for w, c in frequent.items()}
     shared = spark.sparkContext.broadcast((tree(counts), logs))
 
@@ -250,7 +252,7 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(go, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
     terms = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
     c = F.coalesce(F.col("n"), F.lit(0))
-    rarer = words.where(F.col("n") * WORDS < F.lit(total))
+    rarer = words.where(F.col("n") < F.lit(total / WORDS))
     more = terms.join(rarer, "word", "left").groupBy("row").agg(F.sum(F.col("k") * F.log10((c + 0.5) / F.lit(floor))).alias("more"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("seen"))
     return rows.join(more, "row", "left").select("doc_id", "n_tokens", (F.col("hits") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
 
