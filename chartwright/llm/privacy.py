@@ -86,18 +86,21 @@ def near_terms(text: Column, base: Column) -> Column:
 
 def disclosing(near: DataFrame, docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
     """Rows (entity, term) whose disclosure reaches the share. near: rows with an array near; docs: rows with text, all of the corpus."""
+    n = float(docs.count())
     pairs = near.select(F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    pairs = staged(pairs, "pairs")
     entities = near.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    beside = near.select(F.explode(F.array_distinct(F.transform("near", lambda t: t["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    # the share is reached while n_t <= n_et (n / n_e)^(1 - share); a term's documents with it near any entity are some of its n_t
+    most = F.col("n_et") * F.pow(F.lit(n) / F.col("n_e"), F.lit(1 - share)) * (1 + 1e-9)
+    pairs = staged(pairs.join(entities, "entity").join(beside, "term").where(F.col("n_near") <= most), "pairs")
     terms = staged(pairs.select("term").distinct(), "terms")
     words = docs.select(F.explode_outer(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", -1))).alias("term"))
     wanted = F.broadcast(terms) if terms.count() <= TERMS_BROADCAST else terms
     n_t = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.lit(float(docs.count()))
-    known = pairs.join(entities, "entity").join(n_t, "term")
-    own = F.log2(n / F.col("n_e"))
-    mutual = F.log2(n * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et").cast("double")))
-    return known.where(mutual >= own * share).select("entity", "term")
+    known = pairs.join(n_t, "term")
+    own = F.log2(F.lit(n) / F.col("n_e"))
+    mutual = F.log2(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et").cast("double")))
+    return known.where(mutual >= own * share - 1e-9).select("entity", "term")
 
 
 def sanitised(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
