@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartwright.llm.common import connected_components, read, staged
+from chartwright.llm.common import connected_components, give_back, read, staged
 
 WORDS, SIMILAR = 5, 85
 COORDS, TREES, DEPTH, LEAF = 128, 16, 3, 1500
@@ -85,22 +85,35 @@ def minwise(s: np.ndarray) -> np.ndarray:
     return (mixed(out) >> np.uint64(32)).astype(np.uint32)
 
 
-def children(tokens: np.ndarray, node: np.uint64) -> np.ndarray:
-    """The children of a node that a record goes to."""
-    at = mixed(mixed(np.arange(1, COORDS + 1, dtype=np.uint64) * _GOLD + tokens.astype(np.uint64)) ^ node)
-    bar = np.uint64(int(2**64 / (SIMILAR / 100 * COORDS)))
-    return mixed(at[at < bar] + _GOLD)
+def children(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The children that records (rows of tokens) go to, from their nodes (a row of nodes for each record): the records' numbers and the children."""
+    own = mixed(np.arange(1, COORDS + 1, dtype=np.uint64)[None, :] * _GOLD + tokens.astype(np.uint64))
+    at = mixed(own[:, None, :] ^ nodes[:, :, None])
+    record, tree, coordinate = np.nonzero(at < np.uint64(int(2**64 / (SIMILAR / 100 * COORDS))))
+    return record, mixed(at[record, tree, coordinate] + _GOLD)
+
+
+def equal_tokens(tokens: np.ndarray, columns: np.ndarray, i: int, lo: int) -> np.ndarray:
+    """How many of its tokens record i has in common with each from lo on; columns is tokens transposed, for many records."""
+    if len(tokens) - lo < 100:
+        return (tokens[lo:] == tokens[i]).sum(axis=1)
+    same = np.zeros(len(tokens) - lo, dtype=np.uint8)
+    for c in columns:
+        same += c[lo:] == c[i]
+    return same
 
 
 def records(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_shingles, digest, tokens): tokens is the minwise tokens' bytes, null for an empty set."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             sets = [shingles(t) for t in b.column("text").to_pylist()]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             tokens = [minwise(s).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "n_shingles", "digest", "tokens"])
+            del sets, digests, tokens
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, n_shingles long, digest binary, tokens binary")
 
@@ -109,15 +122,14 @@ def _branch(rows: DataFrame, first: bool) -> DataFrame:
     """Rows (id, node, tokens) to rows (id, node) of the next level; the first level starts all trees."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, nodes = [], []
-            starts = [None] * b.num_rows if first else b.column("node").to_pylist()
-            for i, t, node in zip(b.column("id").to_pylist(), b.column("tokens").to_pylist(), starts, strict=True):
-                tokens = np.frombuffer(t, dtype=np.uint32)
-                got = np.concatenate([children(tokens, x) for x in _TREE]) if first else children(tokens, np.int64(node).astype(np.uint64))
-                ids += [i] * len(got)
-                nodes.append(got)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(nodes or [np.zeros(0, np.uint64)]).view(np.int64), pa.int64())], ["id", "node"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 128):
+                b = whole.slice(k, 128)
+                ids = b.column("id").to_numpy(zero_copy_only=False)
+                tokens = np.frombuffer(b"".join(b.column("tokens").to_pylist()), dtype=np.uint32).reshape(-1, COORDS)
+                nodes = np.broadcast_to(_TREE, (len(ids), TREES)) if first else b.column("node").to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
+                record, got = children(tokens, nodes)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[record], pa.int64()), pa.array(got.view(np.int64), pa.int64())], ["id", "node"])
 
     return rows.mapInArrow(go, "id long, node long")
 
@@ -149,9 +161,7 @@ def spanning(ids: np.ndarray, tokens: np.ndarray, split: int = 0) -> list[tuple[
         lo = split or i + 1
         if lo >= n:
             break
-        same = np.zeros(n - lo, dtype=np.uint8)
-        for c in columns:
-            same += c[lo:] == c[i]
+        same = equal_tokens(tokens, columns, i, lo)
         for j in np.flatnonzero(same >= least) + lo:
             if forest.join(i, int(j)):
                 out.append((int(ids[i]), int(ids[j])))
@@ -219,9 +229,7 @@ def _exact(pdf: pd.DataFrame) -> pd.DataFrame:
             lo = int((sides == 0).sum())
         if lo >= len(ids):
             break
-        same = np.zeros(len(ids) - lo, dtype=np.uint8)
-        for c in columns:
-            same += c[lo:] == c[i]
+        same = equal_tokens(tokens, columns, i, lo)
         near = np.flatnonzero((same >= least) & (100 * np.minimum(n[lo:], n[i]) >= SIMILAR * np.maximum(n[lo:], n[i])))
         for j in near[np.argsort(-same[near].astype(int), kind="stable")] + lo:
             j = int(j)
