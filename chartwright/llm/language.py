@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chartwright.llm.common import crc_bucket, read
+from chartwright.llm.common import crc_bucket, give_back, read
 
 SAMPLE, BUCKETS, GRAM, SWITCH = 1500, 1 << 16, 4, 6.0
-KNOWN = 150_000
+KNOWN = 60_000
 #: First code points of scripts' ranges, and the scripts (0 other, 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian, 5 Hebrew, 6 Arabic, 7 Indic, 8 Thai and Lao, 9 Tibetan to Georgian, 10 Hangul, 11 Kana, 12 Han).
 RANGE_STARTS = np.array([0, 0x41, 0x250, 0x370, 0x400, 0x530, 0x590, 0x600, 0x780, 0x900, 0xE00, 0xF00, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00])
 RANGE_SCRIPTS = np.array([0, 1, 1, 2, 3, 4, 5, 6, 0, 7, 8, 9, 10, 0, 1, 2, 0, 11, 10, 12, 0, 10, 0, 12, 0])
@@ -160,8 +160,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str], column: str = "text"
         table = np.zeros((0, len(langs)), dtype=np.float32)
         sizes = np.zeros(0, dtype=np.int64)
         for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                b = whole.slice(k, 2000)
+            for k in range(0, whole.num_rows, 1000):
+                b = whole.slice(k, 1000)
                 split = [(t or "").split() for t in b.column(column).to_pylist()]
                 if len(number) > KNOWN:
                     number, table, sizes = {}, table[:0], sizes[:0]
@@ -175,6 +175,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str], column: str = "text"
                 ids = np.fromiter((number[w] for ws in split for w in ws), np.int64, int(lengths.sum())) if langs else np.zeros(0, np.int64)
                 got = _labelled(ids, lengths, table, sizes, langs)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *got], [*keep, "lang_pred", "score", "spans"])
+                del split, ids, got
+        del number, table
+        give_back()
 
     return docs.select(*dict.fromkeys([*keep, column])).mapInArrow(label, schema)
 
