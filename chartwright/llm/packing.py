@@ -28,52 +28,81 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chartwright.llm.common import read, staged
+from chartwright.llm.common import give_back, read, staged
 
 LENGTH, UNIT, END, SHARDS = 4096, 16, 2, 64
-#: Words whose ids a task keeps at hand; beyond it the oldest table is dropped and made anew.
-KNOWN = 200_000
+#: Words of a generation whose ids a task keeps at hand.
+KNOWN = 80_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordTokens:
-    """Ids of whole texts from a tokenizer that treats blanks as bounds, by its ids of blank-separated words."""
+    """Ids of whole texts from a tokenizer that treats blanks as bounds and lower-cases, by its ids of blank-separated words.
+
+    Words are kept in two generations: when the young one is full it becomes the old one, and words
+    used again move back, so frequent words are encoded once.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def learn(self, words: list[str]) -> None:
+    def encode(self, words: list[str]) -> None:
         """Encodes new words, joined by blanks, and tells them apart by the ids' places in the joined text."""
-        if len(self.known) + len(words) > KNOWN + len(words):
-            self.known = {"": b""}
         for k in range(0, len(words), 2000):
             part = words[k : k + 2000]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(found.ids, dtype="<u4")
             starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
             lengths = np.fromiter(map(len, part), np.int64, len(part))
-            bounds = np.concatenate(([0], np.cumsum(lengths + 1)))
-            at = np.searchsorted(starts, bounds)
-            for i, w in enumerate(part):
-                self.known[w] = ids[at[i] : at[i + 1]].tobytes()
+            at = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths + 1)))).tolist()
+            data = ids.tobytes()
+            self.young.update((w, data[4 * at[i] : 4 * at[i + 1]]) for i, w in enumerate(part))
+
+    def learn(self, words: set[str]) -> None:
+        """Sees to it that the young generation has the words. A word's closing punctuation after a letter is a token run of its own, so both parts' ids are put together."""
+        if len(self.young) > KNOWN:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new, cut = set(), []
+        for w in words:
+            if w in young:
+                continue
+            if w in old:
+                young[w] = old[w]
+                continue
+            stem = w.rstrip(".,;:!?")
+            if stem and len(stem) < len(w) and stem[-1].isalpha():
+                end = w[len(stem) :]
+                cut.append((w, stem, end))
+                for x in (stem, end):
+                    if x not in young:
+                        if x in old:
+                            young[x] = old[x]
+                        else:
+                            new.add(x)
+            else:
+                new.add(w)
+        self.encode(list(new))
+        young.update((w, young[stem] + young[end]) for w, stem, end in cut)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > KNOWN:
-            self.known = {"": b""}
-        known = self.known
-        new = {w for ws in split for w in ws if w not in known}
-        if new:
-            self.learn(list(new))
-            known = self.known
+        # ASCII letters alone are lower-cased here, and none where that could make a special token's string
+        low = [t if "<|" in t else t.translate(_LOWER) for t in texts]
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in low]
+        self.learn({w for ws in split for w in ws})
+        known = self.young
         return [b"".join([known[w] for w in ws]) for ws in split]
 
 
+_LOWER = {a: a + 32 for a in range(65, 91)}
+
+
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """Rows (PIECES) of each document's ids and its end token, cut into full pieces and a rest."""
 
@@ -82,8 +111,8 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
         stop = np.array([end], dtype="<u4").tobytes()
         names = [c.split()[0] for c in PIECES.split(", ")]
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
+            for k in range(0, b.num_rows, 250):
+                part = b.slice(k, 250)
                 rows = []
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.ids([t or "" for t in part.column("text").to_pylist()]), strict=True):
                     ids += stop
@@ -92,6 +121,8 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
                         p = ids[4 * s : 4 * (s + length)]
                         rows.append((doc_id, s, len(p) // 4, zlib.crc32(p), n))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+        del words
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
