@@ -171,6 +171,28 @@ def test_context_tree_against_the_definition(spark):
     assert np.allclose((10.0 ** tree.table.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+@pytest.mark.parametrize("grams", [1 << 20, 3])
+def test_scores_of_rare_contexts(spark, monkeypatch, grams):
+    monkeypatch.setattr(scoring, "GRAMS", grams)  # 3: most n-grams go through the join
+    monkeypatch.setattr(scoring, "WEIGHTED", 5)
+    train = ["ab" * 6000, "xyzxyw"]  # contexts of the second are rarer than 1 in 8,192
+    counts = {}
+    for t in train:
+        s = bytes(scoring.DEPTH) + t.encode() + b"\0"
+        for i in range(scoring.DEPTH, len(s)):
+            for d in range(scoring.DEPTH + 1):
+                c = counts.setdefault(s[i - d : i], {})
+                c[s[i]] = c.get(s[i], 0) + 1
+    test = ["xyzxyw", "abab", "xyq", "", "éxyw"]
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in scoring.score(frame(test), frame(train)).collect()}
+    tree = scoring.tree(scoring.counted(frame(train)))
+    for i, t in enumerate(test):
+        s = bytes(scoring.DEPTH) + t.encode() + b"\0"
+        want = sum(math.log10(by_recursion(counts, scoring.DEPTH, s[k - scoring.DEPTH : k], s[k])) for k in range(scoring.DEPTH, len(s)))
+        assert abs(got[i] - want) < 1e-6 and abs(tree.scores([t.encode()])[0] - want) < 1e-3
+
+
 def test_base_scores(spark, monkeypatch):
     monkeypatch.setattr(scoring, "WORDS", 3)  # most words are rare, and go through the join
     train = [(1, "a b a B"), (2, None), (3, "c " + "z" * 40)]
