@@ -376,13 +376,13 @@ def scored(docs: DataFrame, texts: DataFrame) -> DataFrame:
                 texts = [(t or "").encode() for t in b.column("text").to_pylist()]
                 tokens, hits, base, rare = [], [], [], []
                 for t in texts:
-                    ws = t.lower().split()
+                    ws = [w if len(w) <= 16 else word_key(w) for w in t.lower().split()]
                     ws.append(b"")
                     got = [known[w] for w in ws if w in known]
                     tokens.append(len(ws))
                     hits.append(len(got))
                     base.append(sum(got))
-                    rare.append([{"word": word_key(w), "k": n} for w, n in Counter(w for w in ws if w not in known).items()] if len(got) < len(ws) else [])
+                    rare.append([{"word": w, "k": n} for w, n in Counter(w for w in ws if w not in known).items()] if len(got) < len(ws) else [])
                 sums, rare_grams = text_scores(texts, gram_keys, gram_logs)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(sums), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))), rare_grams], ["doc_id", "n_tokens", "hits", "base", "sum", "rare", "rare_grams"])
         give_back()

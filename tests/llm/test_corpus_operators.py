@@ -212,6 +212,14 @@ def test_base_scores(spark, monkeypatch):
         assert abs(r.base_score - sum(math.log10((counts.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) < 1e-9
 
 
+def test_frequent_long_words_are_known(spark):
+    long, other = "z" * 17, "й" * 9  # keyed by their hashes, and at least as frequent as 1 in WORDS
+    train = spark.createDataFrame([(1, f"{long} a {other} {long}")], "doc_id long, text string")
+    r = scoring.score(spark.createDataFrame([(2, f"{long.upper()} {other} {long}x")], "doc_id long, text string"), train).first()
+    assert (r.n_tokens, r.n_known, r.train_tokens) == (4, 3, 5)
+    assert abs(r.base_score - sum(math.log10((c + 0.5) / (5 + 0.5 * 5)) for c in (2, 1, 0, 1))) < 1e-9
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_leaks_against_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(decontaminate, "SIGNATURE_BROADCAST", limit)
