@@ -25,7 +25,7 @@ Entry -> view | signup
 Middle -> click | click click | view click | click Middle error
 Exit -> purchase | error | click purchase
 """
-#: Longest sentence of a funnel in completions and oracles.
+#: Longest session of the oracles that list a funnel's words; the queries take sessions of any length.
 FUNNEL_MOST = 8
 FLAGS = """
 START -> Item | START Item
@@ -99,16 +99,12 @@ def session_fragments(spark, sf_dir):
     return parsing.max_fragment(sessions(spark, sf_dir).select("sid", "tokens"), load(FUNNEL)).select("sid", "prefix", "suffix")
 
 
-def short_sessions(spark, sf_dir):
-    return sessions(spark, sf_dir).where(F.size("tokens") <= FUNNEL_MOST).select("sid", "tokens")
-
-
 def session_led(spark, sf_dir):
-    return repairing.nearest(short_sessions(spark, sf_dir), load(FUNNEL), 2).select("sid", F.col("led").cast("long").alias("led"))
+    return repairing.nearest(sessions(spark, sf_dir).select("sid", "tokens"), load(FUNNEL), 2).select("sid", F.col("led").cast("long").alias("led"))
 
 
 def session_repairs(spark, sf_dir, k=5):
-    return repairing.repairs(short_sessions(spark, sf_dir), load(FUNNEL), 2, 1, k)
+    return repairing.repairs(sessions(spark, sf_dir).select("sid", "tokens"), load(FUNNEL), 2, 1, k)
 
 
 def session_repairs_topk(spark, sf_dir):
@@ -120,23 +116,23 @@ def holed(df: DataFrame) -> DataFrame:
 
 
 def session_complete_holes(spark, sf_dir):
-    found = repairing.completions(holed(short_sessions(spark, sf_dir)), load(FUNNEL))
+    found = repairing.completions(holed(sessions(spark, sf_dir)), load(FUNNEL))
     return found.select("sid", F.col("rank").cast("long").alias("rank"), F.array_join("completion", " ").alias("completion"))
 
 
 def session_suffixes(spark, sf_dir):
-    found = repairing.suffixes(short_sessions(spark, sf_dir).where(F.size("tokens") <= 3), load(FUNNEL), 5, 5)
+    found = repairing.suffixes(sessions(spark, sf_dir).select("sid", "tokens"), load(FUNNEL), 5, 5)
     return found.select("sid", F.col("rank").cast("long").alias("rank"), F.array_join("suffix", " ").alias("suffix"))
 
 
 def session_plans(spark, sf_dir):
     """Plans for sessions whose last event is typed in part: its first letter."""
-    typed_ = short_sessions(spark, sf_dir).select("sid", F.transform("tokens", lambda t, i: F.when(i == F.size("tokens") - 1, F.substring(t, 1, 1)).otherwise(t)).alias("tokens"))
+    typed_ = sessions(spark, sf_dir).select("sid", F.transform("tokens", lambda t, i: F.when(i == F.size("tokens") - 1, F.substring(t, 1, 1)).otherwise(t)).alias("tokens"))
     return repairing.plans(typed_, load(FUNNEL), 6).select("sid", "expanded", "candidates", "committed", F.array_join("forced", " ").alias("forced"), F.array_join(F.transform("branches", lambda b: b["terminal"]), " ").alias("terminals"))
 
 
 def session_samples(spark, sf_dir):
-    found = repairing.sampled(holed(short_sessions(spark, sf_dir)), load(FUNNEL), 3, 1)
+    found = repairing.sampled(holed(sessions(spark, sf_dir)), load(FUNNEL), 3, 1)
     return found.select("sid", "nth", F.array_join("word", " ").alias("word"))
 
 

@@ -55,6 +55,36 @@ def test_suffixes_stubs_and_segments(spark):
     assert [(r.lo, r.hi, r.kind) for r in got] == [(0, 3, "parseable"), (3, 4, "unparseable"), (4, 5, "illegal")]
 
 
+def test_sessions_of_any_length(spark, tmp_path):
+    from chartwright.plans import oracle
+
+    said = {1: "view click click click click error error error purchase".split(), 2: "view click click error".split(), 3: "signup click click click click view error error error purchase".split()}
+    events = [(u, f"2024-01-01 00:00:{i:02d}", 100 * u + i, t) for u, ts in said.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(events, "user_id long, ts string, event_id long, event_type string")
+    df.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
+    words = oracle.language(load(registry.FUNNEL), 12)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row = row, [i + 1]
+            for j, y in enumerate(b):
+                row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    got = {r.sid: r.led for r in registry.session_led(spark, str(tmp_path)).collect()}
+    led = {u: min(distance(t, w) for w in words) for u, t in said.items()}
+    assert got == {f"{u}:2024-01-01": d for u, d in led.items() if d <= 2} and "1:2024-01-01" in got and "3:2024-01-01" in got
+    got = registry.session_suffixes(spark, str(tmp_path)).where("sid LIKE '2:%'").orderBy("rank").collect()
+    prefix = tuple(said[2])
+    ends = sorted((len(w), w) for w in words if w[:4] == prefix and len(w) <= 9)[:5]
+    assert [r.suffix for r in got] == [" ".join(w[4:]) for _, w in ends] and ends
+    holes = [x if i % 2 == 0 else None for i, x in enumerate(said[1])]
+    fits = sorted(w for w in words if len(w) == 9 and all(h in (None, x) for h, x in zip(holes, w, strict=True)))[:29]
+    got = registry.session_complete_holes(spark, str(tmp_path)).where("sid LIKE '1:%'").orderBy("rank").collect()
+    assert [r.completion.split() for r in got] == [list(w) for w in fits] and fits
+
+
 def test_text_functions(spark):
     assert X.restitched("CI = A - P (", "NAME = NAME - NAME ( )".split()) == "CI = A - P ( )"
     assert X.signature(X.alignment("a b c".split(), "a x c d".split())) == "E C.x E I.d"
