@@ -1,16 +1,18 @@
 """Operator 8 [native]: information-theoretic sanitisation of personal data.
 
 Personal data found by pattern (e-mail and IP addresses, card and phone numbers) are the protected
-entities. A term that stands near an entity discloses it as far as the corpus ties the two together:
-with n documents, n_e of them holding the entity, n_t the term, and n_et the term near the entity,
-their pointwise mutual information log2(n n_et / (n_e n_t)) is compared with the entity's own
-information content log2(n / n_e). A term whose share of it reaches the threshold, in at least
-SUPPORT documents, is sanitised wherever it stands near that entity: generalised if the caller names
-a more general term, else removed.
-
-Counts are of whole documents, over all of them. Terms near entities are counted for each (entity,
-term) with partial sums before the shuffle; of the corpus's words only those terms are counted, by a
-broadcast of the terms while they are fewer than TERMS_BROADCAST, by a shuffled join beyond that.
+entities. A term in a document that holds an entity discloses it as far as the corpus ties the two
+together: with n documents, n_e of them holding the entity, n_t the term, and n_et both, their
+pointwise mutual information log2(n n_et / (n_e n_t)) is compared with the entity's own information
+content log2(n / n_e). A term whose share of it reaches the threshold is sanitised wherever it stands
+in the documents that hold that entity: generalised if the caller names a more general term, else
+removed. An entity that all documents hold has no information to disclose. Words that overlap an
+entity are removed with it and are no terms.
+
+Counts are of whole documents, over all of them, with partial sums before each shuffle. Terms in more
+documents than any entity's threshold allows are dropped before they are paired with entities. Joins
+take what is in at least 1 of FREQUENT documents (so few terms, entities or pairs) by broadcast and the
+rest by shuffle, where no key has many rows.
 
 Defined results: a null text is an empty one. Rows that repeat id and text get the same spans, each
 its row. Any other columns are ignored. Empty tables give empty results.
@@ -33,10 +35,12 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Each of four parts at most 255.
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 
-#: Code points on either side of an entity in which terms stand; least share of its information; least documents with both.
-REACH, SHARE, SUPPORT = 48, 0.9, 3
-TERMS_BROADCAST = 500_000
+#: Least share of an entity's information.
+SHARE, FREQUENT = 0.9, 1000
 TERM = r"[\p{L}\p{N}]{3,}"
+#: A term that touches no entity, where those are replaced by the mark.
+MARK = "\x01"
+APART = r"(?<![\p{L}\p{N}\x01])[\p{L}\p{N}]{3,}+(?!\x01)"
 
 
 def luhn(digits: Column) -> Column:
@@ -66,63 +70,72 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"].cast("string"), value)
 
 
-def near_terms(text: Column, base: Column) -> Column:
-    """Array of (entity, term, start, end): words within REACH code points of a span, cut ones left out, lower-cased."""
-
-    def side(s: Column, before: bool) -> Column:
-        at = F.greatest(s["start"] - REACH, F.lit(0)) if before else s["end"]
-        # one more code point at each cut end tells whether a word is whole
-        window = F.substring(text, at + 1, s["start"] - at) if before else F.substring(text, at + 1, F.lit(REACH))
-        words = S.find(window, TERM, 0)
-        whole = F.filter(words, lambda w: (w["start"] > 0) | (at == 0)) if before else F.filter(words, lambda w: (w["end"] < F.length(window)) | (F.length(window) < REACH))
-        whole = F.filter(whole, lambda w: w["end"] < F.length(window)) if before else F.filter(whole, lambda w: w["start"] > 0)
-        return F.transform(whole, lambda w: F.struct(entity(s).alias("entity"), F.lower(w["text"]).alias("term"), (at + w["start"]).alias("start"), (at + w["end"]).alias("end")))
-
-    def overlaps(t: Column) -> Column:
-        return F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-
-    return F.filter(F.flatten(F.transform(base, lambda s: F.concat(side(s, True), side(s, False)))), lambda t: ~overlaps(t))
-
-
-def disclosing(near: DataFrame, docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
-    """Rows (entity, term) whose disclosure reaches the share. near: rows with an array near; docs: rows with text, all of the corpus."""
-    n = float(docs.count())
-    pairs = near.select(F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    entities = near.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    beside = near.select(F.explode(F.array_distinct(F.transform("near", lambda t: t["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
-    # the share is reached while n_t <= n_et (n / n_e)^(1 - share); a term's documents with it near any entity are some of its n_t
-    most = F.col("n_et") * F.pow(F.lit(n) / F.col("n_e"), F.lit(1 - share)) * (1 + 1e-9)
-    pairs = staged(pairs.join(entities, "entity").join(beside, "term").where(F.col("n_near") <= most), "pairs")
-    terms = staged(pairs.select("term").distinct(), "terms")
-    words = docs.select(F.explode_outer(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", -1))).alias("term"))
-    wanted = F.broadcast(terms) if terms.count() <= TERMS_BROADCAST else terms
-    n_t = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    known = pairs.join(n_t, "term")
-    own = F.log2(F.lit(n) / F.col("n_e"))
-    mutual = F.log2(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et").cast("double")))
-    return known.where(mutual >= own * share - 1e-9).select("entity", "term")
-
-
-def sanitised(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+def terms(text: Column, pattern: str = TERM) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w: F.lower(w)))
+
+
+def terms_apart(text: Column, base: Column) -> Column:
+    """The distinct terms that overlap no span of base."""
+    return terms(S.replaced(F.translate(text, MARK, " "), base, [MARK] * len(KINDS)), APART)
+
+
+def spots(text: Column, base: Column, told: Column) -> Column:
+    """Spans (kind 4) of the terms in the array told wherever they stand, unless they overlap one of base."""
+    hits = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    pairs = F.zip_with(F.slice(F.split(text, TERM, -1), 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
+    state = F.struct(F.lit(0).alias("at"), F.lit([]).cast(f"array<{S.SPAN}>").alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end, term = start + F.length(x["hit"]), F.lower(x["hit"])
+        span = F.struct(start.alias("start"), end.alias("end"), F.lit(4).alias("kind"), term.alias("text"))
+        return F.struct(end.alias("at"), F.when(F.array_contains(told, term), F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+
+    found = F.aggregate(pairs, state, step, lambda acc: acc["found"])
+    return F.filter(found, lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+
+
+def tiered(left: DataFrame, right: DataFrame, on: str | list[str], often: Column) -> DataFrame:
+    """Inner join whose frequent keys, those rows of right, are broadcast."""
+    return left.join(F.broadcast(right.where(often)), on).unionByName(left.join(right.where(~often), on))
+
+
+def disclosures(held: DataFrame, docs: DataFrame, share: float = SHARE) -> DataFrame:
+    """Rows (doc_id, h, term): the terms that disclose an entity of the document. held: rows (doc_id, h, entities, terms); docs: rows with text, all of the corpus."""
+    n = docs.count()
+    often = n / FREQUENT
+    entities = staged(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n), "entities")
+    n_t = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    # the share is reached while n_t <= n_et (n / n_e)^(1 - share), and n_et is at most n_e
+    most = entities.agg(F.max(F.col("n_e") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - share)))).first()[0] or 0.0
+    n_t = staged(n_t.where(F.col("n_t") <= F.lit(most * (1 + 1e-9))), "terms")
+    known = tiered(held.select("doc_id", "h", "entities", F.explode("terms").alias("term")), n_t, "term", F.col("n_t") >= often)
+    both = staged(known.select("doc_id", "h", F.explode("entities").alias("entity"), "term", "n_t"), "both")
+    pairs = staged(both.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.max("n_t").alias("n_t")), "pairs")
+    own = F.log2(F.lit(float(n)) / F.col("n_e"))
+    mutual = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et").cast("double")))
+    told = tiered(pairs, entities, "entity", F.col("n_e") >= often).where(mutual >= own * share - 1e-9).select("entity", "term", "n_et")
+    return tiered(both.select("doc_id", "h", "entity", "term"), staged(told, "told"), ["entity", "term"], F.col("n_et") >= often).select("doc_id", "h", "term")
+
+
+def sanitised(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """For rows (doc_id, text): doc_id, the text's hash h, base (spans of the patterns) and added (spans of disclosing terms, kind 4)."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = docs.withColumn("h", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
-    near = F.when(F.size("base") > 0, near_terms(F.col("text"), F.col("base")))
-    found = staged(found.select("doc_id", "h", "base", near.alias("near")), "entities")
-    some = found.where(F.col("near").isNotNull()).withColumn("entities", F.array_distinct(F.transform("base", entity)))
-    told = disclosing(some, docs, share, support)
-    spots = some.select("doc_id", "h", F.explode(F.array_distinct("near")).alias("t")).select("doc_id", "h", "t.*")
-    hit = spots.join(told, ["entity", "term"])
-    added = hit.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end", F.lit(4).alias("kind"), F.col("term").alias("text"))).alias("added"))
-    a, b = found.alias("a"), added.alias("b")
+    found = staged(found.select("doc_id", "h", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "found")
+    some = found.where(F.col("text").isNotNull())
+    held = some.select("doc_id", "h", F.array_distinct(F.transform("base", entity)).alias("entities"), terms_apart(F.col("text"), F.col("base")).alias("terms"))
+    told = disclosures(staged(held, "held"), docs, share).groupBy("doc_id", "h").agg(F.collect_set("term").alias("told"))
+    a, b = found.alias("a"), told.alias("b")
     joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h")), "left")
-    return joined.select("a.doc_id", "a.h", "a.base", F.coalesce("b.added", F.lit([]).cast(f"array<{S.SPAN}>")).alias("added"))
+    added = F.when(F.col("b.told").isNotNull(), spots(F.col("a.text"), F.col("a.base"), F.col("b.told")))
+    return joined.select("a.doc_id", "a.h", "a.base", F.coalesce(added, F.lit([]).cast(f"array<{S.SPAN}>")).alias("added"))
 
 
 def clean_text(text: Column, spans: Column, general: dict[str, str] | None = None) -> Column:
     """The text with entities replaced by their kind and disclosing terms by a more general one, or removed."""
-    terms = general or {}
-    known = F.create_map(*(F.lit(x) for kv in terms.items() for x in kv)) if terms else None
+    known = F.create_map(*(F.lit(x) for kv in general.items() for x in kv)) if general else None
     if known is None:
         return S.replaced(text, spans, [f"[{k.upper()}]" for k in KINDS] + [""])
     state = F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<string>").alias("parts"))

@@ -106,6 +106,16 @@ def test_disclosing_terms(spark):
     assert row.select(privacy.clean_text(F.col("text"), F.concat("base", "added")).alias("t")).first().t == "write to  at [EMAIL] today"
 
 
+def test_disclosing_terms_of_whole_documents(spark):
+    far = "write to them at the office today " * 20
+    texts = [f"Quillon {far} q@x.org, Quillon5@x.org {far}QUILLON", f"q@x.org {far}", *["write to them at the office today"] * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end, s.text) for s in r.added] for r in privacy.sanitised(df).collect()}
+    assert found[0] == [(0, 7, "quillon"), (len(texts[0]) - 7, len(texts[0]), "quillon")] and not any(found[i] for i in range(1, len(texts)))
+    every = spark.createDataFrame([(1, "call q@x.org")], "doc_id long, text string")  # an entity that all hold tells nothing
+    assert privacy.sanitised(every).first().added == []
+
+
 def test_fingerprints_add_and_subtract(spark):
     one, two = "First line. Second one!\nThird\n\nThird", "Third\nAnother. First line."
     df = spark.createDataFrame([(one, two, one + "\n" + two)], "a string, b string, both string")
