@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of a text are runs of anything but these six ASCII blanks.
 BLANKS = r"[\x20\x09-\x0D]+"
 
+#: Rows up to which the smaller side of joined() is broadcast.
+BROADCAST = 200_000
+#: Keys with at least this share of the rows are the frequent ones: 1 / OFTEN keys at most.
+OFTEN = 1e-5
+
 _STAGED: list[str] = []
 
 
@@ -20,9 +30,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a folder of this session's own."""
+    """The folder in spark.checkpoint.dir; where that is unset, a folder of this session's own if Spark runs in one process, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="chartwright-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -50,13 +62,68 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in slices whose texts take at most that many bytes; a longer text is a slice of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Python workers get at most that many rows at once: whole texts can be long, and Spark counts rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
+def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", most: int = BROADCAST) -> DataFrame:
+    """A join with a staged table, by broadcast up to `most` rows of it. Beyond, both sides are plain exchanges, whose skewed partitions adaptive execution splits."""
+    few = right.limit(most + 1).count() <= most
+    return left.join(F.broadcast(right) if few else right, on, how)
+
+
+def tiered(left: DataFrame, right: DataFrame, on: str | list[str], often: Column) -> DataFrame:
+    """Inner join whose frequent keys, those rows of right, are broadcast."""
+    return left.join(F.broadcast(right.where(often)), on).unionByName(left.join(right.where(~often), on))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches sorted by keys of numbers as tables of some rows that cut no group apart, and the bounds of their groups."""
+    held: list[pa.RecordBatch] = []
+
+    def bounds(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, dtype=bool)
+        new[0] = True
+        for k in keys:
+            x = t.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.append(np.flatnonzero(new), t.num_rows)
+
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= rows:
+            t = pa.Table.from_batches(held)
+            at = bounds(t)
+            if len(at) > 2:
+                yield t.slice(0, int(at[-2])), at[:-1]
+            held = t.slice(int(at[-2])).to_batches()
+            size = sum(x.num_rows for x in held)
+    if size:
+        t = pa.Table.from_batches(held)
+        yield t, bounds(t)
+
+
 def give_back() -> None:
     """Returns a Python worker's free memory to the system; workers are used again, and would keep the most that any task of theirs has needed."""
     import ctypes
     import gc
 
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -75,22 +142,27 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates star contractions: each node's neighbours are linked to the smallest of them, which
     halves distances, so the rounds grow with the logarithm of the longest path. Neighbour minima are
-    aggregates that combine before the shuffle, so a node with very many links is no hot task. Each
-    round is written to the shared folder. An empty input gives no rows.
+    aggregates that combine before the shuffle. They meet the edges by broadcast while there are few; beyond
+    they are written first, so that the edges of a node with very many links meet its minimum in a plain
+    join, which adaptive execution splits. Each round is written. An empty input gives no rows.
     """
+    digest = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    known = digest(edges)
     for _ in range(rounds):
+        few = known["n"] <= BROADCAST // 2  # an edge has two nodes
+        side = F.broadcast if few else lambda d: staged(d, "minima")
         # each node's larger neighbours go to the smallest of its neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = side(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = large if few else staged(large, "large")
         # each node's smaller neighbours, and itself, go to the smallest of them
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        down = side(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        after = staged(small, "edges")
-        sums = [d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first() for d in (edges, after)]
-        edges = after
-        if sums[0] == sums[1]:
+        edges = staged(small, "edges")
+        before, known = known, digest(edges)
+        if before == known:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -8,22 +8,27 @@ is at least 0.85 (100 * intersection >= 85 * union), and a class is a connected
 2. TREES independent trees branch the records: at a node, a record goes to the children of those of
    its minwise tokens whose hash with the node is below 1 / (similarity * COORDS), so that two records
    at the similarity share a child of each common node once on average. A node of at most LEAF
-   records is a leaf; others branch again, DEPTH levels deep at most. A pair at the similarity shares
-   a first-level node of a tree with probability 0.63 (of three levels, 0.37), so TREES trees miss
-   one in 10^6 (10^3) of them, fewer of more alike ones, and only count where no other path connects them.
-3. In each leaf, all records are compared by their minwise tokens. Nodes that are too large at the
-   last level are cut to blocks and all pairs of blocks compared, so no task holds more than two.
-   What leaves a leaf is a spanning forest of the pairs that may be linked (estimated similarity of
-   at least LOOSE, 4.7 standard deviations below): fewer rows than records.
-4. The forest's components are small candidate groups. Records of a group come together with their full
-   sets (made anew from the texts) and are compared exactly, except pairs that are connected already;
-   large groups are ordered by set size and cut to blocks, of which only pairs whose sizes can be
-   similar are compared. Components of the confirmed links are the result.
+   records is a leaf. A pair at the similarity shares a first-level node of a tree with probability
+   0.63, so TREES trees miss one in 10^6 of them, fewer of more alike ones, and only count where no
+   other path connects them.
+3. In each leaf, all records are compared by their minwise tokens, and a spanning forest leaves it of the
+   pairs that may be linked (share of equal tokens at least LOOSE, 4.7 standard deviations below).
+4. A larger node's records are compared with PIVOTS of them. Those that agree with one in CORE of the
+   tokens are connected through it and need not be compared with each other. As Jaccard distances obey
+   the triangle inequality, only records that agree with the pivot in BAND at least can be linked with
+   one of these; they are compared in blocks. All that are no pivot's core branch on to the next level.
+   What is left of a large node after DEPTH levels is compared in blocks.
+5. The forest's components are candidate groups. Records of a group come together with their full sets
+   (made anew from the texts) and are compared exactly, except pairs that are connected already. In a
+   group of over BLOCK records all are compared exactly with PIVOTS of them; those outside the largest
+   class that this gives are compared with all records of similar sizes, in blocks. So a group of very
+   many copies takes work in proportion to its size. Components of the confirmed links are the result.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; with fewer words
-than a shingle's, all words are one shingle. Ids must be distinct for links between rows of one id to
-be told apart: rows that repeat an id and its text are one document and give as many equal rows. Rows
-with a null id are each a class of their own. Any other columns are kept by deduplicated().
+than a shingle's, all words are one shingle. Rows that repeat an id are told apart by their sets: those
+with equal sets are one document and give as many equal rows, others have each the class of its own
+set. Rows with a null id are each a class of their own. Any other columns are kept by deduplicated(),
+which keeps one row of those that repeat both id and set.
 """
 
 from __future__ import annotations
@@ -32,19 +37,22 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartwright.llm.common import connected_components, give_back, read, staged
+from chartwright.llm.common import OFTEN, connected_components, give_back, joined, read, slices, small_batches, staged, whole_groups
 
 WORDS, SIMILAR = 5, 85
-COORDS, TREES, DEPTH, LEAF = 128, 16, 3, 1500
-LOOSE = 0.70
-#: Records of a block in the exact comparison, and bytes of sets after which a block ends.
-BLOCK, BLOCK_BYTES = 1000, 24 << 20
+COORDS, TREES, DEPTH, LEAF = 128, 16, 4, 1500
+LOOSE, CORE, BAND, PIVOTS = 0.70, 0.94, 0.61, 8
+#: Records of a block in the exact comparison, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 1000, 8 << 20
+#: Bytes of texts hashed at once; records held at once for groups to be compared by tokens, by texts.
+SLICE, HELD, HELD_TEXTS = 1 << 20, 4000, 500
+#: Entries of pivots up to which nodes are broadcast.
+FEW = 20_000
 
 _rng = np.random.default_rng(20_240_601)
 _MULTIPLY = (_rng.integers(1, 2**63, COORDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -62,21 +70,21 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
     words = (text or "").encode().lower().split()
     h = xxhash.xxh3_64_intdigest
+    if 0 < len(words) < n:
+        return np.array([h(b" ".join(words))], dtype=np.uint64)
     w = np.fromiter((h(x) for x in words), np.uint64, len(words))
-    if len(w) <= n:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], dtype=np.uint64) if len(w) < n and len(w) else _rolled(w, n)
-    return _rolled(w, n)
-
-
-def _rolled(w: np.ndarray, n: int) -> np.ndarray:
-    if len(w) < n:
-        return np.zeros(0, dtype=np.uint64)
+    if not len(w):
+        return w
     s = np.zeros(len(w) - n + 1, dtype=np.uint64)
     for k in range(n):
         s = mixed((s + w[k : len(w) - n + 1 + k]) * _GOLD + np.uint64(k))
     return np.unique(s)
 
 
+def digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def minwise(s: np.ndarray) -> np.ndarray:
     """For each coordinate the least of the set's hashes under its own hash function, 32 bits of it."""
     out = np.full(COORDS, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -93,6 +101,11 @@ def children(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return record, mixed(at[record, tree, coordinate] + _GOLD)
 
 
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of tokens."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, COORDS)
+
+
 def equal_tokens(tokens: np.ndarray, columns: np.ndarray, i: int, lo: int) -> np.ndarray:
     """How many of its tokens record i has in common with each from lo on; columns is tokens transposed, for many records."""
     if len(tokens) - lo < 100:
@@ -104,31 +117,31 @@ def equal_tokens(tokens: np.ndarray, columns: np.ndarray, i: int, lo: int) -> np
 
 
 def records(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_shingles, digest, tokens): tokens is the minwise tokens' bytes, null for an empty set."""
+    """Rows (doc_id, h, n_shingles, digest, tokens): h is the text's hash, tokens the minwise tokens' bytes; digest and tokens are null for an empty set."""
+    small_batches(docs.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
+        for b in (part for whole in batches for part in slices(whole, "text", SLICE)):
             sets = [shingles(t) for t in b.column("text").to_pylist()]
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            digests = [digest(s) if len(s) else None for s in sets]
             tokens = [minwise(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "n_shingles", "digest", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "h", "n_shingles", "digest", "tokens"])
             del sets, digests, tokens
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, n_shingles long, digest binary, tokens binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(make, "doc_id long, h long, n_shingles long, digest binary, tokens binary")
 
 
-def _branch(rows: DataFrame, first: bool) -> DataFrame:
-    """Rows (id, node, tokens) to rows (id, node) of the next level; the first level starts all trees."""
+def started(rows: DataFrame) -> DataFrame:
+    """Rows (id, node): the first level of all trees for rows (id, tokens)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 128):
                 b = whole.slice(k, 128)
                 ids = b.column("id").to_numpy(zero_copy_only=False)
-                tokens = np.frombuffer(b"".join(b.column("tokens").to_pylist()), dtype=np.uint32).reshape(-1, COORDS)
-                nodes = np.broadcast_to(_TREE, (len(ids), TREES)) if first else b.column("node").to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
-                record, got = children(tokens, nodes)
+                record, got = children(matrix(b.column("tokens")), np.broadcast_to(_TREE, (len(ids), TREES)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[record], pa.int64()), pa.array(got.view(np.int64), pa.int64())], ["id", "node"])
 
     return rows.mapInArrow(go, "id long, node long")
@@ -156,7 +169,7 @@ def spanning(ids: np.ndarray, tokens: np.ndarray, split: int = 0) -> list[tuple[
     """A spanning forest of the pairs whose share of equal tokens is at least LOOSE; with split > 0 only pairs across it."""
     forest, out, n = Forest(len(ids)), [], len(ids)
     least = int(np.ceil(LOOSE * COORDS))
-    columns = np.ascontiguousarray(tokens.T)
+    columns = np.ascontiguousarray(tokens.T) if n > 100 else tokens
     for i in range(split or n):
         lo = split or i + 1
         if lo >= n:
@@ -168,127 +181,274 @@ def spanning(ids: np.ndarray, tokens: np.ndarray, split: int = 0) -> list[tuple[
     return out
 
 
-def _leaf(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs of one leaf, or of two blocks of a large node (side 0 and 1)."""
-    pdf = pdf.sort_values(["side", "id"], kind="stable")
-    tokens = np.frombuffer(b"".join(pdf["tokens"]), dtype=np.uint32).reshape(len(pdf), COORDS).astype(np.uint16)
-    found = spanning(pdf["id"].to_numpy(), tokens, int((pdf["side"] == 0).sum()) if (pdf["side"] == 1).any() else 0)
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    at = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], ["a", "b"])
+
+
+def compared(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (a, b): of each group of rows (keys, side, id, tokens) a spanning forest of the pairs that may be linked, only of those across sides if there are two. A group is a leaf, or two blocks of that size."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in whole_groups(batches, keys, HELD):
+            ids, sides, tokens = t.column("id").to_numpy(), t.column("side").to_numpy(), matrix(t.column("tokens")).astype(np.uint16)
+            sizes = np.diff(bounds)
+            two = bounds[:-1][sizes == 2]
+            near = two[(tokens[two] == tokens[two + 1]).sum(axis=1) >= int(np.ceil(LOOSE * COORDS))]
+            found = list(zip(ids[near].tolist(), ids[near + 1].tolist(), strict=True))
+            for k in np.flatnonzero(sizes > 2):
+                a, e = int(bounds[k]), int(bounds[k + 1])
+                split = int((sides[a:e] == 0).sum())
+                found += spanning(ids[a:e], tokens[a:e], split if split < e - a else 0)
+            yield _pairs(found)
+        give_back()
+
+    dealt = rows.select(*keys, "side", "id", "tokens").repartition(*keys).sortWithinPartitions(*keys, "side", "id")
+    return dealt.mapInArrow(go, "a long, b long")
+
+
+PEELED = "kind int, id long, node long, cluster long, other long"
+EDGE, INSIDE, NEAR, CHILD, REST = range(5)
+
+
+def peeled(rows: DataFrame, branch: bool) -> DataFrame:
+    """What becomes of rows (node, block, side, id, tokens) of large nodes, side 0 being the pivots.
+
+    Rows (PEELED) by kind: EDGE (id and other, a pivot, may be linked), INSIDE (a record of a pivot's
+    core), NEAR (a record outside that may be linked with one inside), CHILD (a record that is in no core,
+    and its next node), or REST instead of CHILD unless branch. A cluster is of pivots in each other's cores.
+    """
+    least, core, band = (int(np.ceil(x * COORDS)) for x in (LOOSE, CORE, BAND))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in whole_groups(batches, ["node", "block"], HELD):
+            all_ids, sides, nodes, every = t.column("id").to_numpy(), t.column("side").to_numpy(), t.column("node").to_numpy(), matrix(t.column("tokens"))
+            out: list[list[np.ndarray]] = [[] for _ in range(5)]
+
+            def add(kind: int, ids: np.ndarray, node: np.ndarray | int, cluster: np.ndarray | int, other: np.ndarray | int, out: list = out) -> None:
+                for column, x in zip(out, (kind, ids, node, cluster, other), strict=True):
+                    column.append(np.broadcast_to(np.asarray(x, dtype=np.int64), len(ids)))
+
+            for a, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                k = a + int((sides[a:e] == 0).sum())
+                pivots, ids, node = all_ids[a:k], all_ids[k:e], nodes[a]
+                of, tokens = every[a:k], every[k:e]
+                among = (of[:, None, :] == of[None, :, :]).sum(axis=2)
+                forest = Forest(len(pivots))
+                for i, j in zip(*np.nonzero(np.triu(among >= core, 1)), strict=True):
+                    forest.join(int(i), int(j))
+                label = np.array([forest.root(i) for i in range(len(pivots))])
+                for i, j in zip(*np.nonzero(np.triu(among >= least, 1)), strict=True):
+                    add(EDGE, pivots[i : i + 1], node, 0, pivots[j])
+                same = np.stack([(tokens == p).sum(axis=1) for p in of], axis=1)
+                inside = (same >= core).any(axis=1)
+                own = np.where(inside, label[(same >= core).argmax(axis=1)], -1)
+                for c in np.unique(label):
+                    mine = np.flatnonzero(label == c)
+                    best = mine[same[:, mine].argmax(axis=1)]
+                    most = same[np.arange(len(ids)), best]
+                    near = most >= least
+                    add(EDGE, ids[near], node, 0, pivots[best[near]])
+                    a_core = (own == c) & ~np.isin(ids, pivots)
+                    add(INSIDE, ids[a_core], node, pivots[c], 0)
+                    by = (own != c) & (most >= band)
+                    add(NEAR, ids[by], node, pivots[c], 0)
+                left = np.flatnonzero(~inside)
+                if not branch:
+                    add(REST, ids[left], node, 0, 0)
+                for s in range(0, len(left) if branch else 0, 128):
+                    part = left[s : s + 128]
+                    record, got = children(tokens[part], np.full((len(part), 1), node, dtype=np.int64).view(np.uint64))
+                    add(CHILD, ids[part][record], got.view(np.int64), 0, 0)
+            if out[0]:
+                kind, *others = (np.concatenate(x) for x in out)
+                yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *map(pa.array, others)], [c.split()[0] for c in PEELED.split(", ")])
+        give_back()
+
+    dealt = rows.select("node", "block", "side", "id", "tokens").repartition("node", "block").sortWithinPartitions("node", "block", "side", "id")
+    return dealt.mapInArrow(go, PEELED)
+
 
+def _spot(column: str = "id") -> Column:
+    return F.xxhash64(column, F.lit(11))
 
-def block_pairs(rows: DataFrame, group: str, block: str, blocks: str) -> DataFrame:
-    """Each row once for each pair of its group's blocks that its own is part of: adds left, right and side. A pair of a block with itself is one task."""
-    other = F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)).alias("other")
-    out = rows.select("*", other)
-    return out.withColumn("left", F.least(block, "other")).withColumn("right", F.greatest(block, "other")).withColumn("side", F.when(F.col(block) > F.col("other"), 1).otherwise(0))
+
+def _cuts(n: str, most: int) -> Column:
+    return F.ceil(F.col(n) / most).cast("int")
+
+
+def _other(cuts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(cuts) - 1))
+
+
+def across(left: DataFrame, right: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Rows (keys, lcut, rcut, side, id): the records of left (keys, id), side 0, and of right, side 1, in blocks of `most` rows, for each pair of blocks. Keys that one side lacks give none."""
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    sizes = count(left, "ln").join(count(right, "rn"), keys)
+    cuts = staged(sizes.select(*keys, _cuts("ln", most).alias("lcuts"), _cuts("rn", most).alias("rcuts")), "cuts")
+    one = joined(left.select(*keys, "id"), cuts, keys).select(*keys, F.pmod(_spot(), F.col("lcuts")).cast("int").alias("lcut"), _other("rcuts").alias("rcut"), F.lit(0).alias("side"), "id")
+    two = joined(right.select(*keys, "id"), cuts, keys).select(*keys, _other("lcuts").alias("lcut"), F.pmod(_spot(), F.col("rcuts")).cast("int").alias("rcut"), F.lit(1).alias("side"), "id")
+    return one.unionByName(two)
+
+
+def with_pivots(rows: DataFrame, group: str) -> DataFrame:
+    """Rows (group, block, side, id) for rows (group, blocks, id): each record in its block, side 1, and PIVOTS of a group's records in each of its blocks, side 0."""
+    pivots = rows.groupBy(group, "blocks", F.pmod(_spot(), F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct(_spot().alias("h"), "id")).alias("p"))
+    top = pivots.select(group, _other("blocks").alias("block"), F.lit(0).alias("side"), F.col("p.id").alias("id"))
+    return top.unionByName(rows.select(group, F.pmod(_spot(), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("side"), "id"))
 
 
 def candidates(recs: DataFrame) -> DataFrame:
     """Rows (a, b): a spanning forest, for each leaf of the trees, of the records (id, tokens) that may be linked."""
-    found, level = None, _branch(recs.select("id", "tokens"), True)
+    tokens = recs.select("id", "tokens")
+    found, level = None, started(tokens)
     for depth in range(DEPTH):
         level = staged(level.distinct(), "level")
         sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")).where("n > 1")
-        small = sizes.where(F.col("n") <= LEAF).groupBy("n", "members").agg(F.min("node").alias("node"))  # leaves of equal members once
-        nodes = small.select("node", F.lit(1).alias("blocks"))
-        big = sizes.where(F.col("n") > LEAF)
-        if depth == DEPTH - 1:
-            nodes = nodes.unionByName(big.select("node", F.ceil(F.col("n") / LEAF).cast("int").alias("blocks")))
-        members = level.join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        paired = block_pairs(members, "node", "block", "blocks").select("id", "node", "left", "right", "side")
-        part = paired.join(recs.select("id", "tokens"), "id").groupBy("node", "left", "right").applyInPandas(_leaf, "a long, b long")
+        sizes = staged(sizes, "sizes")
+        leaves = staged(sizes.where(F.col("n") <= LEAF).groupBy("n", "members").agg(F.min("node").alias("node")).select("node"), "leaves")  # leaves of equal members once
+        part = compared(joined(level, leaves, "node").withColumn("side", F.lit(0)).join(tokens, "id"), ["node"])
         found = part if found is None else found.unionByName(part)
-        if depth == DEPTH - 1 or big.isEmpty():
+        big = staged(sizes.where(F.col("n") > LEAF).select("node", _cuts("n", LEAF).alias("blocks")), "large")
+        if big.isEmpty():
             break
-        level = _branch(level.join(big.select("node"), "node", "left_semi").join(recs.select("id", "tokens"), "id"), False)
+        members = with_pivots(joined(level, big, "node", most=FEW), "node")
+        of = staged(peeled(members.join(tokens, "id"), depth < DEPTH - 1), "peeled")
+        keyed = of.where(F.col("kind").isin(INSIDE, NEAR))
+        edge = across(keyed.where(F.col("kind") == NEAR), keyed.where(F.col("kind") == INSIDE), ["node", "cluster"], LEAF)
+        found = found.unionByName(of.where(F.col("kind") == EDGE).select(F.col("id").alias("a"), F.col("other").alias("b")))
+        found = found.unionByName(compared(edge.join(tokens, "id"), ["node", "cluster", "lcut", "rcut"]))
+        if depth == DEPTH - 1:
+            rest = of.where(F.col("kind") == REST).select("node", "id")
+            found = found.unionByName(compared(across(rest, rest, ["node"], LEAF).join(tokens, "id"), ["node", "lcut", "rcut"]))
+        level = of.where(F.col("kind") == CHILD).select("id", "node")
     return found
 
 
-def _exact(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Confirmed links of a group, or across two of its blocks: a spanning forest of them."""
-    pdf = pdf.sort_values(["side", "n", "id"], kind="stable").reset_index(drop=True)
-    ids, sides = pdf["id"].to_numpy(), pdf["side"].to_numpy()
-    sets = [shingles(t) for t in pdf["text"]]
-    tokens = np.stack([minwise(s) for s in sets]).astype(np.uint16)
-    columns = np.ascontiguousarray(tokens.T)
-    members: list[set[int] | None] = [None] * len(sets)
-    n = np.array([len(s) for s in sets])
-    crossing = bool((sides == 1).any())
-    forest, out, least = Forest(len(ids)), [], int(np.ceil(LOOSE * COORDS))
-
-    def member(i: int) -> set[int]:
-        if members[i] is None:
-            members[i] = set(sets[i].tolist())
-        return members[i]
-
-    for i in range(len(ids)):
-        lo = i + 1
-        if crossing:
-            if sides[i] == 1:
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays of distinct numbers."""
+    a, b = (a, b) if len(a) > len(b) else (b, a)
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+
+
+def confirmed(tasks: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (a, b): of each group of rows (keys, side, id) a spanning forest of the links, only of those across sides if there are two; texts: rows (id, digest, tokens, text)."""
+    least = int(np.ceil(LOOSE * COORDS))
+
+    def group(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], tokens: np.ndarray) -> list[tuple[int, int]]:
+        n = np.array([len(s) for s in sets])
+        split = int((sides == 0).sum())
+        split = split if split < len(ids) else 0
+        columns = np.ascontiguousarray(tokens.T) if len(ids) > 100 else tokens
+        forest, out = Forest(len(ids)), []
+        for i in range(split or len(ids)):
+            lo = split or i + 1
+            if lo >= len(ids):
                 break
-            lo = int((sides == 0).sum())
-        if lo >= len(ids):
-            break
-        same = equal_tokens(tokens, columns, i, lo)
-        near = np.flatnonzero((same >= least) & (100 * np.minimum(n[lo:], n[i]) >= SIMILAR * np.maximum(n[lo:], n[i])))
-        for j in near[np.argsort(-same[near].astype(int), kind="stable")] + lo:
-            j = int(j)
-            if forest.root(i) == forest.root(j):
-                continue
-            both = len(member(i) & member(j))
-            if 100 * both >= SIMILAR * (n[i] + n[j] - both):
-                forest.join(i, j)
-                out.append((int(ids[i]), int(ids[j])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
-def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows (a, b): confirmed links that connect what is connected, among records of groups (node, component, n)."""
-    spark = docs.sparkSession
-    # sizes of groups, by shard of the set size, so that large groups are cut in order of size without a task that holds one
-    sized = groups.withColumn("step", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.log(F.lit(100 / SIMILAR * (1 + 1e-9)))).cast("int"))
-    cells = sized.groupBy("component", "step").agg(F.count("*").alias("rows"), (F.sum("n") * 8).alias("bytes"))
-    cells = cells.withColumn("cuts", F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int"))
-    whole = groups.groupBy("component").agg(F.count("*").alias("all"), (F.sum("n") * 8).alias("all_bytes"))
-    large = whole.where((F.col("all") > BLOCK) | (F.col("all_bytes") > BLOCK_BYTES)).select("component")
-    one = sized.join(large, "component", "left_anti").select("node", "n", "component", F.lit(0).alias("ls"), F.lit(0).alias("lc"), F.lit(0).alias("rs"), F.lit(0).alias("rc"), F.lit(0).alias("side"))
-    cells = staged(cells.join(large, "component", "left_semi"), "cells")
-    mine = sized.join(cells.select("component", "step", "cuts"), ["component", "step"]).withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-    # sets can be similar only if they are of the same or of neighbouring steps; each block meets its own step's and the next one's
-    others = cells.select("component", F.col("step").alias("o_step"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("o_cut"))
-    reach = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("o_step")
-    met = mine.select("*", reach).join(others, ["component", "o_step"])
-    own_first = F.struct("step", "cut") <= F.struct(F.col("o_step").alias("step"), F.col("o_cut").alias("cut"))
-    pick = lambda a, b: F.when(own_first, F.col(a)).otherwise(F.col(b))
-    many = met.select("node", "n", "component", pick("step", "o_step").alias("ls"), pick("cut", "o_cut").alias("lc"), pick("o_step", "step").alias("rs"), pick("o_cut", "cut").alias("rc"), F.when(own_first, 0).otherwise(1).alias("side"))
-    tasks = one.unionByName(many)
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(groups.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    rows = tasks.join(texts, "node").select(F.col("node").alias("id"), "n", "text", "component", "ls", "lc", "rs", "rc", "side")
-    return rows.groupBy("component", "ls", "lc", "rs", "rc").applyInPandas(_exact, "a long, b long")
+            same = equal_tokens(tokens, columns, i, lo)
+            near = np.flatnonzero((same >= least) & (100 * np.minimum(n[lo:], n[i]) >= SIMILAR * np.maximum(n[lo:], n[i])))
+            for j in (near[np.argsort(-same[near].astype(int), kind="stable")] + lo).tolist():
+                if forest.root(i) == forest.root(j):
+                    continue
+                both = shared(sets[i], sets[j])
+                if 100 * both >= SIMILAR * (n[i] + n[j] - both):
+                    forest.join(i, j)
+                    out.append((int(ids[i]), int(ids[j])))
+        return out
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in whole_groups(batches, keys, HELD_TEXTS):
+            ids, sides, tokens = t.column("id").to_numpy(), t.column("side").to_numpy(), matrix(t.column("tokens")).astype(np.uint16)
+            found = []
+            for a, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                part = t.slice(a, e - a)
+                sets, known, at = [], set(), []
+                for i, (text, d) in enumerate(zip(part.column("text").to_pylist(), part.column("digest").to_pylist(), strict=True)):
+                    if (key := (int(sides[a + i]), int(ids[a + i]))) not in known:
+                        s = shingles(text)
+                        if digest(s) == d:  # else another text of the same id
+                            known.add(key)
+                            sets.append(s)
+                            at.append(a + i)
+                found += group(ids[at], sides[at], sets, tokens[at])
+            yield _pairs(found)
+        give_back()
+
+    dealt = tasks.join(texts, "id").select(*keys, "side", "id", "digest", "tokens", "text").repartition(*keys).sortWithinPartitions(*keys, "side", "id")
+    return dealt.mapInArrow(go, "a long, b long")
+
+
+def links(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (a, b): confirmed links that connect what is connected, among records of groups (id, component, n)."""
+    whole = groups.groupBy("component").agg(F.count("*").alias("all"), (F.sum("n") * 8).alias("bytes"))
+    blocks = F.greatest(_cuts("all", BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int"))
+    large = staged(whole.where((F.col("all") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).select("component", blocks.alias("blocks")), "large")
+    rows = groups.select("id", "component", "n")
+    found = confirmed(joined(rows, large, "component", "left_anti").select("component", F.lit(0).alias("side"), "id"), texts, ["component"])
+    if large.isEmpty():
+        return found
+    mine = staged(joined(rows, large, "component"), "members")
+    star = staged(confirmed(with_pivots(mine, "component"), texts, ["component", "block"]), "stars")
+    classes_ = connected_components(star).select(F.col("node").alias("id"), F.col("component").alias("sub"))
+    tagged = staged(mine.join(classes_, "id", "left").withColumn("sub", F.coalesce("sub", "id")), "tagged")
+    counts = tagged.groupBy("component", "sub").agg(F.count("*").alias("k"))
+    giant = staged(counts.groupBy("component").agg(F.max(F.struct("k", "sub")).alias("g")).select("component", F.col("g.sub").alias("giant")), "giants")
+    outside = staged(joined(tagged, giant, "component").where("sub <> giant").select("id", "component", "n"), "outside")
+    found = found.unionByName(star)
+    if outside.isEmpty():
+        return found
+    # sets can be similar only if they are of the same or of neighbouring steps of size
+    step = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.log(F.lit(100 / SIMILAR * (1 + 1e-9)))).cast("int")
+    near = F.explode(F.array(step - 1, step, step + 1)).alias("step")
+    inner = outside.select("component", step.alias("step"), "id")
+    return found.unionByName(confirmed(across(inner, mine.select("component", near, "id"), ["component", "step"], BLOCK), texts, ["component", "step", "lcut", "rcut"]))
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, h (the text's hash), digest (of its set, null if that is empty), n_shingles, component_id."""
+    made = staged(records(docs), "records")
+    known = made.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
+    sets = known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.count("*").alias("copies"))
+    recs = staged(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+    forest = connected_components(candidates(recs)).select(F.col("node").alias("id"), "component")
+    groups = staged(forest.join(recs.select("id", "doc_id", "n", "digest", "tokens"), "id"), "groups")
+    kept = joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), groups.select("doc_id"), "doc_id", "left_semi").join(groups.select("doc_id", "id", "digest", "tokens"), "doc_id")
+    texts = staged(kept.withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("doc_id", "h"), "texts")
+    found = staged(connected_components(links(groups, texts)).select(F.col("node").alias("id"), "component"), "classes")
+    least = staged(found.join(recs.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    named = recs.select("id", "digest", "doc_id", "copies").join(joined(found, least, "component").select("id", "component_id"), "id", "left")
+    # sets that one document alone has need no join; the most frequent ones are broadcast, 1 / OFTEN at most
+    several = staged(named.where("copies > 1 OR component_id IS NOT NULL").select("digest", "copies", F.coalesce("component_id", "doc_id").alias("component_id")), "several")
+    often = F.col("copies") >= F.lit(max(2.0, OFTEN * made.count()))
+    hot, cold = several.where(often).select("digest", "component_id"), several.where(~often).select("digest", "component_id")
+    rows = made.select("doc_id", "h", "digest", "n_shingles")
+    alone = F.col("doc_id").isNull() | F.col("digest").isNull()
+    frequent = rows.where(~alone).join(F.broadcast(hot), "digest")
+    others = rows.where(~alone).join(F.broadcast(hot), "digest", "left_anti").join(cold, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return rows.where(alone).withColumn("component_id", F.col("doc_id")).unionByName(frequent.select(*rows.columns, "component_id")).unionByName(others.select(*rows.columns, "component_id"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept."""
-    made = staged(records(docs), "records")
-    known = made.where(F.col("doc_id").isNotNull() & F.col("tokens").isNotNull())
-    recs = staged(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.count("*").alias("copies")), "sets")
-    forest = connected_components(candidates(recs))
-    groups = staged(forest.join(recs.select(F.col("id").alias("node"), "n"), "node"), "groups")
-    found = connected_components(links(docs, groups))
-    a, b = recs.alias("a"), found.alias("b")
-    named = a.join(b, F.col("a.id") == F.col("b.node"), "left").select("a.digest", "a.copies", F.coalesce("b.component", "a.id").alias("component_id"))
-    # sets that one document alone has need no join by digest; the others' rows are spread over salts
-    salts = 16
-    shared = named.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    rows = made.select("doc_id", "n_shingles", F.when(F.col("tokens").isNotNull() & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
-    out = rows.join(shared, ["digest", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return labelled(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents of which no other of their class has a smaller id; all their columns."""
-    gone = staged(classes(docs).where("not kept").select(F.col("doc_id").alias("gone_id")), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """The documents of which no other of their class has a smaller id, one row of those that repeat id and set; all their columns."""
+    rows = staged(labelled(docs).where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull()).select("doc_id", "h", "digest", "component_id"), "labelled")
+    stays = rows.where("doc_id = component_id").groupBy("doc_id", "digest").agg(F.min("h").alias("h"), F.max("h").alias("last"), F.count("*").alias("k")).where("k > 1")
+    stays = staged(stays, "repeated")
+    a, b = rows.where("doc_id = component_id").alias("a"), stays.where("h <> last").alias("b")
+    other = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.digest") == F.col("b.digest")) & (F.col("a.h") != F.col("b.h"))).select("a.doc_id", "a.h")
+    gone = staged(rows.where("doc_id <> component_id").select("doc_id", "h").unionByName(other).distinct(), "gone")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names that no other column has
+    of = dict(zip(docs.columns, plain.columns, strict=True))
+    keyed = plain.withColumn("doc_id", F.col(of["doc_id"]).cast("long")).withColumn("h", F.xxhash64(of["text"]))
+    left = joined(keyed, gone, ["doc_id", "h"], "left_anti")
+    if not stays.isEmpty():
+        again = staged(stays.select("doc_id", "h"), "again")
+        left = joined(left, again, ["doc_id", "h"], "left_anti").unionByName(joined(left, again, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]))
+    return left.select(*(F.col(of[c]).alias(c) for c in docs.columns))
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
