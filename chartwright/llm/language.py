@@ -7,33 +7,36 @@ the labels with the greatest sum of scores less SWITCH for each change of langua
 are spans. The language with the most letters is the text's, its share of them, scaled by how sure
 the spans' scores are, the score.
 
-The model is fitted on a bounded sample: at most SAMPLE documents of each language, those with the
-smallest hashes of their ids, whole. Its size is languages x BUCKETS. Texts are labelled where they
-are read, many at once: step t of the pass handles the t-th word of all texts of a batch.
-
-Defined results: und with score 0 if the text is null or has no letter, or if nothing could be
-learned. Any other columns are ignored by predict(), kept by accepted().
+The model is fitted on a bounded sample: of each language the documents with the smallest hashes of
+their ids, SAMPLE // PARTS of each of PARTS parts, whole. They are written, counted by n-gram where they
+are read, and the counts summed by language, so that languages x BUCKETS rows reach the driver. Texts are
+labelled where they are read, a slice of bytes at once: step t of the pass handles the t-th word of all
+texts of a slice.
+
+Defined results: und with score 0 if the text is null or has no letter (Unicode category L), or if nothing
+could be learned. Of languages with equal scores or votes the first by name wins. Any other columns are ignored by predict(), kept by accepted().
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chartwright.llm.common import crc_bucket, give_back, read
+from chartwright.llm.common import crc_bucket, give_back, read, slices, small_batches, staged
 
-SAMPLE, BUCKETS, GRAM, SWITCH = 1500, 1 << 16, 4, 6.0
-KNOWN = 60_000
+SAMPLE, PARTS, BUCKETS, GRAM, SWITCH = 1500, 64, 1 << 16, 4, 6.0
+#: Words whose scores a task keeps at hand; bytes of texts that are labelled at once.
+KNOWN, SLICE = 60_000, 1 << 20
 #: First code points of scripts' ranges, and the scripts (0 other, 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian, 5 Hebrew, 6 Arabic, 7 Indic, 8 Thai and Lao, 9 Tibetan to Georgian, 10 Hangul, 11 Kana, 12 Han).
 RANGE_STARTS = np.array([0, 0x41, 0x250, 0x370, 0x400, 0x530, 0x590, 0x600, 0x780, 0x900, 0xE00, 0xF00, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00])
+SCRIPTS = 13
 RANGE_SCRIPTS = np.array([0, 1, 1, 2, 3, 4, 5, 6, 0, 7, 8, 9, 10, 0, 1, 2, 0, 11, 10, 12, 0, 10, 0, 12, 0])
-LETTER = re.compile(r"[^\W\d_]+")
 
 
 def script(ch: str) -> int:
@@ -41,7 +44,9 @@ def script(ch: str) -> int:
 
 
 def letters(word: str) -> str:
-    return word.lower() if word.isalpha() else "".join(LETTER.findall(word.lower()))
+    """The letters of a word in lower case; a character is a letter by its category."""
+    low = word.lower()
+    return low if low.isalpha() else "".join(filter(str.isalpha, low))
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,34 +95,46 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from rows (doc_id, text, lang): of each language the `sample` documents with the smallest hashes."""
+def chosen(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Rows (lang, text) to learn from: of each language the documents with the smallest hashes, in equal numbers of each of PARTS parts."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", F.xxhash64("doc_id", F.lit(7)).alias("h"))
-    # the smallest hashes of each of 64 parts of a language; Spark keeps that limit in each task before the shuffle
-    part = W.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
-    chosen = known.withColumn("nth", F.row_number().over(part)).where(F.col("nth") <= max(1, sample // 64)).select("lang", "h")
-    rows = docs.withColumn("h", F.xxhash64("doc_id", F.lit(7))).join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("lang", "text")  # languages x sample rows
+    # Spark keeps the limit of a part in each task before the shuffle
+    part = W.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h")
+    least = known.withColumn("nth", F.row_number().over(part)).where(F.col("nth") <= max(1, sample // PARTS)).select("lang", "h")
+    return docs.withColumn("h", F.xxhash64("doc_id", F.lit(7))).join(F.broadcast(least), ["lang", "h"], "left_semi").select("lang", "text")  # languages x sample rows
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """Rows (lang, at, n): n-grams by bucket, and words by script, at -1 - script."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, scripts = {}, {}
+        counts: dict[str, np.ndarray] = {}
         for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ws = [w for w in map(letters, text.split()) if w]
-                c = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                s = scripts.setdefault(lang, np.zeros(13, np.int64))
-                c += np.bincount(grams(ws)[0], minlength=BUCKETS)
-                for w in ws:
-                    s[script(w[0])] += 1
-        for lang in counts:
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([counts[lang].tobytes()], pa.binary()), pa.array([scripts[lang].tobytes()], pa.binary())], ["lang", "counts", "scripts"])
-
-    parts = rows.coalesce(4).mapInArrow(count, "lang string, counts binary, scripts binary").collect()  # a table for each language and task
+            for part in slices(b, "text", SLICE):
+                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    ws = [w for w in map(letters, text.split()) if w]
+                    c = counts.setdefault(lang, np.zeros(BUCKETS + SCRIPTS, np.int64))
+                    for k in range(0, len(ws), 50_000):
+                        c[SCRIPTS:] += np.bincount(grams(ws[k : k + 50_000])[0], minlength=BUCKETS)
+                    for w in ws:
+                        c[SCRIPTS - 1 - script(w[0])] += 1
+        for lang, c in counts.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at - SCRIPTS), pa.array(c[at])], ["lang", "at", "n"])
+
+    return rows.mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """Learns from rows (doc_id, text, lang); languages x BUCKETS counts reach the driver."""
+    small_batches(docs.sparkSession)
+    found = counted(staged(chosen(docs, sample), "labelled")).toArrow()
     counts: dict[str, np.ndarray] = {}
-    scripts: dict[str, np.ndarray] = {}
-    for r in parts:
-        counts[r[0]] = counts.get(r[0], 0) + np.frombuffer(r[1], np.int64)
-        scripts[r[0]] = scripts.get(r[0], 0) + np.frombuffer(r[2], np.int64)
-    return Model(counts, scripts)
+    lang = found.column("lang").combine_chunks().dictionary_encode() if found.num_rows else pa.array([], pa.string()).dictionary_encode()
+    of, at, n = lang.indices.to_numpy(), found.column("at").to_numpy(), found.column("n").to_numpy()
+    for k, name in enumerate(lang.dictionary.to_pylist()):
+        counts[name] = np.bincount(at[of == k] + SCRIPTS, n[of == k], BUCKETS + SCRIPTS).astype(np.int64)
+    return Model({x: c[SCRIPTS:] for x, c in counts.items()}, {x: c[:SCRIPTS][::-1] for x, c in counts.items()})
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
@@ -129,7 +146,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH) ->
     active = [int(x) for x in np.searchsorted(-falling, -np.arange(int(falling[0]) if len(falling) else 0), side="left")]
     best = np.zeros((len(order), k), dtype=np.float32)
     stay = np.zeros((scores.shape[0], k), dtype=bool)
-    source = np.zeros(scores.shape[0], dtype=np.int8)
+    source = np.zeros(scores.shape[0], dtype=np.int16)
     for t, n in enumerate(active):  # the first n texts have a t-th word
         at = starts[:n] + t
         top = best[:n].argmax(axis=1)
@@ -137,8 +154,8 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH) ->
         keep = best[:n] >= jump[:, None]
         stay[at], source[at] = keep, top
         best[:n] = np.where(keep, best[:n], jump[:, None]) + scores[at]
-    labels = np.zeros(scores.shape[0], dtype=np.int8)
-    state = best.argmax(axis=1).astype(np.int8)
+    labels = np.zeros(scores.shape[0], dtype=np.int16)
+    state = best.argmax(axis=1).astype(np.int16)
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
         at = starts[:n] + t
@@ -153,6 +170,7 @@ PREDICTION = "lang_pred string, score double, spans string"
 def predict(docs: DataFrame, model: Model, keep: list[str], column: str = "text") -> DataFrame:
     """The named columns of docs and lang_pred, score and spans (language:first word:end, comma-joined; words are blank-separated)."""
     langs = model.languages
+    small_batches(docs.sparkSession)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", {PREDICTION}"
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +178,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str], column: str = "text"
         table = np.zeros((0, len(langs)), dtype=np.float32)
         sizes = np.zeros(0, dtype=np.int64)
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                b = whole.slice(k, 1000)
+            # texts of about one length together: the pass over a slice takes as many steps as its longest text has words
+            longest = np.argsort(-pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False), kind="stable")
+            for b in slices(whole.take(pa.array(longest)), column, SLICE):
                 split = [(t or "").split() for t in b.column(column).to_pylist()]
                 if len(number) > KNOWN:
                     number, table, sizes = {}, table[:0], sizes[:0]
@@ -169,7 +188,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], column: str = "text"
                 if new and langs:
                     plain = [letters(w) for w in new]
                     number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-                    table = np.concatenate([table, model.words(plain)])
+                    table = np.concatenate([table, *(model.words(plain[k : k + 20_000]) for k in range(0, len(plain), 20_000))])
                     sizes = np.concatenate([sizes, np.fromiter(map(len, plain), np.int64, len(plain))])
                 lengths = np.fromiter(map(len, split), np.int64, len(split))
                 ids = np.fromiter((number[w] for ws in split for w in ws), np.int64, int(lengths.sum())) if langs else np.zeros(0, np.int64)
