@@ -9,13 +9,14 @@ in the documents that hold that entity: generalised if the caller names a more g
 removed. An entity that all documents hold has no information to disclose. Words that overlap an
 entity are removed with it and are no terms.
 
-Counts are of whole documents, over all of them, with partial sums before each shuffle. Terms in more
-documents than any entity's threshold allows are dropped before they are paired with entities. Joins
+Counts are of whole documents, over all of them, with partial sums before each shuffle. An entity of a
+single document needs no pairs, as it and any term of that document meet once; other entities are
+paired with those of a document's terms that are in no more documents than the threshold allows. Joins
 take what is in at least 1 of FREQUENT documents (so few terms, entities or pairs) by broadcast and the
 rest by shuffle, where no key has many rows.
 
-Defined results: a null text is an empty one. Rows that repeat id and text get the same spans, each
-its row. Any other columns are ignored. Empty tables give empty results.
+Defined results: a null text is an empty one. Rows are documents: those that repeat id and text count
+each, and get the same spans. Any other columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartwright.llm import spans as S
-from chartwright.llm.common import read, staged
+from chartwright.llm.common import read, staged, tiered
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Java patterns with the matches of the base patterns; possessive, and begun only where a run begins or a match has ended, so that long runs take linear time.
@@ -75,80 +76,64 @@ def terms(text: Column, pattern: str = TERM) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w: F.lower(w)))
 
 
+def masked(text: Column, base: Column) -> Column:
+    """The text with every character of the spans replaced by the mark; positions stay."""
+    mark = lambda s: F.repeat(F.lit(MARK), s["end"] - s["start"])
+    tail = lambda s, at: F.repeat(F.lit(MARK), F.greatest(s["end"] - at, F.lit(0)))
+    return S.replaced(F.translate(text, MARK, " "), base, mark, tail)
+
+
 def terms_apart(text: Column, base: Column) -> Column:
     """The distinct terms that overlap no span of base."""
-    return terms(S.replaced(F.translate(text, MARK, " "), base, [MARK] * len(KINDS)), APART)
+    return terms(masked(text, base), APART)
 
 
 def spots(text: Column, base: Column, told: Column) -> Column:
     """Spans (kind 4) of the terms in the array told wherever they stand, unless they overlap one of base."""
-    hits = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, TERM, -1), 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
-    state = F.struct(F.lit(0).alias("at"), F.lit([]).cast(f"array<{S.SPAN}>").alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end, term = start + F.length(x["hit"]), F.lower(x["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(4).alias("kind"), term.alias("text"))
-        return F.struct(end.alias("at"), F.when(F.array_contains(told, term), F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
-
-    found = F.aggregate(pairs, state, step, lambda acc: acc["found"])
-    return F.filter(found, lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-
-
-def tiered(left: DataFrame, right: DataFrame, on: str | list[str], often: Column) -> DataFrame:
-    """Inner join whose frequent keys, those rows of right, are broadcast."""
-    return left.join(F.broadcast(right.where(often)), on).unionByName(left.join(right.where(~often), on))
+    lowered = F.transform(S.find(masked(text, base), APART, 4), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lower(s["text"]).alias("text")))
+    return F.filter(lowered, lambda s: F.array_contains(told, s["text"]))
 
 
 def disclosures(held: DataFrame, docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """Rows (doc_id, h, term): the terms that disclose an entity of the document. held: rows (doc_id, h, entities, terms); docs: rows with text, all of the corpus."""
+    """Rows (row, term): the terms that disclose an entity of the row. held: rows (row, entities, terms); docs: rows with text, all of the corpus."""
     n = docs.count()
     often = n / FREQUENT
-    entities = staged(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n), "entities")
-    n_t = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    # the share is reached while n_t <= n_et (n / n_e)^(1 - share), and n_et is at most n_e
-    most = entities.agg(F.max(F.col("n_e") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - share)))).first()[0] or 0.0
-    n_t = staged(n_t.where(F.col("n_t") <= F.lit(most * (1 + 1e-9))), "terms")
-    known = tiered(held.select("doc_id", "h", "entities", F.explode("terms").alias("term")), n_t, "term", F.col("n_t") >= often)
-    both = staged(known.select("doc_id", "h", F.explode("entities").alias("entity"), "term", "n_t"), "both")
-    pairs = staged(both.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.max("n_t").alias("n_t")), "pairs")
     own = F.log2(F.lit(float(n)) / F.col("n_e"))
-    mutual = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et").cast("double")))
-    told = tiered(pairs, entities, "entity", F.col("n_e") >= often).where(mutual >= own * share - 1e-9).select("entity", "term", "n_et")
-    return tiered(both.select("doc_id", "h", "entity", "term"), staged(told, "told"), ["entity", "term"], F.col("n_et") >= often).select("doc_id", "h", "term")
+    mutual = lambda n_et: F.log2(F.lit(float(n)) * n_et / (F.col("n_e") * F.greatest(F.col("n_t"), n_et).cast("double")))
+    # the share is reached while n_t <= n_et (n / n_e)^(1 - share), and n_et is at most n_e
+    most = F.col("n_e") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - share)) * (1 + 1e-9)
+    each = held.select("row", F.explode("entities").alias("entity"))
+    entities = staged(each.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n), "entities")
+    n_t = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = staged(n_t.where(F.col("n_t") <= F.lit(entities.agg(F.max(most)).first()[0] or 0.0)), "terms")
+    by_row = staged(tiered(each, entities, "entity", F.col("n_e") >= often), "by_row")
+    known = staged(tiered(held.select("row", F.explode("terms").alias("term")), n_t, "term", F.col("n_t") >= often), "known")
+    # an entity of one row needs no pairs: n_et is 1
+    alone = by_row.where("n_e = 1").select("row", "n_e").distinct().join(known, "row").where(mutual(F.lit(1)) >= own * share - 1e-9)
+    both = staged(by_row.where("n_e > 1").join(known, "row").where(F.col("n_t") <= most), "both")
+    pairs = staged(both.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e")).where(mutual(F.col("n_et")) >= own * share - 1e-9).select("entity", "term", "n_et"), "pairs")
+    told = tiered(both.select("row", "entity", "term"), pairs, ["entity", "term"], F.col("n_et") >= often)
+    return alone.select("row", "term").unionByName(told.select("row", "term"))
 
 
 def sanitised(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """For rows (doc_id, text): doc_id, the text's hash h, base (spans of the patterns) and added (spans of disclosing terms, kind 4)."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = docs.withColumn("h", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
-    found = staged(found.select("doc_id", "h", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "found")
-    some = found.where(F.col("text").isNotNull())
-    held = some.select("doc_id", "h", F.array_distinct(F.transform("base", entity)).alias("entities"), terms_apart(F.col("text"), F.col("base")).alias("terms"))
-    told = disclosures(staged(held, "held"), docs, share).groupBy("doc_id", "h").agg(F.collect_set("term").alias("told"))
-    a, b = found.alias("a"), told.alias("b")
-    joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h")), "left")
-    added = F.when(F.col("b.told").isNotNull(), spots(F.col("a.text"), F.col("a.base"), F.col("b.told")))
-    return joined.select("a.doc_id", "a.h", "a.base", F.coalesce(added, F.lit([]).cast(f"array<{S.SPAN}>")).alias("added"))
+    found = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
+    found = staged(found.select("row", "doc_id", "h", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "found")
+    some, none = found.where(F.col("text").isNotNull()), F.lit([]).cast(f"array<{S.SPAN}>")
+    held = some.select("row", F.array_distinct(F.transform("base", entity)).alias("entities"), terms_apart(F.col("text"), F.col("base")).alias("terms"))
+    told = disclosures(staged(held, "held"), docs, share).groupBy("row").agg(F.collect_set("term").alias("told"))
+    added = F.when(F.col("told").isNotNull(), spots(F.col("text"), F.col("base"), F.col("told")))
+    joined = some.join(told, "row", "left").select("doc_id", "h", "base", F.coalesce(added, none).alias("added"))
+    return joined.unionByName(found.where(F.col("text").isNull()).select("doc_id", "h", "base", none.alias("added")))
 
 
 def clean_text(text: Column, spans: Column, general: dict[str, str] | None = None) -> Column:
     """The text with entities replaced by their kind and disclosing terms by a more general one, or removed."""
-    known = F.create_map(*(F.lit(x) for kv in general.items() for x in kv)) if general else None
-    if known is None:
-        return S.replaced(text, spans, [f"[{k.upper()}]" for k in KINDS] + [""])
-    state = F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<string>").alias("parts"))
-    marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + F.lit(1), F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.when(s["kind"] < 4, F.get(marks, s["kind"])).otherwise(F.coalesce(F.try_element_at(known, s["text"]), F.lit("")))
-        new = F.when(s["start"] >= acc["at"], F.array(gap, mark)).otherwise(F.lit([]).cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["parts"], new).alias("parts"))
-
-    done = F.aggregate(S.ordered(spans, "start", "kind"), state, step)
-    return F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + F.lit(1), F.length(text)))
+    known = F.create_map(*(F.lit(x) for kv in (general or {"": ""}).items() for x in kv))
+    mark = S.by_kind([*(f"[{k.upper()}]" for k in KINDS), ""])
+    return S.replaced(text, spans, lambda s: F.when(s["kind"] < len(KINDS), mark(s)).otherwise(F.coalesce(F.try_element_at(known, s["text"]), F.lit(""))))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ allow-list (identifiers that look random but are public) are no spans.
 
 All is done with DataFrame functions in the task that reads the text; nothing is shuffled.
 
-Defined results: a null text is an empty one and has no spans. Any other columns are kept by
-with_secrets() and redacted(), which add columns named secret_*.
+Defined results: a null text is an empty one and has no spans. Rows that repeat are scanned each. Any
+other columns are kept by with_secrets(), which adds secret_base and secret_spans and refuses a table
+that has them, and by redacted(), which adds none.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ["assign", "access", "hex"]
 #: name, candidates, window, least entropy in bits, what a span must hold besides.
 CLASSES = [
-    ("entropy_hex", r"(?<![A-Za-z0-9])(?:[0-9A-F]{20,}|[0-9a-f]{20,})(?![A-Za-z0-9])", 20, 3.0, r"[0-9].*[A-Fa-f]|[A-Fa-f].*[0-9]"),
-    ("entropy_base64", r"[A-Za-z0-9+/_-]{24,}={0,2}", 20, 3.8, r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])"),
+    ("entropy_hex", r"(?<![A-Za-z0-9])(?:[0-9A-F]{20,}|[0-9a-f]{20,})(?![A-Za-z0-9])", 20, 3.0, r"^(?=.*[0-9])(?=.*[A-Fa-f])"),
+    ("entropy_base64", r"[A-Za-z0-9+/_-]{24,}={0,2}", 20, 3.8, r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])"),
 ]
+#: Bits of a character's count in a long, counts in a long, and the greatest count.
+COUNT_BITS, PER_LONG, COUNT_MOST = 5, 12, 31
 #: Candidates that match one of these are public: UUIDs, digests in subresource-integrity form, documentation keys, alphabets.
 ALLOW = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -44,33 +47,36 @@ def _xlog(c: Column) -> Column:
 
 
 def hot_range(text: Column, window: int, least: float) -> Column:
-    """Struct (first, last) of a string of ASCII characters: where the windows of at least that entropy begin and end; nulls if there is none."""
-    codes = F.transform(F.split(text, "", -1), lambda c: F.ascii(c))
-    state = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")
-    )
+    """Struct (first, last) of a string of printable ASCII characters: where the windows of at least that entropy begin and end; nulls if there is none.
+
+    The counts of a window's characters, at most COUNT_MOST each, are packed in longs, so that a step
+    changes one field of one or two of them.
+    """
+    if window > COUNT_MOST:
+        raise ValueError(f"a window has at most {COUNT_MOST} characters")
+    places = -(-96 // PER_LONG)
+    state = F.struct(F.array_repeat(F.lit(0).cast("long"), places).alias("counts"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    one = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
+    count = lambda counts, at: F.call_function("shiftright", F.element_at(counts, at["word"] + 1), at["bit"]).bitwiseAND(F.lit(COUNT_MOST))
 
     def step(acc: Column, x: Column) -> Column:
-        new, old, i = x["new"], x["old"], x["i"]
-        c_new, c_old = F.element_at(acc["counts"], new + 1), F.element_at(acc["counts"], old + 1)
-        kept = F.transform(acc["counts"], lambda c, j: c + F.when(j == new, 1).otherwise(0) - F.when(j == old, 1).otherwise(0))
-        s = F.when(new == old, acc["s"]).otherwise(acc["s"] + _xlog(c_new + 1) - _xlog(c_new) + F.when(old >= 0, _xlog(c_old - 1) - _xlog(c_old)).otherwise(0.0))
-        return F.struct(kept.alias("counts"), s.alias("s"), acc["first"].alias("first"), acc["last"].alias("last"))
-
-    def seen(acc: Column, x: Column) -> Column:
-        after = step(acc, x)
+        new, old = x["new"], x["old"]
+        c_new, c_old = count(acc["counts"], new), F.when(old["word"] >= 0, count(acc["counts"], old)).otherwise(F.lit(0).cast("long"))
+        kept = F.transform(acc["counts"], lambda c, j: c + F.when(j == new["word"], one(new["bit"])).otherwise(0) - F.when(j == old["word"], one(old["bit"])).otherwise(0))
+        moved = acc["s"] + _xlog(c_new + 1) - _xlog(c_new) + F.when(c_old > 0, _xlog(c_old - 1) - _xlog(c_old)).otherwise(0.0)
+        s = F.when((new["word"] == old["word"]) & (new["bit"] == old["bit"]), acc["s"]).otherwise(moved)
         # log2(w) - s / w >= least, as a bound on s
-        high = (x["i"] >= window) & (after["s"] <= F.lit(window * (_log2(window) - least) + 1e-9))
-        return F.struct(
-            after["counts"].alias("counts"),
-            after["s"].alias("s"),
-            F.coalesce(acc["first"], F.when(high, x["i"] - window)).alias("first"),
-            F.when(high, x["i"]).otherwise(acc["last"]).alias("last"),
-        )
+        high = (x["i"] >= window) & (s <= F.lit(window * (_log2(window) - least) + 1e-9))
+        return F.struct(kept.alias("counts"), s.alias("s"), F.coalesce(acc["first"], F.when(high, x["i"] - window)).alias("first"), F.when(high, x["i"]).otherwise(acc["last"]).alias("last"))
+
+    def moves(places_: Column) -> Column:
+        none = F.array_repeat(F.struct(F.lit(-1).alias("word"), F.lit(0).alias("bit")), window)
+        both = F.zip_with(places_, F.slice(F.concat(none, places_), F.lit(1), F.size(places_)), lambda n, o: F.struct(n.alias("new"), o.alias("old")))
+        return F.transform(both, lambda x, i: F.struct((i + 1).alias("i"), x["new"].alias("new"), x["old"].alias("old")))
 
-    at = F.sequence(F.lit(1), F.length(text))
-    moves = F.transform(at, lambda i: F.struct(i.alias("i"), F.element_at(codes, i).alias("new"), F.when(i > window, F.get(codes, i - window - 1)).otherwise(F.lit(-1)).alias("old")))
-    return F.aggregate(moves, state, seen, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    code = lambda c: F.ascii(c) - 32
+    spots = F.transform(F.split(text, "", -1), lambda c: F.struct(F.floor(code(c) / PER_LONG).cast("int").alias("word"), (code(c) % PER_LONG * COUNT_BITS).alias("bit")))
+    return F.aggregate(S.let(spots, moves), state, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
 def _log2(x: float) -> float:
@@ -97,19 +103,24 @@ def base_spans(text: Column) -> Column:
 
 
 def with_secrets(docs: DataFrame, column: str = "text", allow: list[str] | None = None) -> DataFrame:
-    """Adds secret_base (spans of the patterns) and secret_spans (these and those by entropy), arrays of spans."""
+    """Adds secret_base (spans of the patterns) and secret_spans (these and those by entropy), arrays of spans. Columns of these names must not be there."""
+    if taken := {"secret_base", "secret_spans"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(taken)} would be overwritten")
     text = F.coalesce(F.col(column), F.lit(""))
     found = docs.withColumn("secret_base", base_spans(text))
     return found.withColumn("secret_spans", S.ordered(F.concat("secret_base", *(entropy_spans(text, i, allow) for i in range(len(CLASSES)))), "start", "kind"))
 
 
+#: A column's name while texts are redacted; no table has it.
+_FREE = "\x01spans"
+
+
 def redacted(docs: DataFrame, column: str = "text") -> DataFrame:
     """The documents with each secret replaced by [SECRET]; texts without one stay as they are."""
     text = F.coalesce(F.col(column), F.lit(""))
-    found = docs.withColumn("__base", base_spans(text))
-    found = found.withColumn("__spans", F.concat("__base", *(entropy_spans(text, i) for i in range(len(CLASSES)))))
-    marks = ["[SECRET]"] * (len(KINDS) + len(CLASSES))
-    return found.withColumn(column, S.replaced(F.col(column), F.col("__spans"), marks)).select(*docs.columns)
+    spans = F.concat(base_spans(text), *(entropy_spans(text, i) for i in range(len(CLASSES))))
+    own = docs.withColumn(_FREE, spans)
+    return own.withColumn(column, S.replaced(F.col(column), F.col(_FREE), lambda s: F.lit("[SECRET]"))).select(*docs.columns)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
