@@ -11,7 +11,8 @@ shingles.
 Documents' shingles are exploded in the task that reads them and meet the items' signature there, by
 broadcast, while that has fewer than SIGNATURE_BROADCAST rows; beyond that by a shuffled join, salted,
 so that a shingle which a third of all documents hold is spread over SALTS tasks. Only candidates,
-distinct pairs, are shuffled further: as many rows as pairs that are verified.
+distinct pairs, are shuffled further: as many rows as pairs that are verified. Their documents are
+picked by (id, text hash) before their shingles are made again.
 
 Items of fewer words than a shingle's are one shingle of all their words, searched among the
 documents' shingles of that length. Items and texts without words match nothing; null texts are
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartwright.llm.common import read, staged
+from chartwright.llm.common import BROADCAST, read, staged
 
 WORDS, CONTAINMENT = 5, 0.8
 #: Item sizes from 2^p to 2^(p+1) - 1 shingles are a partition.
@@ -66,12 +67,15 @@ def leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, n
     shingled = staged(item_shingles(items, n), "items")
     signed = staged(signature(shingled, containment), "signature")
     sizes = [r[0] for r in shingled.select("n_words").distinct().collect()]  # n values at most
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    hashed = texts.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("w"))
-    all_hashes = F.array_distinct(F.concat(F.lit([]).cast("array<long>"), *(shingles_of(F.col("w"), k) for k in sizes)))
-    sets = hashed.select("doc_id", "h", all_hashes.alias("s"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).where(F.col("text").isNotNull())
+
+    def sets(rows: DataFrame) -> DataFrame:
+        """Rows (doc_id, h, s): the distinct hashes of a text's shingles of all the lengths that items have."""
+        split = rows.select("doc_id", "h", words_of(F.col("text")).alias("w"))
+        return split.select("doc_id", "h", F.array_distinct(F.concat(F.lit([]).cast("array<long>"), *(shingles_of(F.col("w"), k) for k in sizes))).alias("s"))
+
     # explode() would add a filter on the array's size, for which Spark makes the words anew for each shingle
-    probes = sets.select("doc_id", "h", F.explode_outer("s").alias("sh")).where(F.col("sh").isNotNull())
+    probes = sets(texts).select("doc_id", "h", F.explode_outer("s").alias("sh")).where(F.col("sh").isNotNull())
     marks = signed.select("sh", "item_id")
     if signed.count() <= SIGNATURE_BROADCAST:
         met = probes.join(F.broadcast(marks), "sh")
@@ -80,10 +84,16 @@ def leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, n
         met = probes.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted, ["sh", "salt"])
     candidates = staged(met.select("doc_id", "h", "item_id").distinct(), "candidates")
     # the candidates' documents are few: their sets are made again rather than all sets be kept
-    wanted = candidates.select(F.col("doc_id").alias("c_doc"), F.col("h").alias("c_h")).distinct()
-    again = sets.join(wanted, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("h") == F.col("c_h")), "left_semi")
-    full = candidates.join(shingled, "item_id").select("doc_id", "h", "item_id", "m", "hashes")
-    a, b = full.alias("a"), again.dropDuplicates(["doc_id", "h"]).alias("b")
+    wanted = staged(candidates.select(F.col("doc_id").alias("c_doc"), F.col("h").alias("c_h")).distinct(), "wanted")
+    few = wanted.count() <= BROADCAST
+    again = sets(texts.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("h") == F.col("c_h")), "left_semi"))
+    # an item that a large part of all documents holds: its set is broadcast, or spread over salts
+    if (shingled.agg(F.sum("m")).first()[0] or 0) <= SIGNATURE_BROADCAST:
+        full = candidates.join(F.broadcast(shingled), "item_id")
+    else:
+        spread = shingled.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        full = candidates.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(spread, ["item_id", "salt"])
+    a, b = full.select("doc_id", "h", "item_id", "m", "hashes").alias("a"), again.dropDuplicates(["doc_id", "h"]).alias("b")
     both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h")))
     shared = F.size(F.array_intersect("a.hashes", "b.s"))
     return both.select("a.doc_id", "a.h", "a.item_id", "a.m", shared.alias("shared")).where(F.col("shared") >= F.col("m") * containment - 1e-9)
@@ -91,8 +101,12 @@ def leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, n
 
 def decontaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """The documents without those into which an item leaks; all their columns."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names that no column of a leak has
+    of = dict(zip(docs.columns, plain.columns, strict=True))
     found = staged(leaks(docs, items, containment).select(F.col("doc_id").alias("leak_doc"), F.col("h").alias("leak_h")).distinct(), "leaks")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["leak_doc"]) & (F.xxhash64(docs["text"]) == found["leak_h"]), "left_anti")
+    found = F.broadcast(found) if found.count() <= BROADCAST else found
+    left = plain.join(found, F.col(of["doc_id"]).eqNullSafe(F.col("leak_doc")) & (F.xxhash64(of["text"]) == F.col("leak_h")), "left_anti")
+    return left.select(*(F.col(of[c]).alias(c) for c in docs.columns))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +122,10 @@ i AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')),
 ish AS (SELECT item_id, unnest({_SHINGLES}) AS s FROM i),
 m AS (SELECT item_id, count(*) AS item_shingles FROM ish GROUP BY 1),
 dsh AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) AS s FROM d WHERE len(w) >= 5),
-x AS (SELECT doc_id, item_id, count(*) AS shared_shingles FROM dsh JOIN ish USING (s) GROUP BY 1, 2)
+few AS (SELECT item_id, len(w) AS k, array_to_string(w, ' ') AS s FROM i WHERE len(w) BETWEEN 1 AND 4),
+fsh AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, CAST(len(w) - k + 2 AS BIGINT)), lambda j: array_to_string(w[j:CAST(j + k - 1 AS BIGINT)], ' '))) AS s FROM d, (SELECT DISTINCT k FROM few) WHERE len(w) >= k),
+x AS (SELECT doc_id, item_id, count(*) AS shared_shingles FROM dsh JOIN (SELECT * FROM ish WHERE item_id NOT IN (SELECT item_id FROM few)) USING (s) GROUP BY 1, 2
+  UNION ALL SELECT doc_id, item_id, 1 FROM fsh JOIN few USING (k, s))
 SELECT doc_id, item_id, item_shingles, shared_shingles, round(shared_shingles / item_shingles, 6) AS containment
 FROM x JOIN m USING (item_id) WHERE shared_shingles >= 0.8 * item_shingles
 """
