@@ -9,11 +9,13 @@ quote go with it. What is left of a message is its level-0 text.
 
 Reply order: a message's depth is its distance to the root of its parents, found by doubling pointers
 (as many rounds as the logarithm of the longest chain), and a conversation reads in order of root,
-depth and turn. Messages stay rows: no task holds a conversation.
+depth and turn. Messages stay rows, keyed by conversation and hash: no task holds a conversation, also
+not where turns are written as replies, which is done by ranges of (conversation, turn).
 
 Parsing is done in Arrow batches; joins are on (conversation, hash), and each indexed passage is one
 row, the earliest, so a passage that very many messages quote meets one row; the quoting side of such
-a passage is spread over SALTS tasks.
+a passage is spread over SALTS tasks. Chains are written at each round, so their joins are of plain
+exchanges, whose skewed partitions (very many replies to one message) adaptive execution splits.
 
 Defined results: a null text has no passages and an empty body; a null conversation or turn is linked
 with nothing and is its own root. Rows that repeat conversation and turn are told apart by their
@@ -32,9 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chartwright.llm.common import read, staged
+from chartwright.llm.common import read, slices, small_batches, staged
 
 SALTS = 16
+#: Bytes of texts that are parsed at once.
+SLICE = 1 << 20
 MARK = re.compile(r"^(?:[ \t]{0,3}>)+[ \t]?")
 ATTRIBUTION = re.compile(r"^.{0,200}\b(?:wrote|writes|schrieb|escribió|a écrit)\s*:\s*$", re.IGNORECASE)
 PARSED = "conv_id long, turn long, message long, body string, passages array<struct<level:int,hash:long>>"
@@ -79,10 +83,11 @@ def passages(text: str) -> tuple[str, list[tuple[int, int]]]:
 
 def parsed(messages: DataFrame) -> DataFrame:
     """Rows (PARSED) of messages (conv_id, turn, text); message is a hash of the row."""
+    small_batches(messages.sparkSession)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64())]))
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text", SLICE)):
             got = [passages(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("message"), pa.array([x[0] for x in got], pa.string()), pa.array([[{"level": n, "hash": h} for n, h in x[1]] for x in got], kind)], ["conv_id", "turn", "message", "body", "passages"])
 
@@ -107,12 +112,13 @@ def replies(messages: DataFrame) -> DataFrame:
 
 
 def rooted(parents: DataFrame, rounds: int = 40) -> DataFrame:
-    """Rows (message, root, root_turn, depth) for rows (message, parent, parent_turn): the last message of each chain of parents and how far it is."""
-    at = staged(parents.select("message", F.col("parent").alias("root"), F.col("parent_turn").alias("root_turn"), F.lit(1).cast("long").alias("depth")).dropDuplicates(["message"]), "chains")
+    """Rows (conv_id, message, root, root_turn, depth) for rows (conv_id, message, parent, parent_turn): the last message of each chain of parents and how far it is."""
+    first = parents.select("conv_id", "message", F.col("parent").alias("root"), F.col("parent_turn").alias("root_turn"), F.lit(1).cast("long").alias("depth"))
+    at = staged(first.dropDuplicates(["conv_id", "message"]), "chains")
     for _ in range(rounds):
-        up = at.select(F.col("message").alias("root"), F.col("root").alias("further"), F.col("root_turn").alias("further_turn"), F.col("depth").alias("more"))
-        joined = at.join(up, "root", "left")
-        after = staged(joined.select("message", F.coalesce("further", "root").alias("root"), F.coalesce("further_turn", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved")), "chains")
+        up = at.select("conv_id", F.col("message").alias("root"), F.col("root").alias("further"), F.col("root_turn").alias("further_turn"), F.col("depth").alias("more"))
+        found = at.join(up, ["conv_id", "root"], "left")
+        after = staged(found.select("conv_id", "message", F.coalesce("further", "root").alias("root"), F.coalesce("further_turn", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved")), "chains")
         at = after.drop("moved")
         if after.where("moved").isEmpty():
             return at
@@ -123,19 +129,41 @@ def conversations(messages: DataFrame) -> DataFrame:
     """One row for each message (conv_id, turn, text): conv_id, turn, body, parent_turn, root_turn, depth."""
     made = staged(parsed(messages), "messages")
     parents = staged(replies(made), "parents")
-    chains = rooted(parents)
-    told = parents.select("message", "parent_turn").dropDuplicates(["message"]).join(chains, "message")
-    rows = made.select("conv_id", "turn", "message", "body").join(told.select("message", "parent_turn", "root_turn", "depth"), "message", "left")
+    key = ["conv_id", "message"]
+    told = parents.select(*key, "parent_turn").dropDuplicates(key).join(rooted(parents), key)
+    rows = made.select("conv_id", "turn", "message", "body").join(told.select(*key, "parent_turn", "root_turn", "depth"), key, "left")
     return rows.select("conv_id", "turn", "body", "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
 
 
+def with_previous(turns: DataFrame) -> DataFrame:
+    """Adds one and two: the texts of the turn before and of the one before that in the conversation, by turn, then text.
+
+    Rows are dealt to ranges of (conversation, turn), written once; each range is a window of its own,
+    and the two last rows of each, so few, are carried over to the next.
+    """
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["conv_id", "turn", "text"]
+    ranged = staged(turns.select(*order).repartitionByRange(parts, *order).withColumn("pid", F.spark_partition_id()), "ranges")
+    it = F.struct("conv_id", "text")
+    inside, back = W.partitionBy("pid").orderBy(*order), W.partitionBy("pid").orderBy(*(F.desc(c) for c in order))
+    rows = ranged.withColumn("nth", F.row_number().over(inside)).withColumn("p1", F.lag(it, 1).over(inside)).withColumn("p2", F.lag(it, 2).over(inside))
+    tails = ranged.withColumn("last", F.row_number().over(back)).where("last <= 2").select("pid", "last", it.alias("it"))
+    flow = W.orderBy("pid", F.desc("last"))
+    heads = tails.withColumn("b1", F.lag("it", 1).over(flow)).withColumn("b2", F.lag("it", 2).over(flow))
+    heads = heads.groupBy("pid").agg(F.max_by(F.struct("b1", "b2"), "last").alias("b"))
+    met = rows.join(F.broadcast(heads), "pid")  # a row for each range
+    one = F.when(F.col("nth") > 1, F.col("p1")).otherwise(F.col("b.b1"))
+    two = F.when(F.col("nth") > 2, F.col("p2")).when(F.col("nth") == 2, F.col("b.b1")).otherwise(F.col("b.b2"))
+    own = lambda x: F.when(x["conv_id"].eqNullSafe(F.col("conv_id")), x["text"])
+    return met.select(*order, own(one).alias("one"), own(two).alias("two"))
+
+
 def as_replies(turns: DataFrame) -> DataFrame:
     """Conversations (conv_id, turn, text) written as mail: each message quotes the one before it, and at the second level the one before that."""
-    w = W.partitionBy("conv_id").orderBy("turn")
-    one, two = F.lag("text", 1).over(w), F.lag("text", 2).over(w)
     quote = lambda text, mark: F.concat(F.lit(mark), F.replace(text, F.lit("\n"), F.lit("\n" + mark)))
-    both = F.concat_ws("\n>\n", quote(two, ">> "), quote(one, "> "))
-    return turns.select("conv_id", "turn", F.when(one.isNotNull(), F.concat(F.lit("They wrote:\n"), both, F.lit("\n\n"), F.col("text"))).otherwise(F.col("text")).alias("text"))
+    both = F.concat_ws("\n>\n", quote(F.col("two"), ">> "), quote(F.col("one"), "> "))
+    written = F.concat(F.lit("They wrote:\n"), both, F.lit("\n\n"), F.col("text"))
+    return with_previous(turns).select("conv_id", "turn", F.when(F.col("one").isNotNull(), written).otherwise(F.col("text")).alias("text"))
 
 
 def op9_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
