@@ -11,15 +11,18 @@ executors see; a file is one chunk of records, so no task holds more than a chun
 
 Defined results: a null payload is an empty one; a null url is written as "-", blanks in a url as
 %20; a record without an id is a response and nothing refers to it; of several records with the same
-largest id and payload, one is the response. Empty tables give empty results.
+largest id and payload, one is the response. Damaged archives lose no more than what is damaged: a line
+that is no head, a record that is longer than its file or a damaged gzip member is skipped up to the
+next head or member, and skipped_arc() lists it. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -97,8 +100,42 @@ def _field(head: bytes, name: bytes) -> bytes | None:
     return None
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[int, dict]]:
-    """(offset, record) of one uncompressed ARC file. The version block says how many fields a line has."""
+#: A line that can be a record's head, where the parser looks for the next one.
+HEAD_LIKE = re.compile(rb"(?m)^(?:filedesc:|[A-Za-z][A-Za-z0-9+.-]{0,20}:|- )[^\n]* \d+\r?$")
+
+
+def unpacked(data: bytes) -> tuple[bytes, list[tuple[int, int, str]]]:
+    """The uncompressed bytes of a file of gzip members, or the file itself, and what was skipped of the compressed file: offset, bytes, reason."""
+    if data[:2] != b"\x1f\x8b":
+        return data, []
+    out, skipped, at = [], [], 0
+    while 0 <= at < len(data):
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data[at:]))
+            if not member.eof:
+                skipped.append((at, len(data) - at, "gzip member cut short"))
+            after = len(data) - len(member.unused_data)
+        except zlib.error:
+            after = at + 1
+            found = data.find(b"\x1f\x8b\x08", after)
+            skipped.append((at, (found if found >= 0 else len(data)) - at, "damaged gzip member"))
+        at = data.find(b"\x1f\x8b\x08", after)
+    return b"".join(out), skipped
+
+
+def head_fields(line: bytes, n: int) -> list[bytes] | None:
+    """The n fields of a URL-record line, if it is one: a date of up to 14 digits and a length; blanks in a url stay."""
+    parts = line.rstrip(b"\r").rsplit(b" ", n - 1)
+    return parts if len(parts) == n and all(parts) and parts[-1].isdigit() and parts[2].isdigit() and len(parts[2]) <= 14 else None
+
+
+def scan_arc(data: bytes) -> Iterator[tuple[int, dict | None, int, str]]:
+    """(offset, record, bytes, "") of each record of one uncompressed ARC file, and (offset, None, bytes, reason) of what is no record.
+
+    The version block says how many fields a line has. Where no head stands, or a record is longer than
+    the file, the parser goes on at the next line that can be a head.
+    """
     at, n = 0, ARC_FIELDS[1]
     while at < len(data):
         end = data.find(b"\n", at)
@@ -107,16 +144,54 @@ def parse_arc(data: bytes) -> Iterator[tuple[int, dict]]:
         if not line:
             at = end + 1
             continue
+        reason, length = "", 0
         if line.startswith(b"filedesc:"):
-            length = int(line.rsplit(b" ", 1)[1])
-            n = ARC_FIELDS.get(int((data[end + 1 : end + 1 + length].split(maxsplit=1) or [b"1"])[0]), ARC_FIELDS[1])
+            last = line.rsplit(b" ", 1)[-1]
+            length = int(last) if last.isdigit() else len(data)
+            version = (data[end + 1 : end + 1 + 20].split(maxsplit=1) or [b"1"])[0]
+            n = ARC_FIELDS.get(int(version) if version.isdigit() else 1, ARC_FIELDS[1])
+            if end + 1 + length > len(data):
+                reason = "version block without its length"
+        elif (parts := head_fields(line, n)) is None:
+            reason = "no head"
         else:
-            parts = line.rsplit(b" ", n - 1)  # a url with blanks in it stays whole
             length = int(parts[-1])
-            content = data[end + 1 : end + 1 + length]
-            head, payload = _head_and_payload(content)
-            yield at, {"url": parts[0].decode("utf-8", "replace"), "ip": parts[1].decode(), "arc_date": parts[2].decode(), "mime": parts[3].decode(), "head": head, "payload": payload}
-        at = end + 1 + length
+            if end + 1 + length > len(data):
+                reason = "record cut short"
+            else:
+                head, payload = _head_and_payload(data[end + 1 : end + 1 + length])
+                yield at, {"url": parts[0].decode("utf-8", "replace"), "ip": parts[1].decode("latin-1"), "arc_date": parts[2].decode(), "mime": parts[3].decode("latin-1"), "head": head, "payload": payload}, end + 1 + length - at, ""
+        if reason:
+            found = HEAD_LIKE.search(data, end + 1)
+            after = found.start() if found else len(data)
+            yield at, None, after - at, reason
+            at = after
+        else:
+            at = end + 1 + length
+
+
+def parse_arc(data: bytes) -> Iterator[tuple[int, dict]]:
+    """(offset, record) of one uncompressed ARC file."""
+    return ((at, r) for at, r, _, _ in scan_arc(data) if r is not None)
+
+
+def whole_number(text: bytes | str | None) -> int | None:
+    """A number of up to 18 digits, else none."""
+    return int(text) if text and len(text) <= 18 and text.isdigit() and text.isascii() else None
+
+
+def skipped_arc(spark: SparkSession, path: str) -> DataFrame:
+    """What of the ARC files in a folder is no record: archive, offset (of the compressed file for a damaged one), bytes, reason."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                data, bad = unpacked(content.as_py())
+                rows = [(file.rsplit("/", 1)[1], *x) for x in [*bad, *((at, n, why) for at, r, n, why in scan_arc(data) if r is None)]]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["archive", "offset", "bytes", "reason"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(look, "archive string, offset long, bytes long, reason string")
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -127,12 +202,11 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
         types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string()]
         for b in batches:
             for i in range(b.num_rows):
-                file, data = b.column("path")[i].as_py(), b.column("content")[i].as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+                file, data = b.column("path")[i].as_py(), unpacked(b.column("content")[i].as_py())[0]
                 rows = []
                 for at, r in parse_arc(data):
                     key = _field(r["head"], b"X-Record-Key")
-                    rows.append((file.rsplit("/", 1)[1], at, int(key) if key else None, r["url"], r["ip"], r["arc_date"], r["mime"], r["head"], r["payload"], len(r["payload"]), digest_of(r["payload"])))
+                    rows.append((file.rsplit("/", 1)[1], at, whole_number(key), r["url"], r["ip"], r["arc_date"], r["mime"], r["head"], r["payload"], len(r["payload"]), digest_of(r["payload"])))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
@@ -195,10 +269,15 @@ def parse_warc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, header fields by lower-case name, block) of one uncompressed WARC file."""
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        length = int(fields["content-length"])
+        length = whole_number(fields.get("content-length"))
+        if length is None or "warc-type" not in fields:
+            at += 5  # no record's head
+            continue
         yield at, fields, data[end + 4 : end + 4 + length]
         at = end + 4 + length
 
@@ -216,14 +295,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for data in b.column("content"):
                 data = data.as_py()
                 rows = []
-                for _, f, block in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                for _, f, block in parse_warc(unpacked(data)[0]):
                     if f["warc-type"] == "warcinfo":
                         continue
-                    digest, size = f.get("warc-payload-digest", "").removeprefix("sha1:"), int(f.get("x-payload-length", 0))
+                    digest, size = f.get("warc-payload-digest", "").removeprefix("sha1:"), whole_number(f.get("x-payload-length")) or 0
                     if f["warc-type"] != "revisit":
                         payload = _head_and_payload(block)[1]
                         digest, size = digest_of(payload), len(payload)
-                    rows.append((int(f["x-record-key"]) if "x-record-key" in f else None, f["warc-record-id"], f["warc-type"], f["warc-date"], f.get("warc-target-uri"), size, digest, f.get("warc-refers-to"), int(f["x-refers-to-key"]) if "x-refers-to-key" in f else None))
+                    rows.append((whole_number(f.get("x-record-key")), f.get("warc-record-id"), f["warc-type"], f.get("warc-date"), f.get("warc-target-uri"), size, digest, f.get("warc-refers-to"), whole_number(f.get("x-refers-to-key"))))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
