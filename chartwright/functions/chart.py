@@ -11,7 +11,7 @@ from __future__ import annotations
 import heapq
 from functools import lru_cache
 
-from chartwright.functions.grammar import HOLE, START, Grammar
+from chartwright.functions.grammar import EMPTY, HOLE, START, Grammar
 
 EQ, NE, ANY = 0, 1, 2
 #: Greatest edit radius, and the bound on a sentence's length in the automaton's terms.
@@ -120,6 +120,8 @@ class Chart:
         self.cells = cells
         self._sizes: dict[tuple[int, int, int], int] = {}
         self._best: dict[tuple[int, int, int], list[tuple[str, ...]]] = {}
+        self._plain: dict[tuple, list[tuple[str, ...]]] = {}
+        self._extrema: dict[tuple[int, int, int], dict] = {}
 
     def has(self, p: int, q: int, a: int | None = None) -> bool:
         a = self.t.ids[START] if a is None else a
@@ -155,6 +157,39 @@ class Chart:
             self._best[p, q, a] = heapq.nsmallest(k, found, key=lambda s: (len(s), s))
         return self._best[p, q, a]
 
+    def plain(self, p: int, q: int, a: int, k: int | None) -> list[tuple[str, ...]]:
+        """The k least strings (all, for none) by (length, tokens), ε left out, each once. ε neither lengthens a string nor tells two apart, so a string's parts are among the k least of theirs."""
+        key = (p, q, a, k)
+        if key not in self._plain:
+            order = lambda s: (len(s), s)
+            found = {() if t == EMPTY else (t,) for t in self.leaf_tokens(p, q, a)}
+            for m, b, c in self.backs(p, q, a):
+                rights = self.plain(m, q, c, k)
+                found.update(x + y for x in self.plain(p, m, b, k) for y in rights)
+                if k is not None and len(found) > 4 * k * k:
+                    found = set(heapq.nsmallest(k, found, key=order))
+            self._plain[key] = sorted(found, key=order) if k is None else heapq.nsmallest(k, found, key=order)
+        return self._plain[key]
+
+    def extrema(self, p: int, q: int, a: int) -> dict[int, tuple[tuple[str, ...], tuple[str, ...]]]:
+        """The least and the greatest string of each visible length, ε left out."""
+        if (p, q, a) not in self._extrema:
+            found: dict[int, tuple] = {}
+
+            def add(lo: tuple[str, ...], hi: tuple[str, ...]) -> None:
+                x, y = found.get(len(lo), (lo, hi))
+                found[len(lo)] = (min(x, lo), max(y, hi))
+
+            for t in self.leaf_tokens(p, q, a):
+                s = () if t == EMPTY else (t,)
+                add(s, s)
+            for m, b, c in self.backs(p, q, a):
+                for x, y in self.extrema(p, m, b).values():
+                    for v, w in self.extrema(m, q, c).values():
+                        add(x + v, y + w)
+            self._extrema[p, q, a] = found
+        return self._extrema[p, q, a]
+
     def unrank(self, p: int, q: int, a: int, rank: int) -> tuple[str, ...]:
         """The derivation of a rank below size(p, q, a), as its string."""
         leaves = self.leaf_tokens(p, q, a)

@@ -111,7 +111,7 @@ def painted_diff(old: Column, new: Column) -> Column:
 
 
 def labels(doc: list[str], query: list[str]) -> list[int]:
-    """For each token of doc: 0 equal, 1 changed (cost 2), 2 inserted, in a cheapest alignment with query."""
+    """For each token of doc what it costs in a cheapest alignment with query: 0 equal, 1 inserted, 2 changed; changes come before insertions before deletions, from the end."""
     n, m = len(doc), len(query)
     cost = [[i + j if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
     for i in range(1, n + 1):
@@ -119,17 +119,57 @@ def labels(doc: list[str], query: list[str]) -> list[int]:
             cost[i][j] = min(cost[i - 1][j - 1] + 2 * (doc[i - 1] != query[j - 1]), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
     out, i, j = [0] * n, n, m
     while i:
-        if j and cost[i][j] == cost[i - 1][j - 1] + 2 * (doc[i - 1] != query[j - 1]):
-            out[i - 1] = int(doc[i - 1] != query[j - 1])
+        change = 2 * (doc[i - 1] != query[j - 1]) if j else 0
+        if j and cost[i][j] == cost[i - 1][j - 1] + change:
+            out[i - 1] = change
             i, j = i - 1, j - 1
         elif cost[i][j] == cost[i - 1][j] + 1:
-            out[i - 1] = 2
+            out[i - 1] = 1
             i -= 1
         else:
             j -= 1
     return out
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def alignment_labels(doc: pd.Series, query: pd.Series) -> pd.Series:
+    return pd.Series([labels(list(a), list(b)) if a is not None and b is not None else None for a, b in zip(doc, query, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("old", T.StringType()), T.StructField("new", T.StringType())])))
+def aligned(old: pd.Series, new: pd.Series) -> pd.Series:
+    """The pairs of a cheapest alignment."""
+    return pd.Series([[{"old": x, "new": y} for x, y in alignment(list(a), list(b))] if a is not None and b is not None else None for a, b in zip(old, new, strict=True)])
+
+
+def surrounding(line: str, at: int, pattern: str = r"\S+") -> str | None:
+    """The match of a pattern that the caret position at touches, the first of two."""
+    return next((m[0] for m in re.finditer(pattern, line) if m.start() <= at <= m.end()), None)
+
+
+def surrounding_token(line: Column, at: Column) -> Column:
+    """The token that a caret position (from 0) touches."""
+    return _surrounding(r"\S+")(line, at)
+
+
+def surrounding_nonterminal(line: Column, at: Column) -> Column:
+    """The stub <A> that a caret position (from 0) touches."""
+    return _surrounding(r"<[^\s>]+>")(line, at)
+
+
+def _surrounding(pattern: str):
+    @F.pandas_udf(T.StringType())
+    def udf(lines: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([surrounding(a, int(i), pattern) if a is not None else None for a, i in zip(lines, places, strict=True)])
+
+    return udf
+
+
+def compilable(line: Column) -> Column:
+    """A line of token classes with a number and a string in place of those classes."""
+    return F.replace(F.replace(line, F.lit("NUMBER"), F.lit("1")), F.lit("STRING"), F.lit('""'))
+
+
 def lcp(words: Column) -> Column:
     """Longest common prefix of an array of strings: that of the least and the greatest."""
     a, b = F.array_min(words), F.array_max(words)

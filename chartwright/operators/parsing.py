@@ -9,6 +9,9 @@ from chartwright.functions import chart as C
 from chartwright.functions.grammar import HOLE, START, Grammar
 from chartwright.operators.runner import per_sentence
 
+#: Fixed value: greatest number of tokens that can end a sentence.
+SUFFIX = 20
+
 
 def accept(sentences: DataFrame, grammar: Grammar) -> DataFrame:
     """Adds accepted: whether the grammar derives the sentence."""
@@ -106,12 +109,20 @@ def segments(sentences: DataFrame, grammar: Grammar) -> DataFrame:
     return per_sentence(sentences, grammar, one, "lo int, hi int, kind string")
 
 
-def scenarios(sentences: DataFrame, grammar: Grammar) -> DataFrame:
-    """Adds scenario: STUB (one stub alone), COMPLETION (a hole or a stub), PARSEABLE, or REPAIR."""
+def scenarios(sentences: DataFrame, grammar: Grammar, suffix: bool = False) -> DataFrame:
+    """Adds scenario: STUB (one stub alone), COMPLETION (a hole or a stub), with suffix SUFFIX_COMPLETION (a known prefix that can go on or end), PARSEABLE, or REPAIR."""
     hole = F.array_contains("tokens", HOLE) | F.exists("tokens", lambda x: x.rlike(r"^<\S+>$"))
     alone = (F.size("tokens") == 1) & F.element_at("tokens", 1).rlike(r"^<\S+>$")
-    found = accept(sentences.where(F.size("tokens") > 0), grammar)
-    return found.withColumn("scenario", F.when(alone, "STUB").when(hole, "COMPLETION").when(F.col("accepted"), "PARSEABLE").otherwise("REPAIR")).drop("accepted")
+
+    def one(t: C.Tables, tokens: list[str]) -> list[tuple]:
+        n = len(tokens)
+        ends = C.line_chart(t, tokens + [HOLE] * (SUFFIX if suffix else 0))
+        lengths = [h for h in range(SUFFIX + 1 if suffix else 1) if ends.has(0, n + h)]
+        return [(bool(lengths) and lengths[0] == 0, bool(lengths))]
+
+    found = per_sentence(sentences.where(F.size("tokens") > 0), grammar, one, "_whole boolean, _goes_on boolean")
+    named = F.when(alone, "STUB").when(hole, "COMPLETION").when(F.lit(suffix) & F.col("_goes_on"), "SUFFIX_COMPLETION").when(F.col("_whole"), "PARSEABLE").otherwise("REPAIR")
+    return found.withColumn("scenario", named).drop("_whole", "_goes_on")
 
 
 def max_fragment(sentences: DataFrame, grammar: Grammar, pad: int = 3) -> DataFrame:

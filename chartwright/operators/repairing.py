@@ -5,10 +5,12 @@ Strings come ranked by (distance, length, tokens); each is given once, at its le
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 
 from chartwright.functions import chart as C
-from chartwright.functions.grammar import EMPTY, HOLE, START, Grammar
+from chartwright.functions.grammar import HOLE, START, Grammar
 from chartwright.operators.runner import per_sentence
 
 TOP = 29
@@ -32,15 +34,54 @@ def nearest(sentences: DataFrame, grammar: Grammar, radius: int = 2) -> DataFram
 
 
 def repaired(t: C.Tables, tokens: list[str], radius: int, buffer: int, k: int) -> list[tuple[int, tuple[str, ...]]]:
+    """The k nearest strings. Of each root the k least, ε left out, that no nearer root has: as many more are asked for as nearer ones are known."""
     chart, roots = C.edit_roots(t, tokens, radius)
     found: dict[tuple[str, ...], int] = {}
     for q, d in roots:
         if d <= roots[0][1] + buffer:
-            for s in chart.best(0, q, t.ids[START], k * (d + 1)):
-                found.setdefault(tuple(x for x in s if x != EMPTY), d)
+            for s in chart.plain(0, q, t.ids[START], k + len(found)):
+                found.setdefault(s, d)
     return sorted(((d, s) for s, d in found.items()), key=lambda x: (x[0], len(x[1]), x[1]))[:k]
 
 
+def root_sizes(sentences: DataFrame, grammar: Grammar, radius: int = 2) -> DataFrame:
+    """Rows (dist, n_derivations): how many derivations end at the final states of each distance."""
+
+    def one(t: C.Tables, tokens: list[str]) -> list[tuple]:
+        chart, roots = C.edit_roots(t, tokens, radius)
+        sizes: dict[int, int] = {}
+        for q, d in roots:
+            sizes[d] = sizes.get(d, 0) + chart.size(0, q, t.ids[START])
+        return [(d, str(n)) for d, n in sorted(sizes.items())]
+
+    return per_sentence(sentences, grammar, one, "dist int, n_derivations string", most=widest(radius))
+
+
+def distances(sentences: DataFrame, grammar: Grammar, radius: int = 2) -> DataFrame:
+    """Rows (dist, n_words): how many different strings of the language are at each distance of a sentence, within the radius."""
+
+    def one(t: C.Tables, tokens: list[str]) -> list[tuple]:
+        chart, roots = C.edit_roots(t, tokens, radius)
+        found: dict[tuple[str, ...], int] = {}
+        for q, d in roots:
+            for s in chart.plain(0, q, t.ids[START], None):
+                found.setdefault(s, d)
+        return sorted(Counter(found.values()).items())
+
+    return per_sentence(sentences, grammar, one, "dist int, n_words long", most=widest(radius))
+
+
+def saturation(sentences: DataFrame, grammar: Grammar, radius: int = 2, buffer: int = 1, k: int = TOP) -> DataFrame:
+    """Adds share: the strings that repairs() would give, by the derivations at their roots."""
+
+    def one(t: C.Tables, tokens: list[str]) -> list[tuple]:
+        chart, roots = C.edit_roots(t, tokens, radius)
+        total = sum(chart.size(0, q, t.ids[START]) for q, d in roots if d <= roots[0][1] + buffer)
+        return [(len(repaired(t, tokens, radius, buffer, k)) / total,)] if total else []
+
+    return per_sentence(sentences, grammar, one, "share double", most=widest(radius))
+
+
 def repairs(sentences: DataFrame, grammar: Grammar, radius: int = 2, buffer: int = 1, k: int = TOP) -> DataFrame:
     """The k nearest strings of each sentence, up to buffer beyond the least distance: rank, dist, repair."""
 
@@ -57,8 +98,7 @@ def completions(sentences: DataFrame, grammar: Grammar, k: int = TOP) -> DataFra
         chart = C.line_chart(t, tokens)
         if not chart.has(0, len(tokens)):
             return []
-        plain = {tuple(x for x in s if x != EMPTY) for s in chart.best(0, len(tokens), t.ids[START], 8 * k)}
-        return [(i + 1, list(s)) for i, s in enumerate(sorted(plain, key=lambda s: (len(s), s))[:k])]
+        return [(i + 1, list(s)) for i, s in enumerate(chart.plain(0, len(tokens), t.ids[START], k))]
 
     return per_sentence(sentences, grammar, one, "rank int, completion array<string>")
 
@@ -239,3 +279,15 @@ def yield_bounds(sentences: DataFrame, grammar: Grammar) -> DataFrame:
         return [(list(chart.best(0, n, t.ids[START], 1)[0]), list(greatest(chart, n)))] if chart.has(0, n) else []
 
     return per_sentence(sentences, grammar, one, "least array<string>, greatest array<string>")
+
+
+def bounds_by_length(sentences: DataFrame, grammar: Grammar) -> DataFrame:
+    """The lexicographically least and greatest completion of each visible length, that is without ε: length, least, greatest."""
+
+    def one(t: C.Tables, tokens: list[str]) -> list[tuple]:
+        chart = C.line_chart(t, tokens)
+        if not chart.has(0, len(tokens)):
+            return []
+        return [(n, list(lo), list(hi)) for n, (lo, hi) in sorted(chart.extrema(0, len(tokens), t.ids[START]).items())]
+
+    return per_sentence(sentences, grammar, one, "length int, least array<string>, greatest array<string>")

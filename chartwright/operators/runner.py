@@ -1,8 +1,9 @@
 """Runs a function of one sentence over a table of sentences.
 
 Equal sentences are computed once: distinct token arrays are dealt to tasks, each task builds the
-grammar's tables once and closes one chart at a time, and the results meet their sentences by an
-equi-join, which adaptive execution splits where a sentence is frequent. Nothing else is shuffled.
+grammar's tables once and closes one chart at a time, and the results are written. They meet their
+sentences by broadcast while they are few, as where sentences repeat; beyond, by a shuffle on the
+tokens, whose skewed partitions adaptive execution splits. Nothing else is shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 
 from chartwright.functions.chart import Tables
 from chartwright.functions.grammar import Grammar
+from chartwright.plans.shared import cut, joined
+
+#: Rows of results that are broadcast.
+FEW_RESULTS = 50_000
 
 
 def distinct_sentences(sentences: DataFrame, most: int | None = None) -> DataFrame:
@@ -33,5 +38,5 @@ def per_sentence(sentences: DataFrame, grammar: Grammar, fn: Callable[[Tables, l
             rows = [(tokens, *r) for tokens in map(list, pdf["tokens"]) for r in fn(tables, tokens)]
             yield pd.DataFrame(rows, columns=["tokens", *names])
 
-    found = distinct_sentences(sentences, most).mapInPandas(go, f"tokens array<string>, {schema}")
-    return sentences.join(found, "tokens", how)
+    found = cut(distinct_sentences(sentences, most).mapInPandas(go, f"tokens array<string>, {schema}"), "results")
+    return joined(sentences, found, "tokens", how, FEW_RESULTS)

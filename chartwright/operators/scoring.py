@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartwright.plans.shared import cut
+
 #: Boundary tokens, cost scale, cost of one more edit.
 BEGIN, LINE_END, END, SCALE, EDIT = "BOS", "NEWLINE", "EOS", 10_000, 10_000_000
 #: n-grams beyond this number are joined by a shuffle.
@@ -21,9 +23,10 @@ def framed(tokens: Column) -> Column:
 
 
 def windows(tokens: Column, n: int = 4) -> Column:
-    """All runs of n tokens; none if there are fewer."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.slice(tokens, i, n))
-    return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<array<string>>"))
+    """All runs of n tokens; none if there are fewer. The tokens are evaluated once, not for each run."""
+    shifted = lambda t: [F.slice(t, F.lit(k + 1), F.greatest(F.size(t) - (n - 1), F.lit(0))) for k in range(n)]
+    runs = lambda t: F.transform(F.arrays_zip(*(x.alias(f"t{k}") for k, x in enumerate(shifted(t)))), lambda z: F.array(*(z[f"t{k}"] for k in range(n))))
+    return F.element_at(F.transform(F.array(tokens), lambda t: F.when(F.size(t) >= n, runs(t)).otherwise(F.array().cast("array<array<string>>"))), 1)
 
 
 def ngrams(sentences: DataFrame, n: int = 4) -> DataFrame:
@@ -38,6 +41,7 @@ def cost(n: Column, total: Column) -> Column:
 
 def ngram_scores(sentences: DataFrame, grams: DataFrame, keys: list[str], n: int = 4) -> DataFrame:
     """Rows (keys, score): the summed costs of each framed sentence's runs; a run that grams (g, n) lacks costs as much as one seen once."""
+    grams = cut(grams)
     size, total = grams.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(1))).first()
     side = F.broadcast(grams) if size <= BROADCAST else grams
     runs = sentences.select(*keys, F.explode(windows(framed(F.col("tokens")), n)).alias("g"))

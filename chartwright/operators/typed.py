@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartwright.plans.relational import cut
+from chartwright.plans.shared import cut
 
 
 def expressions(values: DataFrame, fns: DataFrame, members: DataFrame, subtypes: DataFrame, max_length: int = 10) -> DataFrame:

@@ -1,4 +1,4 @@
-"""DuckDB SQL of the same questions: closures written out span by span, and languages written out as lists."""
+"""DuckDB SQL of the same questions: closures written out span by span, languages unfolded from their rules by recursion."""
 
 from __future__ import annotations
 
@@ -42,7 +42,7 @@ def cells_sql(tokens_sql: str, g: Grammar, max_span: int) -> str:
 
 
 def language(g: Grammar, max_len: int) -> list[tuple[str, ...]]:
-    """All strings of a grammar up to a length, by concatenation."""
+    """All strings of a grammar up to a length, by concatenation; tests hold operators against it."""
     by: dict[str, dict[int, set]] = {}
     for a, t in g.unit:
         by.setdefault(a, {}).setdefault(1, set()).add((t,))
@@ -54,14 +54,56 @@ def language(g: Grammar, max_len: int) -> list[tuple[str, ...]]:
     return sorted(s for ss in by.get(START, {}).values() for s in ss)
 
 
-def near_ctes(tokens_sql: str, words: list[tuple[str, ...]], terminals: list[str], max_len: int, radius: int) -> str:
-    """WITH clause whose last table, near, has (sid, word, len, dist) of all words within the radius of each sentence of at most max_len tokens."""
-    code = {t: chr(65 + i) for i, t in enumerate(sorted(terminals))}
-    text = values([(" ".join(w), "".join(code[t] for t in w), len(w)) for w in words], "word, code, len")
-    case = " ".join(f"WHEN '{t}' THEN '{c}'" for t, c in code.items())
-    return f"""WITH tok AS ({tokens_sql}),
-said AS MATERIALIZED (SELECT sid, string_agg(CASE tok {case} ELSE '~' END, '' ORDER BY q) AS code, string_agg(tok, ' ' ORDER BY q) AS sentence, count(*) AS n FROM tok GROUP BY sid HAVING count(*) <= {max_len}),
+#: Event types in order, one letter each in codes.
+KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+def coded(text: str) -> str:
+    """SQL of a blank-separated token text as one letter a token."""
+    for i, k in enumerate(KINDS):
+        text = f"replace({text}, '{k}', '{chr(65 + i)}')"
+    return f"replace({text}, ' ', '')"
+
+
+def said_ctes(tokens_sql: str = SESSIONS) -> str:
+    """WITH clause whose last table, said, has (sid, sentence, code, n) of all sentences."""
+    return f"""WITH RECURSIVE tok AS MATERIALIZED ({tokens_sql}),
+spoken AS (SELECT sid, string_agg(tok, ' ' ORDER BY q) AS sentence, count(*) AS n FROM tok GROUP BY sid),
+said AS MATERIALIZED (SELECT sid, sentence, {coded("sentence")} AS code, n FROM spoken)"""
+
+
+def funnel_ctes(more: int, tokens_sql: str = SESSIONS) -> str:
+    """said_ctes() and words (word, code, len): the funnel's language, unfolded from its rules up to `more` tokens beyond the longest sentence."""
+    return said_ctes(tokens_sql) + f""",
+middle(w, k) AS (SELECT * FROM (VALUES ('click', 1), ('click click', 2), ('view click', 2)) AS _(w, k)
+  UNION ALL SELECT 'click ' || w || ' error', k + 2 FROM middle WHERE k < (SELECT max(n) + {more} FROM said)),
+texts AS (SELECT DISTINCT e || CASE WHEN w <> '' THEN ' ' || w ELSE '' END || ' ' || x AS word FROM (VALUES ('view'), ('signup')) AS a(e), (SELECT w FROM middle UNION ALL SELECT '') m, (VALUES ('purchase'), ('error'), ('click purchase')) AS b(x)),
+words AS MATERIALIZED (SELECT word, {coded("word")} AS code, length({coded("word")}) AS len FROM texts)"""
+
+
+def near_ctes(radius: int) -> str:
+    """funnel_ctes() and near (sid, sentence, word, len, dist): all words within the radius of each sentence."""
+    return funnel_ctes(radius) + f""",
 kinds AS MATERIALIZED (SELECT DISTINCT code FROM said),
-words AS MATERIALIZED (SELECT * FROM {text}),
 pairs AS MATERIALIZED (SELECT k.code, w.word, w.len, levenshtein(k.code, w.code) AS dist FROM kinds k JOIN words w ON abs(length(k.code) - w.len) <= {radius}),
 near AS MATERIALIZED (SELECT s.sid, s.sentence, p.word, p.len, p.dist FROM said s JOIN pairs p USING (code) WHERE p.dist <= {radius})"""
+
+
+def rules_ctes(grammars: dict[str, str]) -> str:
+    """WITH clause whose last tables count the original form (counted0) and the normal form (counted1) of grammar texts, each (name, nonterminals, terminals, productions), without flags."""
+    lines = values([(name, line) for name, text in grammars.items() for line in text.strip().split("\n")], "name, line")
+    return f"""WITH RECURSIVE lines AS (SELECT name, trim(split_part(line, '->', 1)) AS a, unnest(string_split(split_part(line, '->', 2), '|')) AS alt FROM {lines}),
+rules AS MATERIALIZED (SELECT DISTINCT name, a, list_filter(string_split(trim(alt), ' '), lambda x: x <> '') AS r FROM lines),
+lefts AS (SELECT DISTINCT name, a AS x FROM rules),
+symbols AS (SELECT DISTINCT name, unnest(r) AS x FROM rules),
+counted0 AS (SELECT name, (SELECT count(*) FROM lefts l WHERE l.name = n.name) AS nonterminals, (SELECT count(*) FROM symbols s WHERE s.name = n.name AND NOT EXISTS (SELECT 1 FROM lefts l WHERE l.name = s.name AND l.x = s.x)) AS terminals, (SELECT count(*) FROM rules r WHERE r.name = n.name) AS productions FROM (SELECT DISTINCT name FROM rules) n),
+inner_ AS (SELECT DISTINCT s.name, s.x FROM (SELECT name, unnest(r) AS x FROM rules WHERE len(r) > 1) s JOIN lefts l ON l.name = s.name AND l.x = s.x),
+kept AS (SELECT name, x FROM inner_ UNION SELECT DISTINCT name, 'START' FROM rules),
+closure(name, a, b) AS (SELECT name, x, x FROM kept UNION SELECT c.name, c.a, r.r[1] FROM closure c JOIN rules r ON r.name = c.name AND r.a = c.b AND len(r.r) = 1 JOIN lefts l ON l.name = r.name AND l.x = r.r[1]),
+closed AS (SELECT DISTINCT c.name, c.a, r.r FROM closure c JOIN rules r ON r.name = c.name AND r.a = c.b WHERE len(r.r) > 1 OR NOT EXISTS (SELECT 1 FROM lefts l WHERE l.name = r.name AND l.x = r.r[1])),
+parts(name, a, r) AS (SELECT name, a, r FROM closed UNION SELECT name, array_to_string(r[2:], '.'), r[2:] FROM parts WHERE len(r) > 2),
+lift AS (SELECT s.name, s.x, CASE WHEN l.x IS NULL THEN 'F.' || s.x ELSE s.x END AS y FROM symbols s LEFT JOIN lefts l ON l.name = s.name AND l.x = s.x),
+binary_ AS (SELECT DISTINCT p.name, p.a, b.y AS b, CASE WHEN len(p.r) = 2 THEN c.y ELSE array_to_string(p.r[2:], '.') END AS c FROM parts p JOIN lift b ON b.name = p.name AND b.x = p.r[1] JOIN lift c ON c.name = p.name AND c.x = p.r[2] WHERE len(p.r) > 1),
+unit AS (SELECT DISTINCT name, a, r[1] AS t FROM parts WHERE len(r) = 1 UNION SELECT DISTINCT p.name, l.y, l.x FROM (SELECT name, unnest(CASE WHEN len(r) = 2 THEN r ELSE r[1:1] END) AS x FROM parts WHERE len(r) > 1) p JOIN lift l ON l.name = p.name AND l.x = p.x WHERE l.y <> l.x),
+names AS (SELECT name, a AS x FROM unit UNION SELECT name, a FROM binary_ UNION SELECT name, b FROM binary_ UNION SELECT name, c FROM binary_),
+counted1 AS (SELECT n.name, (SELECT count(*) FROM names x WHERE x.name = n.name) AS nonterminals, (SELECT count(DISTINCT t) FROM unit u WHERE u.name = n.name) AS terminals, (SELECT count(*) FROM binary_ b WHERE b.name = n.name) + (SELECT count(*) FROM unit u WHERE u.name = n.name) AS productions FROM (SELECT DISTINCT name FROM rules) n)"""

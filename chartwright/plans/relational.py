@@ -1,33 +1,19 @@
 """The chart as relations: initialisation, closure, back-pointers and sizes by joins.
 
 For line automata a cell's span is its length, so the closure goes span by span: each step joins the
-cells of all shorter spans at their common state with the broadcast binary rules (bounded by the
-grammar, not the data), and is written before the next. All joins are on (sid, state); a sentence's
+cells of the shorter spans that add up to it at their common state with the broadcast binary rules (bounded by the
+grammar, not the data), and is written as a table of its own before the next. All joins are on (sid, state); a sentence's
 cells never leave its keys' partitions except by that exchange. It is the plan for many sentences of
 a small grammar, and the reference for the per-sentence kernel, which is the faster one for others.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartwright.functions.grammar import HOLE, START, Grammar
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes rows to the shared folder and reads them back, so that plans don't grow with the spans."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="chartwright-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/chart-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from chartwright.plans.shared import cut
 
 
 def line_arcs(sentences: DataFrame) -> DataFrame:
@@ -60,21 +46,44 @@ def leaf_counts(arcs: DataFrame, grammar: Grammar, keys: list[str]) -> DataFrame
 
 
 def chart(sentences: DataFrame, grammar: Grammar, max_span: int) -> DataFrame:
-    """Rows (sid, q, q2, nt, n): the closed chart of sentences (sid, tokens) of at most max_span tokens; n counts derivations, decimal(38,0)."""
+    """Rows (sid, q, q2, nt, n): the closed chart of sentences (sid, tokens) of at most max_span tokens; n counts derivations, decimal(38,0).
+
+    Each span is a table of its own. A span's cells come from pairs of spans that add up to it, so each
+    pair of cells meets once, and only new cells are written.
+    """
     spark = sentences.sparkSession
     rules = F.broadcast(grammar.frames(spark)["bin"].select("a", "b", "c"))
     short = sentences.where(F.size("tokens") <= max_span)
     leaves = leaf_counts(line_arcs(short), grammar, ["sid", "q", "q2"])
-    cells = cut(leaves.select("sid", "q", "q2", "nt", F.col("n").cast("decimal(38,0)").alias("n")))
+    cells = cut(leaves.select("sid", "q", "q2", "nt", F.col("n").cast("decimal(38,0)").alias("n")), "chart")
+    length = F.col("q2") - F.col("q")
     for span in range(2, max_span + 1):
-        left = cells.select("sid", "q", F.col("q2").alias("m"), F.col("nt").alias("b"), F.col("n").alias("ln"))
-        right = cells.select("sid", F.col("q").alias("m"), "q2", F.col("nt").alias("c"), F.col("n").alias("rn"))
-        met = left.join(right, ["sid", "m"]).where(F.col("q2") - F.col("q") == span).join(rules, ["b", "c"])
+        # a left part of some length meets right parts of the length that is left
+        left = cells.select("sid", F.col("q2").alias("m"), (F.lit(span) - length).alias("rest"), "q", F.col("nt").alias("b"), F.col("n").alias("ln"))
+        right = cells.select("sid", F.col("q").alias("m"), length.alias("rest"), "q2", F.col("nt").alias("c"), F.col("n").alias("rn"))
+        met = left.join(right, ["sid", "m", "rest"]).join(rules, ["b", "c"])
         new = met.groupBy("sid", "q", "q2", F.col("a").alias("nt")).agg(F.sum((F.col("ln") * F.col("rn")).cast("decimal(38,0)")).cast("decimal(38,0)").alias("n"))
-        cells = cut(cells.unionByName(new.select(*cells.columns)))
+        cells = cells.unionByName(cut(new, "chart"))
     return cells
 
 
+def merged(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each cell (keys) of rows with has_bin and lit: a cell that is a leaf and has binary derivations too is one cell."""
+    return cells.groupBy(*keys).agg(F.max("has_bin").alias("has_bin"), F.max("lit").alias("lit"))
+
+
+def distributions(cells: DataFrame, grammar: Grammar) -> DataFrame:
+    """Rows (sid, q, q2, nt, m, b, c, size, before): the expansions of each cell of a closed chart, with how many derivations each has and all before it have, by (m, b, c)."""
+    from pyspark.sql import Window as W
+
+    rules = F.broadcast(grammar.frames(cells.sparkSession)["bin"].select("a", "b", "c"))
+    left = cells.select("sid", "q", F.col("q2").alias("m"), F.col("nt").alias("b"), F.col("n").alias("ln"))
+    right = cells.select("sid", F.col("q").alias("m"), "q2", F.col("nt").alias("c"), F.col("n").alias("rn"))
+    each = left.join(right, ["sid", "m"]).join(rules, ["b", "c"]).select("sid", "q", "q2", F.col("a").alias("nt"), "m", "b", "c", (F.col("ln") * F.col("rn")).cast("decimal(38,0)").alias("size"))
+    w = W.partitionBy("sid", "q", "q2", "nt").orderBy("m", "b", "c").rowsBetween(W.unboundedPreceding, -1)
+    return each.withColumn("before", F.coalesce(F.sum("size").over(w).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")))
+
+
 def roots(cells: DataFrame, sentences: DataFrame, grammar: Grammar) -> DataFrame:
     """Sentences (sid, tokens) with accepted and n_trees."""
     start = list(grammar.nonterminals).index(START)

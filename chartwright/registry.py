@@ -10,37 +10,13 @@ from pyspark.sql import functions as F
 
 from chartwright.functions import text as X
 from chartwright.functions.grammar import HOLE, Grammar, load, stages
-from chartwright.operators import machines, parsing, ranking, repairing, scoring, typed
-from chartwright.plans import oracle, relational
-
-SESSION = """
-START -> Visit | START Visit
-Visit -> view | view Acts | signup | click | error Recover
-Acts -> click | click Acts | click purchase
-Recover -> click | view
-"""
-FUNNEL = """
-START -> Entry Exit | Entry Middle Exit
-Entry -> view | signup
-Middle -> click | click click | view click | click Middle error
-Exit -> purchase | error | click purchase
-"""
-#: Longest session of the oracles that list a funnel's words; the queries take sessions of any length.
-FUNNEL_MOST = 8
-FLAGS = """
-START -> Item | START Item
-Item -> AO | RO | NF | AF Pair NO | RF
-Pair -> AF | RF | Pair Pair
-"""
-TALK = """
-START -> Turns | system Turns
-Turns -> user | user assistant | user assistant Turns
-"""
-EXPRESSIONS = """
-START -> E
-E -> E + E | E * E | ( E ) | x | 1
-"""
-SPANS = {"sessions": 10, "orders": 13, "dialogues": 9}
+from chartwright.grammars import EXPRESSIONS, FLAGS, FUNNEL, GRAMMARS, LINES, SESSION, TALK
+from chartwright.operators import dispatch, machines, parsing, pylines, ranking, repairing, scoring, typed
+from chartwright.plans import answers, relational
+from chartwright.plans.oracle import KINDS
+from chartwright.streaming import prompts
+
+__all__ = ["EXPRESSIONS", "FUNNEL", "LINES", "SESSION", "oracle_sql", "queries"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -189,9 +165,6 @@ def prefix_sums(spark, sf_dir):
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "qty", F.col("before").cast("long").alias("before"))
 
 
-KINDS = ["click", "error", "purchase", "signup", "view"]
-
-
 def edit_distance(spark, sf_dir):
     """Distance of each session from the same user's one before."""
     s = sessions(spark, sf_dir).withColumn("last", F.lag("tokens").over(W.partitionBy("user_id").orderBy("day"))).where(F.col("last").isNotNull())
@@ -210,12 +183,149 @@ def fair_merge(spark, sf_dir):
     return ranking.fair_merge(placed, ["user_id"], "event_type", "place", 10).select("user_id", "event_type", "event_id", F.col("merged").cast("long").alias("merged"))
 
 
-GRAMMARS = {"session": SESSION, "funnel": FUNNEL, "flags": FLAGS, "talk": TALK, "expressions": EXPRESSIONS}
+def grammar_stats(spark, sf_dir):
+    """Sizes of both forms of the grammars, with the number of events that the sessions' grammars are asked about."""
+    rows = spark.createDataFrame([(name, *r) for name, g in GRAMMARS.items() for r in stages(g)], "name string, form string, nonterminals long, terminals long, productions long")
+    return rows.crossJoin(table(spark, sf_dir, "events").agg(F.count("*").alias("n_events")))  # one row
 
 
-def grammar_stats(spark, sf_dir):
-    rows = [(name, *r) for name, g in GRAMMARS.items() for r in stages(g)]
-    return spark.createDataFrame(rows, "name string, form string, nonterminals long, terminals long, productions long")
+def grammar_adjacency(spark, sf_dir):
+    """Right sides of the order grammar's normal form, with their parents by bit masks, and how many orders begin with a token of the left symbol."""
+    g = load(FLAGS)
+    names, frames = list(g.nonterminals), g.frames(spark)
+    first = orders(spark, sf_dir).select(F.element_at("tokens", 1).alias("tok")).groupBy("tok").agg(F.count("*").alias("k"))
+    began = frames["unit"].join(F.broadcast(first), "tok").groupBy(F.col("a").alias("b")).agg(F.sum("k").alias("n_began"))  # an order has few kinds of tokens
+    labels = F.array(*(F.lit(x) for x in names))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    own = F.filter(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.col("mask").bitwiseAND(bit(i)) != 0)
+    parents = F.array_join(F.array_sort(F.transform(own, lambda i: F.element_at(labels, i + 1))), " ")
+    found = relational.left_adjacency(frames["bin"]).join(began, "b", "left")
+    return found.select(F.element_at(labels, F.col("b") + 1).alias("left_symbol"), F.element_at(labels, F.col("c") + 1).alias("right_symbol"), parents.alias("parents"), F.coalesce("n_began", F.lit(0)).alias("n_began"))
+
+
+def session_backs(spark, sf_dir):
+    """Back-pointers of each span of each session's chart."""
+    found = parsing.back_pointers(sessions(spark, sf_dir).select("sid", "tokens"), load(SESSION))
+    return found.groupBy("sid", (F.col("q2") - F.col("q")).alias("span")).agg(F.count("*").alias("n_backs"))
+
+
+def session_distributions(spark, sf_dir):
+    """The expansions of each cell, with the derivations before each, from the relational chart."""
+    g, s = load(SESSION), sessions(spark, sf_dir).select("sid", "tokens")
+    longest = s.agg(F.max(F.size("tokens"))).first()[0] or 1
+    names = F.array(*(F.lit(x) for x in g.nonterminals))
+    name = lambda c: F.element_at(names, F.col(c) + 1).alias(c)
+    found = relational.distributions(relational.chart(s, g, longest), g)
+    number = lambda c: F.col(c).cast("long").alias(c)
+    return found.select("sid", number("q"), number("q2"), name("nt"), number("m"), name("b"), name("c"), F.col("size").cast("string").alias("size"), F.col("before").cast("string").alias("before"))
+
+
+def session_bounds(spark, sf_dir):
+    """The least and the greatest way to fill a session's holes, by visible length."""
+    found = repairing.bounds_by_length(holed(sessions(spark, sf_dir)), load(FUNNEL))
+    return found.select("sid", F.col("length").cast("long").alias("length"), F.array_join("least", " ").alias("least"), F.array_join("greatest", " ").alias("greatest"))
+
+
+def session_distances(spark, sf_dir):
+    """Different strings at each distance from a session."""
+    return repairing.distances(sessions(spark, sf_dir).select("sid", "tokens"), load(FUNNEL), 2).select("sid", F.col("dist").cast("long").alias("dist"), "n_words")
+
+
+def session_subtrees(spark, sf_dir):
+    return parsing.maximal_subtrees(sessions(spark, sf_dir).select("sid", "tokens"), load(FUNNEL)).select("sid", "lo", "hi", "label")
+
+
+def session_leaves(spark, sf_dir):
+    """The leaves of one tree of each accepted session, in order, and the root's span."""
+    nodes = parsing.tree_nodes(sessions(spark, sf_dir).select("sid", "tokens"), load(SESSION))
+    inner = nodes.where(F.col("parent").isNotNull()).select("sid", F.col("parent").alias("node")).distinct()
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("lo", "label"))), lambda x: x["label"])
+    leaves = nodes.join(inner, ["sid", "node"], "left_anti").groupBy("sid").agg(F.array_join(ordered, " ").alias("leaves"))
+    return leaves.join(nodes.where("parent IS NULL").select("sid", F.col("hi").cast("long").alias("root_end")), "sid")
+
+
+def session_reach(spark, sf_dir):
+    """Pairs of states with a path, and states between them, of each session's line automaton."""
+    pairs = relational.reach(relational.line_arcs(sessions(spark, sf_dir).select("sid", "tokens")).select("sid", "q", "q2"))
+    between = relational.mid_points(pairs).groupBy("sid").agg(F.count("*").alias("n_between"))
+    return pairs.groupBy("sid").agg(F.count("*").alias("n_pairs")).join(between, "sid", "left").select("sid", "n_pairs", F.coalesce("n_between", F.lit(0)).alias("n_between"))
+
+
+def session_alignment(spark, sf_dir):
+    """A cheapest alignment of each session with the same user's one before: its cost and both sides."""
+    s = sessions(spark, sf_dir).withColumn("last", F.lag("tokens").over(W.partitionBy("user_id").orderBy("day"))).where(F.col("last").isNotNull())
+    pairs = s.select("sid", X.aligned("last", "tokens").alias("p"))
+    side = lambda name: F.array_join(F.filter(F.transform("p", lambda x: x[name]), lambda x: x.isNotNull()), " ")
+    return pairs.select("sid", F.size(F.filter("p", lambda x: ~x["old"].eqNullSafe(x["new"]))).cast("long").alias("cost"), side("old").alias("old"), side("new").alias("new"))
+
+
+def session_display(spark, sf_dir):
+    """The three first repairs in the order of display, and the three first different ones by score (their distance)."""
+    found = session_repairs(spark, sf_dir, 100).select("sid", "dist", "repair")
+    shown = ranking.top_k(found, ["sid"], ranking.display_order(), 3)
+    best = ranking.unique_top_k(found.withColumn("score", F.col("dist")), ["sid"], 3).select("sid", "rank", F.array_join("repair", " ").alias("by_score"))
+    return shown.join(best, ["sid", "rank"]).select("sid", F.col("rank").cast("long").alias("rank"), F.array_join("repair", " ").alias("shown"), "by_score")
+
+
+def mixed_sessions(df: DataFrame) -> DataFrame:
+    """Sessions of users with an even id with holes, of others as they are, and one stub for each session of users whose id 50 divides."""
+    every = F.when(F.col("user_id") % 2 == 0, F.transform("tokens", lambda t, i: F.when(i % 2 == 1, HOLE).otherwise(t))).otherwise(F.col("tokens"))
+    return df.select("sid", F.when(F.col("user_id") % 50 == 0, F.array(F.lit("<Middle>"))).otherwise(every).alias("tokens"))
+
+
+def session_dispatch(spark, sf_dir):
+    """What each session's scenario gives; of a tree only that there is one."""
+    found = dispatch.outputs(mixed_sessions(sessions(spark, sf_dir)), load(FUNNEL))
+    return found.select("sid", "scenario", F.col("rank").cast("long").alias("rank"), F.when(F.col("scenario") != "PARSEABLE", F.col("output")).alias("output"))
+
+
+def line_repairs(spark, sf_dir):
+    """The best repair of a broken line of Python for each part, a call without its closing bracket: of the nearest ones that compile, the shortest costs least."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line_id"), F.concat(F.lit("size = f ( "), F.when(F.col("p_size") % 2 == 0, F.lit("width")).otherwise(F.lit("3"))).alias("line"))
+    said = spark.createDataFrame([("x = f ( 1 )",), ("x = f ( y )",), ("x = f ( 1 , y )",), ("return x + 1",)], "line string")
+    grams = scoring.ngrams(said.select(F.filter(X.lex_classes("line"), lambda t: t != "NEWLINE").alias("tokens")))
+    return pylines.repaired_lines(part, load(LINES), grams, 1, 0, 1).select("line_id", F.col("dist").cast("long").alias("dist"), "fixed")
+
+
+CODES = ["and", "de", "der", "la", "of", "the"]
+
+
+def document_codes(spark, sf_dir):
+    """Each document's tokens as places in a list of terminals, others as holes."""
+    tokens = X.without_empty(X.tokenise(F.coalesce("text", F.lit(""))))
+    known = table(spark, sf_dir, "documents").select("doc_id", X.code_points(X.abstracted(tokens, CODES), CODES).alias("c"))
+    return known.select("doc_id", F.size("c").cast("long").alias("n_tokens"), F.size(F.filter("c", lambda x: x < 0)).cast("long").alias("n_holes"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + F.greatest(x, F.lit(0))).alias("code_sum"))
+
+
+def page_text(spark, sf_dir):
+    """The text of each page, as its length and hash, and whether a token looks like a stub."""
+    html = F.coalesce("html", F.lit(""))
+    text = X.plain_text(html)
+    return table(spark, sf_dir, "pages").select("page_id", F.length(text).cast("long").alias("n_chars"), F.md5(text.cast("binary")).alias("md5"), X.has_stub(X.tokenise(html)).alias("has_stub"))
+
+
+def name_prefixes(spark, sf_dir):
+    """The longest common prefix of the names of each brand's parts."""
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array(F.min("p_name"), F.max("p_name")).alias("w")).select("p_brand", X.lcp(F.col("w")).alias("prefix"))
+
+
+def order_line_errors(spark, sf_dir):
+    """How many of the lines written for orders Python rejects, by error."""
+    line = F.when(F.col("o_orderstatus") == "O", "x = 1").when(F.col("o_orderstatus") == "F", "x =").otherwise("(x")
+    return X.rejections(table(spark, sf_dir, "orders").select(line.alias("line")), "line").select("error", F.col("count").alias("n"))
+
+
+def event_latest(spark, sf_dir):
+    """Each user's last event, as a batch of prompts is conflated."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("editor"), "ts", F.col("event_type").alias("line"))
+    return prompts.latest(e).select("editor", "line")
+
+
+def event_pauses(spark, sf_dir):
+    """How many pauses of an hour or more end each user's events, and how many of them a view."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("editor"), "ts", F.col("event_type").alias("line"))
+    found = prompts.settled(e, "1 hour")
+    return found.groupBy("editor").agg(F.count("*").alias("n_pauses"), F.count_if(F.col("line") == "view").alias("n_view"))
 
 
 def matrix_square(spark, sf_dir):
@@ -237,15 +347,29 @@ def rasp_histogram(spark, sf_dir):
     return machines.histogram(machines.run(programs(spark, sf_dir), 5000), 5000, 50)
 
 
+def rasp_ends(spark, sf_dir):
+    """The parts whose machines run longest, and how many machines halt by themselves."""
+    ran = machines.run(programs(spark, sf_dir), 5000)
+    return machines.longest(ran, 5).select("vid", "steps").crossJoin(machines.halted_count(ran, 5000))  # one row
+
+
+def funnel_stubs(spark, sf_dir):
+    """For each region the first strings of a stub."""
+    s = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("sid"), F.array(F.lit("<Middle>")).alias("tokens"))
+    return repairing.stub_strings(s, load(FUNNEL)).select("sid", F.col("rank").cast("long").alias("rank"), F.array_join("string", " ").alias("string"))
+
+
 def typed_expressions(spark, sf_dir):
-    values = spark.createDataFrame([("name", "String"), ("count", "Int")], "name string, type string")
-    fns = spark.createDataFrame([("hello", [], "String"), ("greet", ["String"], "String"), ("size", ["String"], "Int"), ("join", ["Any", "Any"], "String")], "name string, params array<string>, ret string")
-    members = spark.createDataFrame([("String", "length", None, "Int"), ("Int", "plus", ["Int"], "Int")], "owner string, name string, params array<string>, ret string")
-    subtypes = spark.createDataFrame([("String", "Any"), ("Int", "Any")], "sub string, sup string")
+    """Expressions over nations and regions as values."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.lit("Nation").alias("type"))
+    values = nation.unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.lit("Region").alias("type")))
+    fns = spark.createDataFrame([("now", [], "Date"), ("label", ["Place"], "Text"), ("trade", ["Nation", "Nation"], "Amount")], "name string, params array<string>, ret string")
+    members = spark.createDataFrame([("Nation", "region", None, "Region")], "owner string, name string, params array<string>, ret string")
+    subtypes = spark.createDataFrame([("Nation", "Place"), ("Region", "Place")], "sub string, sup string")
     return typed.expressions(values, fns, members, subtypes, 6).withColumn("len", F.col("len").cast("long"))
 
 
-_QUERIES = [session_accept, session_tree_count, session_active_cells, session_trees, session_segments, session_scenarios, session_fragments, session_led, session_repairs_topk, session_complete_holes, session_suffixes, session_plans, session_samples, order_flag_accept, order_chart_joins, dialogue_accept, tag_balance, token_ngrams4, ngram_cost, automaton_cost, prefix_sums, edit_distance, edit_signature_dedup, fair_merge, grammar_stats, matrix_square, rasp_histogram, typed_expressions]
+_QUERIES = [session_accept, session_tree_count, session_active_cells, session_trees, session_segments, session_scenarios, session_fragments, session_led, session_repairs_topk, session_complete_holes, session_suffixes, session_plans, session_samples, order_flag_accept, order_chart_joins, dialogue_accept, tag_balance, token_ngrams4, ngram_cost, automaton_cost, prefix_sums, edit_distance, edit_signature_dedup, fair_merge, grammar_stats, grammar_adjacency, session_backs, session_distributions, session_bounds, session_distances, session_subtrees, session_leaves, session_reach, session_alignment, session_display, session_dispatch, line_repairs, document_codes, page_text, name_prefixes, order_line_errors, event_latest, event_pauses, matrix_square, rasp_histogram, rasp_ends, funnel_stubs, typed_expressions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -253,42 +377,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    words = oracle.language(load(FUNNEL), FUNNEL_MOST + 2)
-    near = oracle.near_ctes(oracle.SESSIONS, words, KINDS, FUNNEL_MOST, 2)
-    code = " ".join(f"WHEN '{t}' THEN '{chr(65 + i)}'" for i, t in enumerate(KINDS))
-    listed = oracle.values([(" ".join(w), "".join(chr(65 + KINDS.index(t)) for t in w), len(w)) for w in words], "word, code, len")
-    short = f"tok AS ({oracle.SESSIONS}), said AS (SELECT sid, string_agg(CASE tok {code} END, '' ORDER BY q) AS code, count(*) AS n FROM tok GROUP BY sid HAVING count(*) <= {FUNNEL_MOST})"
-    stats = oracle.values([(name, *r) for name, g in GRAMMARS.items() for r in stages(g)], "name, form, nonterminals, terminals, productions")
-    framed = f"tok AS ({oracle.SESSIONS}), f AS (SELECT sid, ['BOS', 'NEWLINE'] || list(tok ORDER BY q) || ['NEWLINE', 'EOS'] AS w FROM tok GROUP BY sid), r AS (SELECT sid, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) AS g FROM f), c AS (SELECT g, count(*) AS n FROM r GROUP BY g), t AS (SELECT sum(n) AS total FROM c)"
-    return {
-        "session_accept": oracle.accept_sql(oracle.SESSIONS, load(SESSION), SPANS["sessions"]),
-        "session_tree_count": oracle.count_sql(oracle.SESSIONS, load(SESSION), SPANS["sessions"]),
-        "session_active_cells": oracle.cells_sql(oracle.SESSIONS, load(SESSION), SPANS["sessions"]),
-        "session_led": near + "\nSELECT sid, min(dist) AS led FROM near GROUP BY sid",
-        "session_repairs_topk": near + """, m AS (SELECT *, min(dist) OVER (PARTITION BY sid) AS least FROM near),
-r AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY dist, len, word) AS rank, dist, word AS repair FROM m WHERE dist <= least + 1)
-SELECT * FROM r WHERE rank <= 5""",
-        "session_complete_holes": f"WITH {short}, words AS (SELECT * FROM {listed}), p AS (SELECT sid, n, regexp_replace(code, '(.).', '\\1_', 'g') AS pat FROM said), "
-        "r AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY word) AS rank, word AS completion FROM p JOIN words ON len = n AND words.code LIKE pat) SELECT * FROM r WHERE rank <= 29",
-        "session_suffixes": f"WITH {short}, words AS (SELECT * FROM {listed}), r AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY len, word) AS rank, array_to_string(string_split(word, ' ')[CAST(n + 1 AS INT):], ' ') AS suffix "
-        "FROM said JOIN words ON starts_with(words.code, said.code) AND len BETWEEN n AND n + 5 WHERE n <= 3) SELECT * FROM r WHERE rank <= 5",
-        "order_flag_accept": oracle.accept_sql(oracle.ORDERS, load(FLAGS), SPANS["orders"]),
-        "order_chart_joins": oracle.count_sql(oracle.ORDERS, load(FLAGS), SPANS["orders"]),
-        "dialogue_accept": oracle.accept_sql(oracle.DIALOGUES, load(TALK), SPANS["dialogues"]),
-        "tag_balance": r"""WITH t AS (SELECT page_id, list_transform(regexp_extract_all(coalesce(html, ''), '</?(?:div|ul|li|nav|p)\b'), lambda x: CASE WHEN starts_with(x, '</') THEN -1 ELSE 1 END) AS s FROM pages)
-SELECT page_id, CAST(len(list_filter(s, lambda x: x > 0)) AS BIGINT) AS n_open, CAST(coalesce(list_sum(s), 0) AS BIGINT) AS depth_left,
-  coalesce(list_sum(s), 0) = 0 AND coalesce(list_min(list_transform(range(1, len(s) + 1), lambda i: list_sum(s[1:i]))), 0) >= 0 AS balanced FROM t""",
-        "token_ngrams4": r"""WITH d AS (SELECT list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-f AS (SELECT ['BOS', 'NEWLINE'] || w || ['NEWLINE', 'EOS'] AS w FROM d), r AS (SELECT unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) AS gram FROM f)
-SELECT gram, count(*) AS n FROM r GROUP BY gram""",
-        "ngram_cost": f"WITH {framed} SELECT sid, CAST(sum(greatest(0, floor(-ln(n / total) * 10000 + 0.5))) AS BIGINT) AS score FROM r JOIN c USING (g), t GROUP BY sid",
-        "prefix_sums": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS qty, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM lineitem",
-        "edit_distance": f"WITH tok AS ({oracle.SESSIONS}), said AS (SELECT sid, string_agg(CASE tok {code} END, '' ORDER BY q) AS code FROM tok GROUP BY sid), "
-        "l AS (SELECT sid, code, lag(code) OVER (PARTITION BY split_part(sid, ':', 1) ORDER BY split_part(sid, ':', 2)) AS last FROM said) SELECT sid, levenshtein(last, code) AS dist FROM l WHERE last IS NOT NULL",
-        "fair_merge": "WITH p AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS place FROM events), m AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY place, event_type) AS merged FROM p) SELECT * FROM m WHERE merged <= 10",
-        "grammar_stats": f"SELECT name, form, CAST(nonterminals AS BIGINT) AS nonterminals, CAST(terminals AS BIGINT) AS terminals, CAST(productions AS BIGINT) AS productions FROM {stats}",
-        "matrix_square": "WITH m AS (SELECT l_partkey % 60 AS r, l_suppkey % 60 AS c, count(*) AS v FROM lineitem GROUP BY ALL) SELECT a.r, b.c, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM m a JOIN m b ON a.c = b.r GROUP BY ALL",
-    }
+    return answers.oracle_sql()
 
 
 def grammar(name: str) -> Grammar:

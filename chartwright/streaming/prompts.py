@@ -35,4 +35,4 @@ def serve(prompts: DataFrame, grammar: Grammar, sink: Callable[[DataFrame, int],
 
 def settled(prompts: DataFrame, gap: str = "300 milliseconds", late: str = "1 minute") -> DataFrame:
     """One row for each pause in an editor's typing: the last line before a gap."""
-    return prompts.withWatermark("ts", late).groupBy("editor", F.session_window("ts", gap).alias("w")).agg(F.max_by("line", "ts").alias("line"))
+    return prompts.withWatermark("ts", late).groupBy("editor", F.session_window("ts", gap).alias("w")).agg(F.max_by("line", F.struct("ts", "line")).alias("line"))

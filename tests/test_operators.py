@@ -88,7 +88,8 @@ def test_sessions_of_any_length(spark, tmp_path):
 def test_text_functions(spark):
     assert X.restitched("CI = A - P (", "NAME = NAME - NAME ( )".split()) == "CI = A - P ( )"
     assert X.signature(X.alignment("a b c".split(), "a x c d".split())) == "E C.x E I.d"
-    assert X.labels("a x c".split(), "a b c".split()).count(0) == 2
+    assert X.labels("a x c".split(), "a b c".split()) == [0, 2, 0] and X.labels("a x b".split(), "a b".split()) == [0, 1, 0] and X.labels(["a"], "b a c".split()) == [0]
+    assert X.surrounding("if <B> then", 3, r"<[^\s>]+>") == "<B>" and X.surrounding("if <B> then", 2) == "if" and X.surrounding("if   x", 3) is None
     df = spark.createDataFrame([("x = 1",), ("x =",)], "line string")
     assert [r.line for r in X.compiling(df, "line").collect()] == ["x = 1"] and X.rejections(df, "line").count() == 1
     row = spark.createDataFrame([(["table", "tab", "taco"], "<b>a &lt; b</b>")], "w array<string>, h string").select(X.lcp(F.col("w")).alias("p"), X.plain_text(F.col("h")).alias("h")).first()
@@ -171,10 +172,61 @@ def test_grammar_documents(spark, tmp_path):
     assert readers.grammar("A B -> c")[0] is None
 
 
-def test_every_query_runs_on_the_smallest_tables(spark):
-    known = registry.queries()
-    for name in ("session_accept", "session_repairs_topk", "rasp_histogram"):
-        assert known[name](spark, "/root/testdata/sf0.001").count() > 0
+def test_queries_equal_their_sql_on_the_smallest_tables(spark):
+    import os
+
+    duckdb = pytest.importorskip("duckdb")
+    at, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in os.listdir(at):
+        con.execute(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{at}/{t}')")
+    known, sql = registry.queries(), registry.oracle_sql()
+    for name in ("session_accept", "session_repairs_topk", "session_dispatch", "session_plans", "session_distributions", "automaton_cost", "rasp_histogram", "token_ngrams4"):
+        df = known[name](spark, at)
+        want = con.execute(sql[name])
+        names = [d[0] for d in want.description]
+        assert sorted(map(str, (tuple(r) for r in df.select(*names).collect()))) == sorted(map(str, want.fetchall())), name
+
+
+def test_dispatch_of_suffixes_and_names(spark):
+    from chartwright.operators import dispatch
+
+    g = load("START -> if ( x | if ( [START] z", False, False)
+    s = sentences(spark, ["if (", "if ( x", "if _ x", "( x", "zzz"])
+    got = {(r.sid, r.scenario): [] for r in dispatch.outputs(s, g, 1, 0, 9, True, {"[START]": "START"}).collect()}
+    for r in dispatch.outputs(s, g, 1, 0, 9, True, {"[START]": "START"}).orderBy("sid", "rank").collect():
+        got[r.sid, r.scenario].append(r.output)
+    assert got == {(0, "SUFFIX_COMPLETION"): ["if ( x", "if ( START z"], (1, "SUFFIX_COMPLETION"): ["if ( x"], (2, "COMPLETION"): ["if ( x"], (3, "REPAIR"): ["if ( x"]}
+    assert {r.scenario for r in dispatch.outputs(s, g, 1, 0, 9).collect()} == {"COMPLETION", "PARSEABLE", "REPAIR"}
+
+
+def test_epsilons_and_sizes(spark):
+    g = load("START -> A B\nA -> a | A a\nB -> b | c B", True, False)
+    got = repairing.completions(sentences(spark, ["_ _ _ _ _"]), g, 4).orderBy("rank").collect()
+    want = sorted({" ".join(x for x in w) for n in range(1, 6) for w in itertools.product("abc", repeat=n) if parse(" ".join(w))}, key=lambda s: (len(s.split()), s.split()))
+    assert [" ".join(r.completion) for r in got] == want[:4]
+    lengths = {r.length: (" ".join(r.least), " ".join(r.greatest)) for r in repairing.bounds_by_length(sentences(spark, ["_ _ _ _ _"]), g).collect()}
+    assert lengths == {n: (min(x), max(x)) for n in range(2, 6) if (x := [w for w in want if len(w.split()) == n])}
+    plain = load("START -> START START | a | b c")
+    row = repairing.distances(sentences(spark, ["a b"]), plain, 1).collect()
+    assert {(r.dist, r.n_words) for r in row} == {(1, 3)}  # a, a a, a b c
+    share = repairing.saturation(sentences(spark, ["a b"]), plain, 1, 0, 2).first().share
+    total = int(repairing.root_sizes(sentences(spark, ["a b"]), plain, 1).first().n_derivations)
+    assert share == 2 / total and total >= 3
+
+
+def parse(line):
+    import re
+
+    return re.fullmatch(r"a( a)*( c)* b", line) is not None
+
+
+def test_repaired_lines(spark):
+    from chartwright.operators import pylines
+
+    lines = spark.createDataFrame([(1, "x = f ( y"), (2, "x = 1"), (3, None)], "line_id int, line string")
+    said = spark.createDataFrame([("NAME = NAME ( NAME )".split(),)] * 50, "tokens array<string>")
+    got = {(r.line_id, r.rank): (r.dist, r.fixed) for r in pylines.repaired_lines(lines, load(registry.LINES), scoring.ngrams(said), 1, 0, 3).collect()}
+    assert got[1, 1] == (1, "x = f ( y )") and got[2, 1] == (0, "x = 1") and all(compile(f, "", "exec") for _, f in got.values())
 
 
 def test_stream_of_prompts(spark, tmp_path):
