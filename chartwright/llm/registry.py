@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from chartwright.llm import archives, decontaminate, fingerprints, language, neardup, packing, privacy, quotations, scoring, secrets
 
 
@@ -22,7 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": privacy.op8_pii,
         "op9_quotations": quotations.op9_quotations,
         "op10_packing": packing.op10_packing,
-        "pipeline": corpus_pipeline.run,
     }
 
 
