@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,7 +57,27 @@ def expansions(productions: DataFrame, stub: str, k: int = 50) -> DataFrame:
     return of.select(text.alias("expansion")).distinct().orderBy(~F.col("expansion").rlike(r"^<\S+>$"), F.length(F.regexp_replace("expansion", "[^ ]", "")), "expansion").limit(k)
 
 
-def cleaned_completions(df: DataFrame, keys: list[str], text: str, place: str, k: int = 10) -> DataFrame:
-    """Completions without a trailing NEWLINE or blanks, distinct, the first k by place."""
-    plain = df.withColumn(text, F.trim(F.regexp_replace(text, r"\s*NEWLINE\s*$", ""))).where(F.col(text) != "")
+def cleaned_completions(df: DataFrame, keys: list[str], text: str, place: str, k: int = 10, first: int = 50) -> DataFrame:
+    """Of the first completions by place, those without a trailing NEWLINE or blanks, distinct, the first k."""
+    some = top_k(df, keys, [F.col(place), F.col(text)], first, "_at").drop("_at")
+    plain = some.withColumn(text, F.trim(F.regexp_replace(text, r"\s*NEWLINE\s*$", ""))).where(F.col(text) != "")
     return top_k(plain.groupBy(*keys, text).agg(F.min(place).alias(place)), keys, [F.col(place)], k)
+
+
+def invariant(df: DataFrame, unit: DataFrame, symbol: str, token: str) -> DataFrame:
+    """Rows whose token may stand for the nonterminal: a substitution that keeps what derives it. unit: rows (sym, tok)."""
+    known = F.broadcast(unit.select(F.col("sym").alias(symbol), F.col("tok").alias(token)).distinct())  # a grammar's unit rules
+    return df.join(known, [symbol, token], "left_semi")
+
+
+def searched(found: DataFrame, keys: list[str], k: int, scorer: Callable[[DataFrame], DataFrame] | None = None, metric: list[Column] | None = None, model: Callable | None = None, vocabulary: set[str] | None = None) -> DataFrame:
+    """The k best of repairs (keys, dist, repair), ranked by metric, or by the score that scorer adds, or by distance; a model, if any, ranks these k anew.
+
+    Ties go by distance, length and tokens. Adds rank, and reranked with a model.
+    """
+    from chartwright.operators.scoring import reranked
+
+    scored = scorer(found) if scorer else found
+    order = metric or ([F.col("score")] if scorer else [])
+    best = top_k(scored, keys, [*order, F.col("dist"), F.size("repair"), F.col("repair")], k)
+    return reranked(best, keys, "rank", model, vocabulary) if model else best

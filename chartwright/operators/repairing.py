@@ -5,6 +5,8 @@ Strings come ranked by (distance, length, tokens); each is given once, at its le
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame
 from chartwright.functions import chart as C
 from chartwright.functions.grammar import HOLE, START, Grammar
 from chartwright.operators.runner import per_sentence
+from chartwright.operators.scoring import SCALE
 
 TOP = 29
 
@@ -236,36 +239,69 @@ def plans(sentences: DataFrame, grammar: Grammar, most: int = 20) -> DataFrame:
     return per_sentence(sentences, grammar, one, PLAN)
 
 
-def frontier(t: C.Tables, chart: C.Chart, q: int, width: int, k: int, most: int = 264) -> list[tuple[str, ...]]:
+#: A parent's greatest weight by cost alone, most successors that count, and the greatest weight.
+BY_COST, BRANCHES, HEAVIEST = 4096, 64, 65_535
+
+
+def parent_weight(cost: int | None, successors: int, scale: int) -> int:
+    """How likely a state of the frontier is to be drawn: less with its cost so far, more with its successors; 0 for a dead one."""
+    if cost is None:
+        return 0
+    return min(HEAVIEST, max(1, BY_COST // (1 + cost // max(scale, 1))) * min(max(successors, 1), BRANCHES))
+
+
+def _uniform(*of: object) -> float:
+    """A number in (0, 1), the same for the same arguments in any process."""
+    return (int.from_bytes(hashlib.blake2b(repr(of).encode(), digest_size=8).digest(), "big") + 0.5) / 2.0**64
+
+
+def frontier(t: C.Tables, chart: C.Chart, q: int, width: int, k: int, most: int = 264, automaton=None, seed: int | None = None) -> list[tuple[str, ...]]:
     """Strings of a root by leftmost derivation: states are what is emitted and a stack of cells still to derive.
 
-    While there are at most width states all are kept; beyond it those that emitted least, then by their
-    tokens, so that a run is repeatable. Ends after most steps, or with k finished strings.
+    While there are at most width states all are kept, and all strings of up to `most` steps found. Beyond
+    it a run is a beam: without a seed those that emitted least stay, then by their tokens; with one, states
+    are drawn by parent_weight() of the automaton's cost (0 without one), and each then goes on by one
+    successor, a token with mass exp(-cost / scale), an expansion with 1. Either way a run is repeatable.
+    Chart.plain() gives all of a root's least strings, whatever their number.
     """
     states: list[tuple[tuple[str, ...], tuple[tuple[int, int, int], ...]]] = [((), ((0, q, t.ids[START]),))]
     done: dict[tuple[str, ...], None] = {}
-    for _ in range(most):
+    step_cost = lambda out, token: automaton.edges.get((automaton.state(out), token), (0, automaton.missing))[1] if automaton else 0
+    scale = SCALE if automaton else 1
+    for n in range(most):
+        if len(states) > width and seed is not None:
+            heavy = [(parent_weight(automaton.cost(s[0]) if automaton else 0, len(chart.leaf_tokens(*s[1][0])) + sum(1 for _ in chart.backs(*s[1][0])), scale), s) for s in states]
+            # the states of the least -log(u) / weight are a weighted draw without replacement
+            states = [s for _, s in sorted((-math.log(_uniform(seed, n, s)) / w, s) for w, s in heavy if w)[:width]]
+            one_each = True
+        else:
+            one_each = False
         grown = set()
         for out, stack in states:
             (p, r, a), rest = stack[0], stack[1:]
-            for token in chart.leaf_tokens(p, r, a):
-                if rest:
-                    grown.add(((*out, token), rest))
+            after = [(math.exp(-step_cost(out, token) / scale) if one_each else 1.0, ((*out, token), rest)) for token in chart.leaf_tokens(p, r, a)]
+            after += [(1.0, (out, ((p, m, b), (m, r, c), *rest))) for m, b, c in chart.backs(p, r, a)]
+            if one_each and after:
+                after = [min(after, key=lambda x, here=(out, stack), n=n: -math.log(_uniform(seed, n, here, x[1])) / max(x[0], 1e-300))]
+            for _, s in after:
+                if s[1]:
+                    grown.add(s)
                 else:
-                    done[(*out, token)] = None
-            grown.update((out, ((p, m, b), (m, r, c), *rest)) for m, b, c in chart.backs(p, r, a))
-        states = sorted(grown, key=lambda s: (len(s[0]) + len(s[1]), s))[:width]
+                    done[s[0]] = None
+        states = sorted(grown, key=lambda s: (len(s[0]) + len(s[1]), s))
+        if seed is None:
+            states = states[:width]
         if not states or len(done) >= k:
             break
     return sorted(done, key=lambda s: (len(s), s))[:k]
 
 
-def beam(sentences: DataFrame, grammar: Grammar, width: int = 2000, k: int = TOP) -> DataFrame:
-    """Completions by a bounded frontier instead of whole cells: rank, completion. All of them while the frontier fits its width."""
+def beam(sentences: DataFrame, grammar: Grammar, width: int = 2000, k: int = TOP, automaton=None, seed: int | None = None) -> DataFrame:
+    """Completions by a bounded frontier instead of whole cells: rank, completion. All of them while the frontier fits its width; completions() has no such bound."""
 
     def one(t: C.Tables, tokens: list[str]) -> list[tuple]:
         chart = C.line_chart(t, tokens)
-        return [(i + 1, list(s)) for i, s in enumerate(frontier(t, chart, len(tokens), width, k))] if chart.has(0, len(tokens)) else []
+        return [(i + 1, list(s)) for i, s in enumerate(frontier(t, chart, len(tokens), width, k, automaton=automaton, seed=seed))] if chart.has(0, len(tokens)) else []
 
     return per_sentence(sentences, grammar, one, "rank int, completion array<string>")
 

@@ -62,11 +62,22 @@ class Automaton:
 
     def score(self, tokens: list[str]) -> int | None:
         """Summed cost, null if the last state isn't final."""
+        q, total = self.walk(tokens)
+        return total + self.final[q] if q in self.final else None
+
+    def walk(self, tokens: tuple[str, ...] | list[str]) -> tuple[int, int]:
+        """State and cost after some tokens."""
         q, total = self.start, self.start_cost
         for t in tokens:
             q, c = self.edges.get((q, t), (q, self.missing))
             total += c
-        return total + self.final[q] if q in self.final else None
+        return q, total
+
+    def state(self, tokens: tuple[str, ...] | list[str]) -> int:
+        return self.walk(tokens)[0]
+
+    def cost(self, tokens: tuple[str, ...] | list[str]) -> int:
+        return self.walk(tokens)[1]
 
     def ranked(self, tokens: list[str], dist: int) -> int | None:
         s = self.score(tokens)
@@ -111,3 +122,27 @@ def reranked(df: DataFrame, keys: list[str], place: str, model=None, vocabulary:
     known = F.forall(tokens, lambda t: t.isin(sorted(vocabulary))) if vocabulary is not None else F.lit(True)
     scored = df.withColumn("_s", score(F.col(tokens))).withColumn("_k", F.min(known.cast("int")).over(w))
     return scored.withColumn("reranked", F.row_number().over(w.orderBy(F.when(F.col("_k") == 1, -F.col("_s")), place))).drop("_s", "_k")
+
+
+def ngram_scorer(grams: DataFrame, n: int = 4, tokens: str = "repair"):
+    """A scorer for ranking.searched(): distance before the n-gram cost of the repair, each different one scored once."""
+
+    def scored(found: DataFrame) -> DataFrame:
+        plain = found.withColumn("_key", F.to_json(tokens))
+        costs = ngram_scores(plain.select("_key", F.col(tokens).alias("tokens")).dropDuplicates(["_key"]), grams, ["_key"], n).withColumnRenamed("score", "_cost")
+        return plain.join(costs, "_key").withColumn("score", rank_score(F.col("dist"), F.col("_cost"))).drop("_key", "_cost")
+
+    return scored
+
+
+class BagModel:
+    """Scores token lists by weights as sources.readers.weights() reads them: embedding (tokens x size), output (size), bias (1). A list's score is the mean of its tokens' vectors times the output."""
+
+    def __init__(self, weights: dict[str, np.ndarray], vocabulary: list[str]) -> None:
+        self.ids = {t: i for i, t in enumerate(vocabulary)}
+        self.embedding, self.output, self.bias = weights["embedding"], weights["output"], float(weights["bias"][0])
+        if self.embedding.shape != (len(vocabulary), len(self.output)):
+            raise ValueError("the embedding has a row for each token and the output's size")
+
+    def __call__(self, lists: list[list[str]]) -> np.ndarray:
+        return np.array([(self.embedding[[self.ids[t] for t in ts]].mean(axis=0) * self.output).sum() + self.bias if ts else self.bias for ts in lists], dtype=float)

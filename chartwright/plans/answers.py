@@ -76,6 +76,19 @@ k AS MATERIALIZED (SELECT sid, rank, dist, repair, string_split(repair, ' ') AS
 fold(sid, rank, i, q, total) AS (SELECT sid, rank, 1, 'NEWLINE', CAST(0 AS BIGINT) FROM k
   UNION ALL SELECT x.sid, x.rank, x.i + 1, coalesce(e.b, x.q), x.total + coalesce(e.cost, 200000) FROM fold x JOIN k ON k.sid = x.sid AND k.rank = x.rank LEFT JOIN e ON e.a = x.q AND e.b = k.w[x.i] WHERE x.i <= len(k.w))
 SELECT k.sid, CAST(k.rank AS INT) AS rank, CAST(k.dist AS INT) AS dist, k.repair, x.total + (k.dist + 1) * 10000000 AS score FROM k JOIN fold x ON x.sid = k.sid AND x.rank = k.rank AND x.i = len(k.w) + 1""",
+        "session_ngram_rank": near + RANKED + """, f AS (SELECT ['BOS', 'NEWLINE'] || string_split(sentence, ' ') || ['NEWLINE', 'EOS'] AS w FROM said),
+g AS (SELECT unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) AS g FROM f), c AS MATERIALIZED (SELECT g, count(*) AS n FROM g GROUP BY g), t AS MATERIALIZED (SELECT sum(n) AS total FROM c),
+v AS (SELECT DISTINCT repair, ['BOS', 'NEWLINE'] || string_split(repair, ' ') || ['NEWLINE', 'EOS'] AS w FROM r), x AS (SELECT repair, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) AS g FROM v),
+s AS MATERIALIZED (SELECT repair, CAST(sum(greatest(0, floor(-ln(coalesce(n, 1) / total) * 10000 + 0.5))) AS BIGINT) AS cost FROM x LEFT JOIN c USING (g), t GROUP BY repair),
+o AS (SELECT sid, repair, dist * 10000000 + cost AS score, row_number() OVER (PARTITION BY sid ORDER BY dist * 10000000 + cost, dist, length(repair) - length(replace(repair, ' ', '')), repair) AS rank FROM r JOIN s USING (repair))
+SELECT sid, rank, repair, score FROM o WHERE rank <= 2""",
+        "session_lists": near + RANKED + "\nSELECT sid, '<ol>' || string_agg('<li>' || replace(repair, ' ', ' &lt;&gt; ') || '</li>', '' ORDER BY rank) || '</ol>' AS html FROM r WHERE rank <= 5 GROUP BY sid",
+        "event_draws": """WITH a AS (SELECT event_id, (CAST(event_id AS HUGEINT) + 2654435769) % 4294967296 AS z FROM events),
+b AS (SELECT event_id, xor(z, z >> 16) * 2246822507 % 4294967296 AS z FROM a), c AS (SELECT event_id, xor(z, z >> 13) * 3266489909 % 4294967296 AS z FROM b), d AS (SELECT event_id, CAST(xor(z, z >> 16) AS BIGINT) AS x FROM c),
+p AS (SELECT event_id, x, xor(x, (x << 13) & 4294967295) AS y FROM d), q AS (SELECT event_id, x, xor(y, y >> 17) AS y FROM p), r AS (SELECT event_id, x, xor(y, (y << 5) & 4294967295) AS y FROM q)
+SELECT event_id, x AS mixed, y % 1000 AS drawn FROM r WHERE y >= 296""",
+        "part_programs": r"""SELECT p_partkey, 'fun f0(ipt: W ^ 3) -> W ^ 2 {' || chr(10) || '    scr[0] = ipt[' || (p_size % 3) || '] + scr[1];' || chr(10) || '    whl scr[0] {' || chr(10) || '        ife x {' || chr(10) || '            opt[' || (p_size % 2) || '] = 1' || chr(10) || '        } {' || chr(10) || '            hlt' || chr(10) || '        }' || chr(10) || '    }' || chr(10) || '}' AS program FROM part""",
+        "event_invariance": "SELECT event_type AS tok, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1",
         "order_flag_accept": oracle.accept_sql(oracle.ORDERS, load(FLAGS), SPANS["orders"]),
         "order_chart_joins": oracle.count_sql(oracle.ORDERS, load(FLAGS), SPANS["orders"]),
         "dialogue_accept": oracle.accept_sql(oracle.DIALOGUES, load(TALK), SPANS["dialogues"]),

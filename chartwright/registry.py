@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chartwright.functions import programs as programs_text
+from chartwright.functions import randoms, render
 from chartwright.functions import text as X
 from chartwright.functions.grammar import HOLE, Grammar, load, stages
 from chartwright.grammars import EXPRESSIONS, FLAGS, FUNNEL, GRAMMARS, LINES, SESSION, TALK
@@ -287,6 +289,39 @@ def line_repairs(spark, sf_dir):
     return pylines.repaired_lines(part, load(LINES), grams, 1, 0, 1).select("line_id", F.col("dist").cast("long").alias("dist"), "fixed")
 
 
+def session_ngram_rank(spark, sf_dir):
+    """The two best repairs of each session by distance and the cost of its runs of four types."""
+    grams = scoring.ngrams(sessions(spark, sf_dir).select("tokens"))
+    found = ranking.searched(session_repairs(spark, sf_dir, 100).select("sid", "dist", "repair"), ["sid"], 2, scoring.ngram_scorer(grams))
+    return found.select("sid", F.col("rank").cast("long").alias("rank"), F.array_join("repair", " ").alias("repair"), "score")
+
+
+def event_draws(spark, sf_dir):
+    """A number below 1000 and a mixed one for each event, from its id."""
+    e = table(spark, sf_dir, "events").select("event_id", randoms.mixed(F.col("event_id")).alias("mixed"))
+    return e.select("event_id", "mixed", randoms.below(F.col("mixed"), 1000).alias("drawn"))
+
+
+def part_programs(spark, sf_dir):
+    """A program for each part, laid out."""
+    n = F.col("p_size").cast("string")
+    source = F.concat(F.lit("fun f0 ( ipt : W ^ 3 ) -> W ^ 2 { scr [ 0 ] = ipt [ "), n, F.lit(" ] + scr [ 1 ] ; whl scr [ 0 ] { ife x { opt [ "), n, F.lit(" ] = 1 } { hlt } } }"))
+    return table(spark, sf_dir, "part").select("p_partkey", programs_text.program_text(source).alias("program"))
+
+
+def event_invariance(spark, sf_dir):
+    """Events by whether their type may stand for a recovery."""
+    e = table(spark, sf_dir, "events").select(F.lit("Recover").alias("sym"), F.col("event_type").alias("tok"))
+    unit = spark.createDataFrame(list(load(SESSION).unit), "sym string, tok string")
+    return ranking.invariant(e, unit, "sym", "tok").groupBy("tok").agg(F.count("*").alias("n"))
+
+
+def session_lists(spark, sf_dir):
+    """Each session's repairs as an HTML list."""
+    found = session_repairs(spark, sf_dir).select("sid", "rank", F.array_join("repair", " <> ").alias("text"))
+    return render.html_list(found, ["sid"], "rank", "text")
+
+
 CODES = ["and", "de", "der", "la", "of", "the"]
 
 
@@ -369,7 +404,7 @@ def typed_expressions(spark, sf_dir):
     return typed.expressions(values, fns, members, subtypes, 6).withColumn("len", F.col("len").cast("long"))
 
 
-_QUERIES = [session_accept, session_tree_count, session_active_cells, session_trees, session_segments, session_scenarios, session_fragments, session_led, session_repairs_topk, session_complete_holes, session_suffixes, session_plans, session_samples, order_flag_accept, order_chart_joins, dialogue_accept, tag_balance, token_ngrams4, ngram_cost, automaton_cost, prefix_sums, edit_distance, edit_signature_dedup, fair_merge, grammar_stats, grammar_adjacency, session_backs, session_distributions, session_bounds, session_distances, session_subtrees, session_leaves, session_reach, session_alignment, session_display, session_dispatch, line_repairs, document_codes, page_text, name_prefixes, order_line_errors, event_latest, event_pauses, matrix_square, rasp_histogram, rasp_ends, funnel_stubs, typed_expressions]
+_QUERIES = [session_accept, session_tree_count, session_active_cells, session_trees, session_segments, session_scenarios, session_fragments, session_led, session_repairs_topk, session_complete_holes, session_suffixes, session_plans, session_samples, order_flag_accept, order_chart_joins, dialogue_accept, tag_balance, token_ngrams4, ngram_cost, automaton_cost, prefix_sums, edit_distance, edit_signature_dedup, fair_merge, grammar_stats, grammar_adjacency, session_backs, session_distributions, session_bounds, session_distances, session_subtrees, session_leaves, session_reach, session_alignment, session_display, session_dispatch, line_repairs, session_ngram_rank, event_draws, part_programs, event_invariance, session_lists, document_codes, page_text, name_prefixes, order_line_errors, event_latest, event_pauses, matrix_square, rasp_histogram, rasp_ends, funnel_stubs, typed_expressions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,11 +11,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartwright.functions.grammar import Grammar, load, load_normal
+from chartwright.functions.grammar import START, Grammar, load, load_normal
 from chartwright.functions.text import tokenise
 from chartwright.operators.scoring import Automaton
 
-_CACHE: dict[tuple, Grammar] = {}
+_CACHE: dict[tuple, tuple[Grammar, str]] = {}
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
@@ -28,15 +28,19 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("tokens", tokenise(F.col("sentence"))).where(F.size("tokens") > 0)
 
 
-def grammar(text: str, epsilons: bool = False, stubs: bool = True) -> tuple[Grammar | None, str]:
-    """The normal form of a document's grammar, kept by text and flags, and a message; no grammar if the text is wrong."""
+#: What a wrong text gives: a grammar that derives nothing.
+NOTHING = Grammar((), (), (), (START,))
+
+
+def grammar(text: str, epsilons: bool = False, stubs: bool = True) -> tuple[Grammar, str]:
+    """The normal form of a document's grammar, kept by text and flags, and a message; a grammar that derives nothing if the text is wrong or has no rule."""
     key = (text, epsilons, stubs)
     if key not in _CACHE:
         try:
-            _CACHE[key] = load(text, epsilons, stubs)
-        except ValueError as e:
-            return None, str(e)
-    return _CACHE[key], ""
+            _CACHE[key] = (load(text, epsilons, stubs), "")
+        except (ValueError, KeyError) as e:
+            _CACHE[key] = (NOTHING, str(e))
+    return _CACHE[key]
 
 
 def normal_file(spark: SparkSession, path: str) -> Grammar:

@@ -36,3 +36,18 @@ def serve(prompts: DataFrame, grammar: Grammar, sink: Callable[[DataFrame, int],
 def settled(prompts: DataFrame, gap: str = "300 milliseconds", late: str = "1 minute") -> DataFrame:
     """One row for each pause in an editor's typing: the last line before a gap."""
     return prompts.withWatermark("ts", late).groupBy("editor", F.session_window("ts", gap).alias("w")).agg(F.max_by("line", F.struct("ts", "line")).alias("line"))
+
+
+def poster(url: str, timeout: float = 30.0) -> Callable[[DataFrame, int], None]:
+    """A sink for serve(): each partition of a batch's repairs is posted as one body of JSON lines, from where it is."""
+
+    def post(rows) -> None:
+        import json
+        import urllib.request
+
+        body = "\n".join(json.dumps(r.asDict(recursive=True), default=str) for r in rows)
+        if body:
+            request = urllib.request.Request(url, body.encode(), {"Content-Type": "application/x-ndjson"})
+            urllib.request.urlopen(request, timeout=timeout).close()
+
+    return lambda df, _: df.foreachPartition(post)

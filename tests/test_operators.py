@@ -169,7 +169,8 @@ def test_grammar_documents(spark, tmp_path):
     assert [r.tokens for r in got] == [["a", "b"], ["a", "_"]]
     with pytest.raises(ValueError):
         readers.documents(spark, "../x")
-    assert readers.grammar("A B -> c")[0] is None
+    wrong, why = readers.grammar("A B -> c")
+    assert why and readers.grammar("A B -> c")[0] is wrong and not parsing.accept(sentences(spark, ["c"]), wrong).first().accepted
 
 
 def test_queries_equal_their_sql_on_the_smallest_tables(spark):
@@ -238,3 +239,63 @@ def test_stream_of_prompts(spark, tmp_path):
     seen = []
     prompts.serve(stream, load("START -> a b"), lambda df, n: seen.extend(df.collect()), str(tmp_path / "cp")).awaitTermination(60)
     assert [(r.line, r.dist, r.repair) for r in seen] == [("a c", 1, ["a", "b"])]
+
+
+def test_programs_and_rendering(spark):
+    from chartwright.functions import programs, render
+
+    text = "fun f0 ( ipt : W ^ 2 ) -> W ^ 1 { ife ipt [ 0 ] { scr [ 3 ] = 1 ; opt [ 7 ] = ipt [ 5 ] * scr [ 3 ] } { hlt } ; whl x { hlt } }"
+    want = "fun f0(ipt: W ^ 2) -> W ^ 1 {\n    ife ipt[0] {\n        scr[3] = 1;\n        opt[0] = ipt[1] * scr[3]\n    } {\n        hlt\n    };\n    whl x {\n        hlt\n    }\n}"
+    df = spark.createDataFrame([(text,), ("fun f0 ( ipt : W ^ 2 ) -> W ^ 1 { ipt [ 0 ] = 1 }",), ("fun f0 ( ipt : W ^ 2 ) -> W ^ 1 { hlt",), (None,)], "s string")
+    assert [r.t for r in df.select(programs.program_text("s").alias("t")).collect()] == [want, None, None, None]
+    assert render.latex_rules(load("START -> a_b | START c")).count(r"\mid") == 1 and r"a\_b" in render.latex_rules(load("START -> a_b"))
+    cells = parsing.cells(sentences(spark, ["a b"]), load("START -> a b"))
+    assert render.latex_chart(cells, ["sid"]).first().latex == "F.a & START \\\\\n & F.b"
+    row = spark.createDataFrame([("<a & 'b'>",)], "t string").select(render.html(F.col("t")).alias("h")).first()
+    assert row.h == "&lt;a &amp; &#39;b&#39;&gt;"
+
+
+def test_weighted_frontier():
+    from chartwright.functions import chart as C
+
+    t = C.Tables(load("START -> a | b | START START"))
+    chart = C.line_chart(t, ["_"] * 6)
+    auto = scoring.Automaton(0, 0, 10, {(0, "a"): (0, 0), (0, "b"): (0, 50_000)}, {0: 0})
+    got = repairing.frontier(t, chart, 6, 8, 4, automaton=auto, seed=3)
+    assert got and got == repairing.frontier(t, chart, 6, 8, 4, automaton=auto, seed=3) and all(len(s) == 6 and set(s) <= {"a", "b"} for s in got)
+    assert sum(s.count("a") for s in got) > sum(s.count("b") for s in got)
+    assert repairing.parent_weight(None, 3, 10) == 0 and repairing.parent_weight(0, 100, 10) == 65_535 and repairing.parent_weight(10**9, 1, 10) == 1
+    assert set(repairing.frontier(t, chart, 6, 10**6, 10**6, seed=1)) == set(chart.best(0, 6, t.ids["START"], 10**6))
+
+
+def test_reranked_by_weights(spark):
+    model = scoring.BagModel({"embedding": np.array([[1.0, 0], [0, 1]]), "output": np.array([1.0, -1]), "bias": np.array([0.5])}, ["a", "b"])
+    found = spark.createDataFrame([(1, 0, ["b"]), (1, 1, ["a"])], "sid int, dist int, repair array<string>")
+    got = {r.repair[0]: (r["rank"], r.reranked) for r in ranking.searched(found, ["sid"], 5, model=model, vocabulary={"a", "b"}).collect()}
+    assert got == {"b": (1, 2), "a": (2, 1)}
+
+
+def test_posted_repairs(spark, tmp_path):
+    import http.server
+    import json
+    import threading
+
+    from chartwright.streaming import prompts
+
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.extend(self.rfile.read(int(self.headers["Content-Length"])).decode().split("\n"))
+            self.send_response(204)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    df = spark.createDataFrame([(1, "a c")], "editor int, line string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    prompts.poster(f"http://127.0.0.1:{server.server_port}/")(prompts.answered(df, load("START -> a b")), 0)
+    server.shutdown()
+    assert [json.loads(x)["repair"] for x in seen] == [["a", "b"]]
