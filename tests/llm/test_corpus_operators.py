@@ -8,6 +8,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from chartwright.llm import decontaminate, language, neardup, packing, scoring
 
@@ -65,6 +67,34 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, leaf, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(words(s, 60, 9000)) for s in (1, 2, 3))
+    rows = [(7, a), (7, b), (9, b), (9, a + " more"), (3, c), (3, c), (3, c.upper()), (4, None), (4, None), (None, c), (None, c)]
+    got = sorted((str(r.doc_id), r.component_id, r.kept) for r in neardup.classes(docs(spark, rows)).collect())
+    assert got == sorted([("7", 7, True)] * 2 + [("9", 7, False)] * 2 + [("3", 3, True)] * 3 + [("4", 4, True)] * 2 + [("None", None, True)] * 2)
+    extra = docs(spark, rows).withColumn("h", F.lit(1)).withColumn("digest", F.lit("d")).withColumn("component_id", F.lit(0))
+    kept = neardup.deduplicated(extra)
+    assert kept.columns == extra.columns
+    assert sorted((str(r.doc_id), (r.text or "").lower()) for r in kept.collect()) == sorted([("7", a), ("7", b), ("3", c), ("4", ""), ("4", ""), ("None", c), ("None", c)])
+
+
+def test_large_groups_through_pivots(spark, monkeypatch):
+    for name, value in (("LEAF", 12), ("BLOCK", 10), ("PIVOTS", 3)):
+        monkeypatch.setattr(neardup, name, value)
+    rows = []
+    for g in range(3):  # a tight group, a looser one, and one that drifts
+        stem = words(g, 150, 5000)
+        for k in range(40):
+            w, rng = list(stem), random.Random(1000 * g + k)
+            for _ in range([1, 4, 0][g]):
+                w[rng.randrange(len(w))] = f"n{rng.random()}"
+            if g == 2:
+                w = w[2 * k : 2 * k + 70]
+            rows.append((g * 100 + k, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.classes(docs(spark, rows)).collect()}
+    assert got == classes(rows)
+
+
 def test_no_documents(spark):
     none = docs(spark, [])
     assert neardup.classes(none).count() == 0 and scoring.score(none, none).count() == 0
@@ -100,6 +130,34 @@ def test_language_of_mixed_texts(spark):
     assert kept.columns == ["doc_id", "text", "lang", "score", "spans"] and sorted(r.doc_id for r in kept.collect()) == [1, 4]
 
 
+def test_word_scores_against_the_definition(spark):
+    rows = [(1, "the house the", "en"), (2, "und haus", "de"), (3, "дом и", "ru"), (4, None, "en"), (5, "x", None)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en", "ru"]
+
+    def grams(word):
+        w = f"^{word}$"
+        return [w[i : i + n] for n in range(2, language.GRAM + 1) for i in range(len(w) - n + 1)]
+
+    of = {x: [g for _, t, lang in rows if lang == x and t for w in t.split() for g in grams(w)] for x in model.languages}
+    alike = lambda a, b: np.array_equal(*(language.grams([x])[0] for x in (a, b)))
+    assert not alike("the", "haus")
+    for word, kind in (("house", 1), ("дом", 3), ("zzz", 1)):
+        p = np.array([[math.log((of[x].count(g) + 0.5) / (len(of[x]) + 0.5 * language.BUCKETS)) for x in model.languages] for g in grams(word)])
+        want = (p - p.mean(axis=1, keepdims=True)).sum(axis=0) / (language.GRAM - 1)
+        want[[kind not in ([1] if x != "ru" else [3]) for x in model.languages]] = -20
+        assert np.allclose(model.words([word])[0], want, atol=1e-4)
+
+
+def test_letters_ties_and_many_languages(spark):
+    assert [language.letters(x) for x in ("½²①", "Straße,", "1a²b", "Σίσυφος")] == ["", "straße", "ab", "σίσυφος"]
+    rows = [(i, "aa bb cc", f"l{i % 3}") for i in range(9)] + [(100 + i, chr(0x4E00 + i) * 3, f"x{i:03}") for i in range(200)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    test = spark.createDataFrame([(1, "aa bb"), (2, "½²①"), (3, chr(0x4E00 + 150) * 3), (4, ""), (None, "aa")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(test, model, ["doc_id"]).collect()}
+    assert got[1][0] == "l0" and got[2] == ("und", 0) and got[3][0] == "x150" and got[4] == ("und", 0) and got[None][0] == "l0"
+
+
 def test_held_out_language(spark):
     found = language.op3_language(spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in found) >= 0.95 * len(found) > 0
@@ -256,17 +314,26 @@ def test_packing_is_exact(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    texts = [(i, " ".join(words(i, 5 + 37 * (i % 23)))) for i in range(80)] + [(100, None), (101, ""), (102, " ".join(words(1, 5000)) + "\té\n x"), (3, "again")]
-    got = packing.pack(docs(spark, texts), packing.tokenizer_path()).toPandas()
-    want = sorted(zlib.crc32(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4").tobytes()) for i, t in texts if len(t or "") < 10_000)
-    whole = got[got.length == got.doc_tokens]
-    assert set(want) >= set(whole.ids_crc32) and len(whole) >= 60
-    long = np.array([*tok.encode(texts[82][1], add_special_tokens=False).ids, 2], dtype="<u4")
-    for r in got[got.doc_id == 102].itertuples():
-        assert zlib.crc32(long[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    rng = random.Random(4)
+    pool = "aAbBjJhHtTwWyY \t\nΣσςİıK'’.,-_()09½²ªº\u0331\u0323\u030c\u0308\u1dcd\xa0\x85\x1c<|>éÉßẞ&%$#한中カ"
+    odd = ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 40))) for _ in range(400)] + ["J\u030c", "H\u0331 T\u0308", "<|endoftext|> A<|startoftext|>B", "<|ENDOFTEXT|>", "don't I'LL 'tis we've,'", "\"It's\" ..."]
+    texts = [(i, " ".join(words(i, 5 + 37 * (i % 23)))) for i in range(80)] + [(100, None), (101, ""), (102, " ".join(words(1, 5000)) + "\té\n x"), (3, "again"), (None, "no id")] + [(1000 + i, t) for i, t in enumerate(odd)]
+    clash = docs(spark, texts).withColumn("length", F.lit("x")).withColumn("sequence_id", F.lit(0))
+    got = packing.pack(clash, packing.tokenizer_path()).toPandas()
+    ids = {}
+    for d, t in texts:
+        ids.setdefault(d, []).append([*tok.encode(t or "", add_special_tokens=False).ids, 2])
+    crc = lambda x: zlib.crc32(np.array(x, dtype="<u4").tobytes())
+    pieces = lambda d, x: [(d, s, len(x[s : s + packing.LENGTH]), crc(x[s : s + packing.LENGTH]), len(x)) for s in range(0, len(x), packing.LENGTH)]
+    want = sorted((p for d, xs in ids.items() for x in xs for p in pieces(-1 if d is None else d, x)))
+    assert sorted(zip(got.doc_id.fillna(-1).astype(int), got.start, got.length, got.ids_crc32, got.doc_tokens, strict=True)) == want
     for _, s in got.sort_values("offset").groupby("sequence_id"):
         assert list(s.offset) == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= packing.LENGTH
-    assert got.groupby("doc_id").length.sum()[102] == len(long)
+
+
+def test_inverse_without_a_library():
+    m = np.random.default_rng(2).integers(0, 9, (40, 40)).astype(float) + np.eye(40) * 3
+    assert np.allclose(packing.inverted(m) @ m, np.eye(40), atol=1e-8)
 
 
 def test_knapsack_and_plan():
@@ -285,6 +352,12 @@ def test_knapsack_and_plan():
     assert sequences <= packing.patterns(demand.astype(float))[1].sum() * 1.02 + 8  # the linear program's optimum bounds any plan from below
 
 
+def test_pipeline_of_nothing(spark, tmp_path):
+    docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     rows = near_copies()[:12] + [(500, "!!! 123"), (501, None), (502, " ".join(words(77, 80))), (503, "my password=abcdefghijkl0123 " + " ".join(words(78, 60, 9000)))]
     docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))

@@ -158,3 +158,129 @@ def test_quotes(spark):
 def test_spans_at_ends(spark):
     got = spark.createDataFrame([("aéa",), (None,)], "t string").select(S.find(F.col("t"), "a", 0).alias("s")).collect()
     assert [(x.start, x.end) for x in got[0].s] == [(0, 1), (2, 3)] and not got[1].s
+
+
+def test_damaged_archives(spark, tmp_path):
+    import gzip
+
+    def record(url, body, length=None):
+        return f"{url} 1.2.3.4 20010203040506 text/html {length or len(body)}\n".encode() + body + b"\n"
+
+    head = b"filedesc://a 0.0.0.0 20010203 text/plain 11\n1 0 x\nline\n\n"
+    good = b"HTTP/1.1 200 OK\r\nX-Record-Key: 7\r\n\r\nhello"
+    data = head + record("http://a/", good) + b"not a head at all\n" + record("http://b/ c", b"x") + b"http://c/ 1.2.3.4 2001x text/html 3\nabc\n" + "http://d/ 1.2.3.4 20010203 text/ä 2\n".encode("latin-1") + b"yz\n" + record("http://e/", b"cut", 999)
+    got = [(r["url"], r["payload"]) for _, r in archives.parse_arc(data)]
+    assert got == [("http://a/", b"hello"), ("http://b/ c", b"x"), ("http://d/", b"yz")]
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "one.arc").write_bytes(data)
+    whole = gzip.compress(head + record("http://f/", b"first"))
+    bad = bytearray(gzip.compress(record("http://g/", b"second")))
+    bad[15] ^= 0xFF
+    (tmp_path / "arc" / "two.arc.gz").write_bytes(whole + bytes(bad) + gzip.compress(record("http://h/", b"third")))
+    found = {r.url for r in archives.read_arc(spark, f"file://{tmp_path}/arc").collect()}
+    assert {"http://a/", "http://b/ c", "http://d/", "http://f/", "http://h/"} <= found
+    skipped = [(r.archive, r.reason) for r in archives.skipped_arc(spark, f"file://{tmp_path}/arc").collect()]
+    assert sorted(x for a, x in skipped if a == "one.arc") == ["no head", "no head", "record cut short"] and any("gzip" in x for a, x in skipped if a == "two.arc.gz")
+    assert archives.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc").count() >= 5
+
+
+def test_long_texts_of_many_matches(spark):
+    import time
+
+    n = 20_000
+    text = "a@b.cd +1 (736) 555-2678 deadbeefdeadbeef " * n
+    blob = "".join(chr(97 + (i * 7919 >> 3) % 26) + str(i % 10) + chr(65 + i * 31 % 26) for i in range(40_000))
+    df = spark.createDataFrame([(1, text), (2, blob)], "doc_id long, text string")
+    began = time.time()
+    row = df.where("doc_id = 1").select(F.size(privacy.base_spans(F.col("text"))).alias("n"), F.size(secrets.base_spans(F.col("text"))).alias("k"), privacy.clean_text(F.col("text"), privacy.base_spans(F.col("text"))).alias("t")).first()
+    assert (row.n, row.k) == (2 * n, n) and row.t == "[EMAIL] [PHONE] deadbeefdeadbeef " * n
+    (span,) = df.where("doc_id = 2").select(secrets.entropy_spans(F.col("text"), 1).alias("s")).first().s
+    assert span.start < 100 and span.end > len(blob) - 100
+    assert time.time() - began < 120  # seconds where the work is linear, hours where each match copies those before
+
+
+def test_columns_that_clash(spark):
+    rows = [(1, "my password=abcdefghijkl0123 ok", "a", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __base string, __spans string")
+    assert [tuple(r) for r in secrets.redacted(df).collect()] == [(1, "my [SECRET] ok", "a", "b")]
+    try:
+        secrets.with_secrets(df.withColumnRenamed("__base", "secret_base"))
+    except ValueError as e:
+        assert "secret_base" in str(e)
+    else:
+        raise AssertionError("a column was overwritten")
+    mail = spark.createDataFrame([(1, "q@x.org", 5, "h", "b")], "doc_id long, text string, row long, h string, base string")
+    assert [(r.doc_id, len(r.base)) for r in privacy.sanitised(mail).collect()] == [(1, 1)]
+
+
+def disclosing(rows, share):
+    """Terms told of each row, straight from the definition."""
+    from math import log2
+
+    pattern = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"]
+    held, words, all_words = [], [], []
+    for _, t in rows:
+        spans = [m.span() for m in re.finditer(pattern[0], t or "")]
+        held.append({(t or "")[a:e].lower() for a, e in spans})
+        near = {m[0].lower() for m in re.finditer(r"[^\W_]{3,}", t or "") if not any(a <= m.end() and m.start() <= e for a, e in spans)}
+        words.append(near)
+        all_words.append({m[0].lower() for m in re.finditer(r"[^\W_]{3,}", t or "")})
+    n, told = len(rows), [set() for _ in rows]
+    for e in set().union(*held):
+        docs = [i for i in range(n) if e in held[i]]
+        if len(docs) == n:
+            continue
+        for w in set().union(*(words[i] for i in docs)):
+            n_t, n_et = sum(w in x for x in all_words), sum(w in words[i] for i in docs)
+            if log2(n * n_et / (len(docs) * max(n_t, n_et))) >= share * log2(n / len(docs)) - 1e-9:
+                for i in docs:
+                    if w in words[i]:
+                        told[i].add(w)
+    return told
+
+
+def test_disclosure_against_the_definition(spark):
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"term{i}" for i in range(40)]
+    people = [(f"p{i}@x.org", [f"name{i}", f"firm{i % 3}"]) for i in range(8)]
+    rows = []
+    for i in range(120):
+        ws = rng.choices(vocabulary, k=12)
+        for mail, names in rng.sample(people, rng.choice([0, 0, 0, 1, 2])):
+            ws += [mail] + (names if rng.random() < 0.9 else [])
+        rng.shuffle(ws)
+        rows.append((i, " ".join(ws)))
+    rows += [(200, "only@once.org unique words here"), (201, None), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for share in (0.9, 0.5):
+        got = sorted((r.doc_id, tuple(sorted({s.text for s in r.added}))) for r in privacy.sanitised(df, share).collect())
+        assert got == sorted((d, tuple(sorted(t))) for (d, _), t in zip(rows, disclosing(rows, share), strict=True))
+
+
+def test_likeness_estimates_shared_paragraphs(spark):
+    rows = []
+    for k, changed in enumerate((0, 10, 50, 100)):
+        for j in range(6):
+            a = [f"Line {k} {j} {i}." for i in range(100)]
+            b = a[changed:] + [f"Other {k} {j} {i}." for i in range(changed)]
+            rows.append((1 - changed / 100, "\n".join(a), "\n".join(b)))
+    sums = fingerprints.with_fingerprints(spark.createDataFrame(rows, "want double, a string, b string"), ["a", "b"])
+    for r in sums.select("want", fingerprints.likeness(F.col("a_sums"), F.col("b_sums")).alias("got")).collect():
+        assert abs(r.got - r.want) < 0.3 and (r.want < 1 or r.got == 1)
+    mean = sums.groupBy("want").agg(F.avg(fingerprints.likeness(F.col("a_sums"), F.col("b_sums"))).alias("m")).collect()
+    assert all(abs(r.m - r.want) < 0.12 for r in mean)
+
+
+def test_replies_across_ranges(spark):
+    turns = [(c, t, f"turn {c} {t}") for c in (1, 2, 3) for t in range(0, 40, 1 + c)] + [(9, 0, "alone"), (None, 1, "x"), (None, 2, "y")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, text string")
+    got = {(r.conv_id, r.turn): (r.one, r.two) for r in quotations.with_previous(df).collect()}
+    by = {}
+    for c, t, x in turns:
+        by.setdefault(c, []).append((t, x))
+    for c, xs in by.items():
+        xs.sort()
+        for i, (t, _) in enumerate(xs):
+            assert got[c, t] == (xs[i - 1][1] if i else None, xs[i - 2][1] if i > 1 else None)
