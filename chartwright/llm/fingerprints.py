@@ -123,3 +123,15 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = prints.select(F.col("doc_id").alias("at_doc_id"), F.col("h").alias("at_h"), F.col("text_sums").alias("next_sums")).dropDuplicates(["at_doc_id", "at_h"])
     found = prints.join(after, prints["next_doc_id"].eqNullSafe(after["at_doc_id"]) & (prints["next_h"] == after["at_h"]))
     return found.select("doc_id", "n_chars", "edited_sha256", to_text(F.col("text_sums")).alias("fingerprint"), to_text(F.col("edited_sums")).alias("edited_fingerprint"), likeness(F.col("text_sums"), F.col("edited_sums")).alias("near_edited"), likeness(F.col("text_sums"), F.col("next_sums")).alias("near_next"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5_fingerprints that SQL can express: lengths and the edited texts' hashes."""
+    return op5_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) AS k, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS x FROM d)
+SELECT doc_id, k AS n_chars, sha256(left(t, k - k // 4) || left(x, k // 4)) AS edited_sha256 FROM n
+"""

@@ -143,3 +143,26 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.col("base")
     everything = S.ordered(F.concat("base", "added"), "kind", "start")
     return found.select("doc_id", *(S.count(base, i).alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(S.joined(base, names), 256).alias("base_sha256"), S.joined(everything, names).alias("spans"))
+
+
+def pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8_pii that SQL can express: counts and digest of the personal data by pattern."""
+    found = read(spark, sf_dir, "documents").select("doc_id", base_spans(F.coalesce("text", F.lit(""))).alias("base"))
+    base = F.col("base")
+    return found.select("doc_id", *(S.count(base, i).alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(S.joined(base, KINDS), 256).alias("base_sha256"))
+
+
+_FIND = """SELECT doc_id, {kind} AS kind, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda h: length(h))), 0) AS INT) AS start, hits[i] AS hit
+ FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS hits FROM d), unnest(range(1, len(hits) + 1)) AS u(i)"""
+_PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+PII_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS MATERIALIZED ({" UNION ALL ".join(_FIND.format(kind=i, pattern=p) for i, p in enumerate(_PATTERNS))}),
+g AS (SELECT *, regexp_replace(hit, '[^0-9]', '', 'g') AS ds FROM f),
+k AS (SELECT doc_id, kind, start, start + length(hit) AS stop FROM g WHERE kind = 0
+  OR kind = 1 AND len(list_filter(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || right(x, 3) AS INT) > 255)) = 0
+  OR kind = 2 AND length(ds) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(ds) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(ds[-i] AS INT) WHEN CAST(ds[-i] AS INT) > 4 THEN 2 * CAST(ds[-i] AS INT) - 9 ELSE 2 * CAST(ds[-i] AS INT) END)) % 10 = 0
+  OR kind = 3 AND length(ds) BETWEEN 8 AND 15),
+s AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(KINDS))}, string_agg({KINDS}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY kind, start) AS b FROM k GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(b, '')) AS base_sha256 FROM d LEFT JOIN s USING (doc_id)
+"""

@@ -404,3 +404,19 @@ def op6_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = scored(docs, docs.select("text", (crc_bucket(F.col("doc_id"), 5) != 1).alias("learn"), F.lit(True).alias("score")))
     return found.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6_scoring that SQL can express: its counts and base score, to 6 places."""
+    return op6_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+#: crc32 of a text in SQL: eight shifts for each byte.
+CRC = "xor(list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda ch: ascii(ch)), lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"
+WORD_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {CRC.format(text="CAST(doc_id AS VARCHAR)")} % 5 = 1 AS held_out, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') || [''] AS w FROM documents),
+each AS MATERIALIZED (SELECT doc_id, held_out, unnest(w) AS w FROM d),
+c AS MATERIALIZED (SELECT w, count(*) AS c FROM each WHERE NOT held_out GROUP BY w), t AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(n AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 6) AS base_score
+FROM each LEFT JOIN c USING (w), t GROUP BY doc_id, held_out, n
+"""
