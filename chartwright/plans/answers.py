@@ -36,6 +36,10 @@ SELECT l.sid, CAST(l.q AS BIGINT) AS q, CAST(r.q2 AS BIGINT) AS q2, a AS nt, CAS
   CAST(coalesce(sum(l.n * r.n) OVER (PARTITION BY l.sid, l.q, r.q2, a ORDER BY l.q2, CASE b WHEN 'START' THEN '' ELSE b END, CASE c WHEN 'START' THEN '' ELSE c END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS VARCHAR) AS before
 FROM chart l JOIN chart r ON l.sid = r.sid AND l.q2 = r.q JOIN bin ON b = l.nt AND c = r.nt""",
         "session_leaves": session + "\nSELECT s.sid, string_agg(t.tok, ' ' ORDER BY t.q) AS leaves, s.len AS root_end FROM sentences s JOIN chart k ON k.sid = s.sid AND k.q = 0 AND k.q2 = s.len AND k.nt = 'START' JOIN tok t ON t.sid = s.sid GROUP BY s.sid, s.len",
+        "session_tree_nodes": session.replace("WITH ", "WITH RECURSIVE ", 1) + """, picks AS MATERIALIZED (SELECT * FROM (SELECT l.sid, l.q, r.q2, a, l.q2 AS m, b, c, row_number() OVER (PARTITION BY l.sid, l.q, r.q2, a ORDER BY l.q2, b, c) AS k FROM chart l JOIN chart r ON l.sid = r.sid AND l.q2 = r.q JOIN bin ON b = l.nt AND c = r.nt) WHERE k = 1),
+nodes(sid, q, q2, nt) AS (SELECT s.sid, 0, CAST(s.len AS INT), 'START' FROM sentences s JOIN chart k ON k.sid = s.sid AND k.q = 0 AND k.q2 = s.len AND k.nt = 'START'
+  UNION ALL SELECT n.sid, CASE side WHEN 0 THEN p.q ELSE p.m END, CASE side WHEN 0 THEN p.m ELSE p.q2 END, CASE side WHEN 0 THEN p.b ELSE p.c END FROM nodes n JOIN picks p ON p.sid = n.sid AND p.q = n.q AND p.q2 = n.q2 AND p.a = n.nt, (VALUES (0), (1)) AS _(side))
+SELECT n.sid, CASE WHEN n.q2 = n.q + 1 THEN t.tok ELSE n.nt END AS label, CAST(n.q AS BIGINT) AS lo, CAST(n.q2 AS BIGINT) AS hi FROM nodes n JOIN tok t ON t.sid = n.sid AND t.q = n.q WHERE n.q2 = n.q + 1 OR NOT contains(n.nt, '.')""",
         "session_reach": oracle.said_ctes() + "\nSELECT sid, n * (n + 1) // 2 AS n_pairs, (n + 1) * n * (n - 1) // 6 AS n_between FROM said",
         "session_subtrees": funnel + TOPS + "\nSELECT sid, q AS lo, q2 AS hi, label FROM tops",
         "session_segments": funnel + TOPS + """, marks AS (SELECT t.sid, t.q AS i, max(o.q) AS m FROM tok t JOIN sentences s ON s.sid = t.sid LEFT JOIN tops o ON o.sid = t.sid AND o.q <= t.q AND t.q < o.q2 AND (o.q2 - o.q > 1 OR s.len = 1) GROUP BY ALL),

@@ -246,6 +246,11 @@ def session_leaves(spark, sf_dir):
     return leaves.join(nodes.where("parent IS NULL").select("sid", F.col("hi").cast("long").alias("root_end")), "sid")
 
 
+def session_tree_nodes(spark, sf_dir):
+    """The nodes of one tree of each accepted session."""
+    return parsing.tree_nodes(sessions(spark, sf_dir).select("sid", "tokens"), load(SESSION)).select("sid", "label", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+
+
 def session_reach(spark, sf_dir):
     """Pairs of states with a path, and states between them, of each session's line automaton."""
     pairs = relational.reach(relational.line_arcs(sessions(spark, sf_dir).select("sid", "tokens")).select("sid", "q", "q2"))
@@ -404,7 +409,7 @@ def typed_expressions(spark, sf_dir):
     return typed.expressions(values, fns, members, subtypes, 6).withColumn("len", F.col("len").cast("long"))
 
 
-_QUERIES = [session_accept, session_tree_count, session_active_cells, session_trees, session_segments, session_scenarios, session_fragments, session_led, session_repairs_topk, session_complete_holes, session_suffixes, session_plans, session_samples, order_flag_accept, order_chart_joins, dialogue_accept, tag_balance, token_ngrams4, ngram_cost, automaton_cost, prefix_sums, edit_distance, edit_signature_dedup, fair_merge, grammar_stats, grammar_adjacency, session_backs, session_distributions, session_bounds, session_distances, session_subtrees, session_leaves, session_reach, session_alignment, session_display, session_dispatch, line_repairs, session_ngram_rank, event_draws, part_programs, event_invariance, session_lists, document_codes, page_text, name_prefixes, order_line_errors, event_latest, event_pauses, matrix_square, rasp_histogram, rasp_ends, funnel_stubs, typed_expressions]
+_QUERIES = [session_accept, session_tree_count, session_active_cells, session_trees, session_segments, session_scenarios, session_fragments, session_led, session_repairs_topk, session_complete_holes, session_suffixes, session_plans, session_samples, order_flag_accept, order_chart_joins, dialogue_accept, tag_balance, token_ngrams4, ngram_cost, automaton_cost, prefix_sums, edit_distance, edit_signature_dedup, fair_merge, grammar_stats, grammar_adjacency, session_backs, session_distributions, session_bounds, session_distances, session_subtrees, session_leaves, session_tree_nodes, session_reach, session_alignment, session_display, session_dispatch, line_repairs, session_ngram_rank, event_draws, part_programs, event_invariance, session_lists, document_codes, page_text, name_prefixes, order_line_errors, event_latest, event_pauses, matrix_square, rasp_histogram, rasp_ends, funnel_stubs, typed_expressions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
