@@ -18,6 +18,8 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 #: Rows up to which the smaller side of joined() is broadcast.
 BROADCAST = 200_000
+#: Edges up to which components are united in one task.
+LOCAL = 200_000
 #: Keys with at least this share of the rows are the frequent ones: 1 / OFTEN keys at most.
 OFTEN = 1e-5
 
@@ -137,28 +139,48 @@ def crc_bucket(doc_id: Column, buckets: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(buckets)), F.lit(0)).cast("int")
 
 
+def _united(edges: DataFrame) -> DataFrame:
+    """connected_components() of few edges, in one task."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for b in batches:
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                x, y = root(up.setdefault(x, x)), root(up.setdefault(y, y))
+                up[max(x, y)] = min(x, y)
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([root(x) for x in list(up)], pa.int64())], ["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(go, "node long, component long")
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Rows (node, component) of an undirected graph given as rows (a, b) of longs; component is the smallest node reachable.
 
-    Alternates star contractions: each node's neighbours are linked to the smallest of them, which
-    halves distances, so the rounds grow with the logarithm of the longest path. Neighbour minima are
-    aggregates that combine before the shuffle. They meet the edges by broadcast while there are few; beyond
-    they are written first, so that the edges of a node with very many links meet its minimum in a plain
-    join, which adaptive execution splits. Each round is written. An empty input gives no rows.
+    Up to LOCAL edges are united in one task. Beyond, star contractions alternate: each node's
+    neighbours are linked to the smallest of them, which halves distances, so the rounds grow with the
+    logarithm of the longest path. Neighbour minima are aggregates that combine before the shuffle; they
+    are written, as each round is, so that the edges of a node with very many links meet its minimum in a
+    plain join, which adaptive execution splits. An empty input gives no rows.
     """
     digest = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     known = digest(edges)
+    if known["n"] <= LOCAL:
+        return staged(_united(edges), "united")
     for _ in range(rounds):
-        few = known["n"] <= BROADCAST // 2  # an edge has two nodes
-        side = F.broadcast if few else lambda d: staged(d, "minima")
         # each node's larger neighbours go to the smallest of its neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = side(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = large if few else staged(large, "large")
+        least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = staged(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
         # each node's smaller neighbours, and itself, go to the smallest of them
-        down = side(large.groupBy("a").agg(F.min("b").alias("m")))
+        down = staged(large.groupBy("a").agg(F.min("b").alias("m")), "down")
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         edges = staged(small, "edges")
         before, known = known, digest(edges)
@@ -167,4 +189,4 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return roots.unionByName(edges.select(F.col("a").alias("node"), F.col("b").alias("component")))
+    return staged(roots.unionByName(edges.select(F.col("a").alias("node"), F.col("b").alias("component"))), "components")

@@ -303,13 +303,13 @@ def candidates(recs: DataFrame) -> DataFrame:
     tokens = recs.select("id", "tokens")
     found, level = None, started(tokens)
     for depth in range(DEPTH):
-        level = staged(level.distinct(), "level")
+        level = staged(level, "level")
         sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")).where("n > 1")
         sizes = staged(sizes, "sizes")
         leaves = staged(sizes.where(F.col("n") <= LEAF).groupBy("n", "members").agg(F.min("node").alias("node")).select("node"), "leaves")  # leaves of equal members once
         part = compared(joined(level, leaves, "node").withColumn("side", F.lit(0)).join(tokens, "id"), ["node"])
         found = part if found is None else found.unionByName(part)
-        big = staged(sizes.where(F.col("n") > LEAF).select("node", _cuts("n", LEAF).alias("blocks")), "large")
+        big = sizes.where(F.col("n") > LEAF).select("node", _cuts("n", LEAF).alias("blocks"))
         if big.isEmpty():
             break
         members = with_pivots(joined(level, big, "node", most=FEW), "node")
@@ -414,7 +414,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     groups = staged(forest.join(recs.select("id", "doc_id", "n", "digest", "tokens"), "id"), "groups")
     kept = joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), groups.select("doc_id"), "doc_id", "left_semi").join(groups.select("doc_id", "id", "digest", "tokens"), "doc_id")
     texts = staged(kept.withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("doc_id", "h"), "texts")
-    found = staged(connected_components(links(groups, texts)).select(F.col("node").alias("id"), "component"), "classes")
+    found = connected_components(links(groups, texts)).select(F.col("node").alias("id"), "component")
     least = staged(found.join(recs.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     named = recs.select("id", "digest", "doc_id", "copies").join(joined(found, least, "component").select("id", "component_id"), "id", "left")
     # sets that one document alone has need no join; the most frequent ones are broadcast, 1 / OFTEN at most

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chartwright.llm import decontaminate, language, neardup, packing, scoring
+from chartwright.llm import common, decontaminate, language, neardup, packing, scoring
 
 
 def docs(spark, rows):
@@ -55,6 +55,15 @@ def classes(rows):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
+@pytest.mark.parametrize("local", [200_000, 3])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(common, "LOCAL", local)
+    edges = [(1, 2), (2, 3), (3, 1), (7, 7), (9, 5), (5, 9), *((i, i + 1) for i in range(20, 40)), *((100, i) for i in range(101, 130))]
+    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 5: 5, 9: 5, **{i: 20 for i in range(20, 41)}, **{i: 100 for i in range(100, 130)}}
+    assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("leaf,block", [(1500, 1000), (3, 4)])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, leaf, block):
     monkeypatch.setattr(neardup, "LEAF", leaf)
