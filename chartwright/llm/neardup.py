@@ -14,9 +14,9 @@ is at least 0.85 (100 * intersection >= 85 * union), and a class is a connected
 3. In each leaf, all records are compared by their minwise tokens, and a spanning forest leaves it of the
    pairs that may be linked (share of equal tokens at least LOOSE, 4.7 standard deviations below).
 4. A larger node's records are compared with PIVOTS of them. Those that agree with one in CORE of the
-   tokens are connected through it and need not be compared with each other. As Jaccard distances obey
-   the triangle inequality, only records that agree with the pivot in BAND at least can be linked with
-   one of these; they are compared in blocks. All that are no pivot's core branch on to the next level.
+   tokens are in one candidate group with it and need not be compared with each other here. As Jaccard
+   distances obey the triangle inequality, only records that agree with the pivot in BAND at least can be
+   linked with one of these (two standard deviations allowed for each); they are compared in blocks. All that are no pivot's core branch on to the next level.
    What is left of a large node after DEPTH levels is compared in blocks.
 5. The forest's components are candidate groups. Records of a group come together with their full sets
    (made anew from the texts) and are compared exactly, except pairs that are connected already. In a
@@ -45,8 +45,8 @@ from pyspark.sql import functions as F
 from chartwright.llm.common import OFTEN, connected_components, give_back, joined, read, slices, small_batches, staged, whole_groups
 
 WORDS, SIMILAR = 5, 85
-COORDS, TREES, DEPTH, LEAF = 128, 16, 4, 1500
-LOOSE, CORE, BAND, PIVOTS = 0.70, 0.94, 0.61, 8
+COORDS, TREES, DEPTH, LEAF = 128, 16, 4, 600
+LOOSE, CORE, BAND, PIVOTS = 0.70, 0.85, 0.55, 8
 #: Records of a block in the exact comparison, and bytes of their sets.
 BLOCK, BLOCK_BYTES = 1000, 8 << 20
 #: Bytes of texts hashed at once; records held at once for groups to be compared by tokens, by texts.
