@@ -13,11 +13,13 @@ is at least 0.85 (100 * intersection >= 85 * union), and a class is a connected
    other path connects them.
 3. In each leaf, all records are compared by their minwise tokens, and a spanning forest leaves it of the
    pairs that may be linked (share of equal tokens at least LOOSE, 4.7 standard deviations below).
-4. A larger node's records are compared with PIVOTS of them. Those that agree with one in CORE of the
-   tokens are in one candidate group with it and need not be compared with each other here. As Jaccard
-   distances obey the triangle inequality, only records that agree with the pivot in BAND at least can be
-   linked with one of these (two standard deviations allowed for each); they are compared in blocks. All that are no pivot's core branch on to the next level.
-   What is left of a large node after DEPTH levels is compared in blocks.
+4. A larger node's records are compared with PIVOTS of them. Those that may be linked with a pivot are in
+   one candidate group with it and need not be compared with each other here: what group a record is in
+   is all that the next step wants. As Jaccard distances obey the triangle inequality, a record outside
+   that is linked with one inside agrees with its pivot in BAND at least, and in no more than MARGIN less
+   than that one does (both leave two standard deviations for each estimate). Only such pairs are
+   compared, in blocks. Records that no pivot takes branch on to the next level, and what is left of a
+   large node after DEPTH levels is compared in blocks.
 5. The forest's components are candidate groups. Records of a group come together with their full sets
    (made anew from the texts) and are compared exactly, except pairs that are connected already. In a
    group of over BLOCK records all are compared exactly with PIVOTS of them; those outside the largest
@@ -46,7 +48,9 @@ from chartwright.llm.common import OFTEN, connected_components, give_back, joine
 
 WORDS, SIMILAR = 5, 85
 COORDS, TREES, DEPTH, LEAF = 128, 16, 4, 600
-LOOSE, CORE, BAND, PIVOTS = 0.70, 0.85, 0.55, 8
+LOOSE, BAND, MARGIN, PIVOTS = 0.70, 0.46, 0.27, 8
+#: Equal tokens of a bucket in which records near a pivot are kept.
+BUCKET = 8
 #: Records of a block in the exact comparison, and bytes of their sets.
 BLOCK, BLOCK_BYTES = 1000, 8 << 20
 #: Bytes of texts hashed at once; records held at once for groups to be compared by tokens, by texts.
@@ -207,26 +211,27 @@ def compared(rows: DataFrame, keys: list[str]) -> DataFrame:
     return dealt.mapInArrow(go, "a long, b long")
 
 
-PEELED = "kind int, id long, node long, cluster long, other long"
+PEELED = "kind int, id long, node long, pivot long, other long"
 EDGE, INSIDE, NEAR, CHILD, REST = range(5)
 
 
 def peeled(rows: DataFrame, branch: bool) -> DataFrame:
     """What becomes of rows (node, block, side, id, tokens) of large nodes, side 0 being the pivots.
 
-    Rows (PEELED) by kind: EDGE (id and other, a pivot, may be linked), INSIDE (a record of a pivot's
-    core), NEAR (a record outside that may be linked with one inside), CHILD (a record that is in no core,
-    and its next node), or REST instead of CHILD unless branch. A cluster is of pivots in each other's cores.
+    Rows (PEELED) by kind: EDGE (id and other, a pivot, may be linked), INSIDE (a record that its best
+    pivot takes; other: how many tokens they share), NEAR (a record that may be linked with one that the
+    pivot takes; other: likewise), CHILD (a record that no pivot takes; node: its next one), or REST
+    instead of CHILD unless branch.
     """
-    least, core, band = (int(np.ceil(x * COORDS)) for x in (LOOSE, CORE, BAND))
+    least, band = int(np.ceil(LOOSE * COORDS)), int(np.ceil(BAND * COORDS))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in whole_groups(batches, ["node", "block"], HELD):
             all_ids, sides, nodes, every = t.column("id").to_numpy(), t.column("side").to_numpy(), t.column("node").to_numpy(), matrix(t.column("tokens"))
             out: list[list[np.ndarray]] = [[] for _ in range(5)]
 
-            def add(kind: int, ids: np.ndarray, node: np.ndarray | int, cluster: np.ndarray | int, other: np.ndarray | int, out: list = out) -> None:
-                for column, x in zip(out, (kind, ids, node, cluster, other), strict=True):
+            def add(kind: int, ids: np.ndarray, node: np.ndarray | int, pivot: np.ndarray | int, other: np.ndarray | int, out: list = out) -> None:
+                for column, x in zip(out, (kind, ids, node, pivot, other), strict=True):
                     column.append(np.broadcast_to(np.asarray(x, dtype=np.int64), len(ids)))
 
             for a, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -235,24 +240,23 @@ def peeled(rows: DataFrame, branch: bool) -> DataFrame:
                 of, tokens = every[a:k], every[k:e]
                 among = (of[:, None, :] == of[None, :, :]).sum(axis=2)
                 forest = Forest(len(pivots))
-                for i, j in zip(*np.nonzero(np.triu(among >= core, 1)), strict=True):
-                    forest.join(int(i), int(j))
-                label = np.array([forest.root(i) for i in range(len(pivots))])
                 for i, j in zip(*np.nonzero(np.triu(among >= least, 1)), strict=True):
+                    forest.join(int(i), int(j))
                     add(EDGE, pivots[i : i + 1], node, 0, pivots[j])
+                label = np.array([forest.root(i) for i in range(len(pivots))])
                 same = np.stack([(tokens == p).sum(axis=1) for p in of], axis=1)
-                inside = (same >= core).any(axis=1)
-                own = np.where(inside, label[(same >= core).argmax(axis=1)], -1)
+                best = same.argmax(axis=1)
+                inside = same[np.arange(len(ids)), best] >= least
+                mine = inside & ~np.isin(ids, pivots)
+                add(INSIDE, ids[mine], node, pivots[best[mine]], same[mine, best[mine]])
                 for c in np.unique(label):
-                    mine = np.flatnonzero(label == c)
-                    best = mine[same[:, mine].argmax(axis=1)]
-                    most = same[np.arange(len(ids)), best]
-                    near = most >= least
-                    add(EDGE, ids[near], node, 0, pivots[best[near]])
-                    a_core = (own == c) & ~np.isin(ids, pivots)
-                    add(INSIDE, ids[a_core], node, pivots[c], 0)
-                    by = (own != c) & (most >= band)
-                    add(NEAR, ids[by], node, pivots[c], 0)
+                    group = np.flatnonzero(label == c)
+                    first = group[same[:, group].argmax(axis=1)]
+                    known = same[np.arange(len(ids)), first] >= least
+                    add(EDGE, ids[known], node, 0, pivots[first[known]])
+                    for p in group:
+                        by = ~known & (same[:, p] >= band)
+                        add(NEAR, ids[by], node, pivots[p], same[by, p])
                 left = np.flatnonzero(~inside)
                 if not branch:
                     add(REST, ids[left], node, 0, 0)
@@ -314,10 +318,12 @@ def candidates(recs: DataFrame) -> DataFrame:
             break
         members = with_pivots(joined(level, big, "node", most=FEW), "node")
         of = staged(peeled(members.join(tokens, "id"), depth < DEPTH - 1), "peeled")
-        keyed = of.where(F.col("kind").isin(INSIDE, NEAR))
-        edge = across(keyed.where(F.col("kind") == NEAR), keyed.where(F.col("kind") == INSIDE), ["node", "cluster"], LEAF)
+        taken = of.where(F.col("kind") == INSIDE).select("node", "pivot", "id", F.expr(f"other div {BUCKET}").cast("int").alias("bucket"))
+        reach = F.sequence(F.lit(int(LOOSE * COORDS) // BUCKET), F.least(F.expr(f"(other + {int(np.ceil(MARGIN * COORDS))}) div {BUCKET}").cast("int"), F.lit(COORDS // BUCKET)))
+        near = of.where(F.col("kind") == NEAR).select("node", "pivot", "id", F.explode(reach).alias("bucket"))
+        edge = across(near, taken, ["node", "pivot", "bucket"], LEAF)
         found = found.unionByName(of.where(F.col("kind") == EDGE).select(F.col("id").alias("a"), F.col("other").alias("b")))
-        found = found.unionByName(compared(edge.join(tokens, "id"), ["node", "cluster", "lcut", "rcut"]))
+        found = found.unionByName(compared(edge.join(tokens, "id"), ["node", "pivot", "bucket", "lcut", "rcut"]))
         if depth == DEPTH - 1:
             rest = of.where(F.col("kind") == REST).select("node", "id")
             found = found.unionByName(compared(across(rest, rest, ["node"], LEAF).join(tokens, "id"), ["node", "lcut", "rcut"]))
