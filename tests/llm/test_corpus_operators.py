@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chartwright.llm import common, decontaminate, language, neardup, packing, scoring
+from chartwright.llm import common, decontaminate, fingerprints, language, neardup, packing, quotations, scoring
 
 
 def docs(spark, rows):
@@ -384,3 +384,22 @@ def test_pipeline_stages(spark, tmp_path):
     text = at.where("doc_id = 503").first()
     assert text.text.startswith("my [SECRET] ") and text.n_chars == len(text.text)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[3]
+
+
+def test_very_long_texts_nulls_and_clashing_columns(spark):
+    long = "word " * 300_000
+    rows = [(1, long), (2, long + "x"), (None, "a"), (3, ""), (4, None)]
+    extra = ["h", "row", "digest", "component_id", "base", "spans", "lang_pred", "score", "sequence_id", "m", "w", "sh", "item_id"]
+    df = docs(spark, rows).select("*", *(F.lit("clash").alias(c) for c in extra))
+    assert {(r.doc_id, r.lang_pred) for r in language.predict(df, language.fit(df), ["doc_id"]).collect()} == {(1, "x"), (2, "x"), (None, "x"), (3, "und"), (4, "und")}
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in neardup.classes(df).collect()} == {(1, 1, 1), (2, 2, 2), (None, 1, None), (3, 0, 3), (4, 0, 4)}
+    assert {(r.doc_id, r.n_tokens, r.n_known) for r in scoring.score(df, df).collect()} == {(1, 300_001, 300_001), (2, 300_002, 300_002), (None, 2, 2), (3, 1, 1), (4, 1, 1)}
+    items = spark.createDataFrame([(7, "Word word, word WORD word word", "clash")], "item_id long, text string, h string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, items).collect()} == {(1, 7), (2, 7)}
+    left = decontaminate.decontaminated(df, items)
+    assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {None, 3, 4}
+    assert packing.pack(df, packing.tokenizer_path()).groupBy("doc_id").agg(F.sum("length").alias("n")).where("doc_id = 1").first().n == 300_001
+    talk = spark.createDataFrame([(1, 0, long.strip()), (1, 1, "> " + long.strip() + "\nyes"), (1, 2, None)], "conv_id long, turn long, text string").select("*", F.lit("clash").alias("message"), F.lit(0).alias("depth"))
+    assert {(r.turn, r.parent_turn, r.depth) for r in quotations.conversations(talk).collect()} == {(0, None, 0), (1, 0, 1), (2, None, 0)}
+    sums = fingerprints.with_fingerprints(df.select("doc_id", "text"), ["text"])
+    assert sums.where("doc_id = 1").first().text_sums[-1] == 1

@@ -299,3 +299,21 @@ def test_posted_repairs(spark, tmp_path):
     prompts.poster(f"http://127.0.0.1:{server.server_port}/")(prompts.answered(df, load("START -> a b")), 0)
     server.shutdown()
     assert [json.loads(x)["repair"] for x in seen] == [["a", "b"]]
+
+
+def test_cells_merged_and_distributions(spark):
+    cells = spark.createDataFrame([(1, 0, 1, "A", False, 2), (1, 0, 1, "A", True, 0), (1, 1, 2, "B", True, 0)], "sid int, q int, q2 int, nt string, has_bin boolean, lit int")
+    assert {tuple(r) for r in relational.merged(cells, ["sid", "q", "q2", "nt"]).collect()} == {(1, 0, 1, "A", True, 2), (1, 1, 2, "B", True, 0)}
+    g = load("START -> START START | a | b c")
+    s = sentences(spark, ["a a b c a", "_ _ _ _"])
+    rows = relational.distributions(relational.chart(s, g, 5), g).collect()
+    start = list(g.nonterminals).index("START")
+    total = {}
+    for r in rows:
+        total.setdefault((r.sid, r.q, r.q2, r.nt), []).append((r.before, r["size"]))
+    sizes = {r.sid: int(r.n_trees) for r in parsing.tree_counts(s, g).collect()}
+    for (sid, q, q2, nt), each in total.items():
+        each.sort()
+        assert [b for b, _ in each] == list(np.cumsum([0, *(n for _, n in each)])[:-1])
+        if (q, q2, nt) == (0, len("a a b c a".split()) if sid == 0 else 4, start):
+            assert sum(n for _, n in each) == sizes[sid]
