@@ -32,4 +32,18 @@ Value -> NAME | NUMBER | STRING | Call | Value + Value | Value - Value | ( Value
 Call -> NAME ( ) | NAME ( Arguments )
 Arguments -> Value | Value , Arguments
 """
+#: The worked example of the notation.
+IF = """
+ S -> X
+ X -> I | F | P
+ P -> I O I
+ F -> IF | BF
+IF -> if B then I else I
+BF -> if B then B else B
+ O -> + | - | * | /
+ I -> 1 | 2 | 3 | 4 | IF
+ N -> !
+ B -> true | false | B BO B | ( B ) | BF | N B
+BO -> and | or
+"""
 GRAMMARS = {"session": SESSION, "funnel": FUNNEL, "flags": FLAGS, "talk": TALK, "expressions": EXPRESSIONS}

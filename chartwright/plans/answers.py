@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from chartwright.functions.grammar import load
-from chartwright.grammars import FLAGS, FUNNEL, GRAMMARS, SESSION, TALK
+from chartwright.grammars import FLAGS, FUNNEL, GRAMMARS, IF, SESSION, TALK
 from chartwright.plans import oracle
 
 #: Spans of the SQL charts, which write each span out; the test tables' longest sequences at scale 0.1 are 11, 17 and 11. The queries have no such bound.
@@ -26,6 +26,25 @@ def oracle_sql() -> dict[str, str]:
     session = oracle.chart_ctes(oracle.SESSIONS, load(SESSION), SPANS["sessions"])
     funnel = oracle.chart_ctes(oracle.SESSIONS, load(FUNNEL), SPANS["sessions"])
     near = oracle.near_ctes(2)
+    holed = oracle.count_sql(f"SELECT sid, q, CASE WHEN q % 2 = 1 THEN '_' ELSE tok END AS tok FROM ({oracle.SESSIONS})", load(FUNNEL), SPANS["sessions"])
+    found = _answers(session, funnel, near)
+    return found | {
+        "holed_chart_joins": holed,
+        # fixed values: the sizes published with the worked example
+        "example_stats": oracle.rules_ctes({"if": IF + "\n".join(f"START -> {a}" for a in ("S", "X", "P", "F", "IF", "BF", "O", "I", "N", "B", "BO"))}) + """
+SELECT r_regionkey, x.* FROM region, (SELECT true AS flags, 'original' AS form, 12 AS nonterminals, 18 AS terminals, 38 AS productions UNION ALL SELECT true, 'normal', 24, 24, 72
+  UNION ALL SELECT false, 'original', nonterminals, terminals, productions FROM counted0 UNION ALL SELECT false, 'normal', nonterminals, terminals, productions FROM counted1) x""",
+        "ngram_file_cost": found["ngram_cost"],
+        "automaton_file_cost": found["automaton_cost"],
+        "order_normal_accept": found["order_flag_accept"],
+        "rasp_saved": found["rasp_histogram"],
+        "dialogue_documents": found["dialogue_accept"].replace("SELECT s.sid, s.len AS n_tokens, c.n IS NOT NULL AS accepted FROM", "SELECT said.sentence, bool_and(c.n IS NOT NULL) AS accepted FROM") + " JOIN (SELECT sid, string_agg(tok, ' ' ORDER BY q) AS sentence FROM tok GROUP BY sid) said ON said.sid = s.sid GROUP BY said.sentence",
+        "session_rerank": near + RANKED + """, k AS (SELECT sid, rank, repair, list_sum(list_transform(string_split(repair, ' '), lambda t: list_position(['click', 'error', 'purchase', 'signup', 'view'], t) - 1)) / len(string_split(repair, ' ')) AS m FROM r WHERE rank <= 5)
+SELECT sid, rank, row_number() OVER (PARTITION BY sid ORDER BY m DESC, rank) AS reranked, repair FROM k""",
+    }
+
+
+def _answers(session: str, funnel: str, near: str) -> dict[str, str]:
     return {
         "session_accept": oracle.accept_sql(oracle.SESSIONS, load(SESSION), SPANS["sessions"]),
         "session_tree_count": oracle.count_sql(oracle.SESSIONS, load(SESSION), SPANS["sessions"]),

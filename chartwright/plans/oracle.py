@@ -21,7 +21,7 @@ def chart_ctes(tokens_sql: str, g: Grammar, max_span: int) -> str:
     """WITH clause whose last table, chart, has (sid, q, q2, nt, n); sentences has (sid, len)."""
     out = [f"tok AS MATERIALIZED ({tokens_sql})", "sentences AS MATERIALIZED (SELECT sid, count(*) AS len FROM tok GROUP BY sid)"]
     out += [f"bin AS (SELECT * FROM {values(list(g.binary), 'a, b, c')})", f"unit AS (SELECT * FROM {values(list(g.unit), 'a, t')})"]
-    out.append("s1 AS MATERIALIZED (SELECT sid, q, q + 1 AS q2, a AS nt, CAST(1 AS HUGEINT) AS n FROM tok JOIN unit ON tok = t)")
+    out.append("s1 AS MATERIALIZED (SELECT sid, q, q + 1 AS q2, a AS nt, CAST(count(*) AS HUGEINT) AS n FROM tok JOIN unit ON tok = t OR tok = '_' GROUP BY ALL)")
     for k in range(2, max_span + 1):
         pairs = " UNION ALL ".join(f"SELECT l.sid, l.q, r.q2, l.nt AS b, r.nt AS c, l.n * r.n AS n FROM s{i} l JOIN s{k - i} r ON l.sid = r.sid AND l.q2 = r.q" for i in range(1, k))
         out.append(f"s{k} AS MATERIALIZED (SELECT sid, q, q2, a AS nt, CAST(sum(n) AS HUGEINT) AS n FROM ({pairs}) p JOIN bin USING (b, c) GROUP BY ALL)")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
+import json
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,10 +17,12 @@ from chartwright.functions import programs as programs_text
 from chartwright.functions import randoms, render
 from chartwright.functions import text as X
 from chartwright.functions.grammar import HOLE, Grammar, load, stages
-from chartwright.grammars import EXPRESSIONS, FLAGS, FUNNEL, GRAMMARS, LINES, SESSION, TALK
+from chartwright.grammars import EXPRESSIONS, FLAGS, FUNNEL, GRAMMARS, IF, LINES, SESSION, TALK
 from chartwright.operators import dispatch, machines, parsing, pylines, ranking, repairing, scoring, typed
 from chartwright.plans import answers, relational
 from chartwright.plans.oracle import KINDS
+from chartwright.plans.shared import shared_dir
+from chartwright.sources import readers
 from chartwright.streaming import prompts
 
 __all__ = ["EXPRESSIONS", "FUNNEL", "LINES", "SESSION", "oracle_sql", "queries"]
@@ -327,6 +334,81 @@ def session_lists(spark, sf_dir):
     return render.html_list(found, ["sid"], "rank", "text")
 
 
+def holed_chart_joins(spark, sf_dir):
+    """Derivations of all ways to fill a session's holes, by the relational closure."""
+    sent, g = holed(sessions(spark, sf_dir)), load(FUNNEL)
+    longest = sent.agg(F.max(F.size("tokens"))).first()[0] or 1
+    return relational.roots(relational.chart(sent, g, longest), sent, g).select("sid", F.col("n_trees").cast("string").alias("n_trees"))
+
+
+def example_stats(spark, sf_dir):
+    """Sizes of the worked example's forms with both flags, and with none, for each region."""
+    rows = [(flags, *r) for flags in (True, False) for r in stages(IF, flags, flags)]
+    made = spark.createDataFrame(rows, "flags boolean, form string, nonterminals long, terminals long, productions long")
+    return table(spark, sf_dir, "region").select("r_regionkey").crossJoin(F.broadcast(made))  # four rows
+
+
+def written(df: DataFrame, name: str) -> str:
+    """A column of lines as text files in the shared folder; their path."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.text(path)
+    return path
+
+
+def ngram_file_cost(spark, sf_dir):
+    """ngram_cost with the counts written as an n-gram file and read back."""
+    sent = sessions(spark, sf_dir).select("sid", "tokens")
+    lines = scoring.ngrams(sent).select(F.concat_ws(" ::: ", F.array_join("g", " "), F.col("n").cast("string")).alias("value"))
+    return scoring.ngram_scores(sent, readers.ngram_file(spark, written(lines, "ngrams")), ["sid"])
+
+
+def automaton_file_cost(spark, sf_dir):
+    """automaton_cost with the automaton packed, embedded as text, written and read back."""
+    packed = base64.b64encode(gzip.compress(readers.pack_automaton(scoring.bigram_automaton(sessions(spark, sf_dir).select("tokens"))))).decode()
+    path = written(spark.createDataFrame([(packed,)], "value string"), "automaton")
+    auto = readers.unpack_automaton(readers.embedded(spark.read.text(path).first()[0]))
+    return scoring.automaton_scores(session_repairs(spark, sf_dir), auto).select("sid", "rank", "dist", F.array_join("repair", " ").alias("repair"), "score")
+
+
+def order_normal_accept(spark, sf_dir):
+    """order_flag_accept with the grammar's normal form written and read as it is."""
+    g = load(FLAGS)
+    lines = [f"{a} -> {b} {c}" for a, b, c in g.binary] + [f"{a} -> {t}" for a, t in g.unit]
+    path = written(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1), "normal")
+    return parsing.accept(orders(spark, sf_dir), readers.normal_file(spark, path)).select("sid", F.size("tokens").cast("long").alias("n_tokens"), "accepted")
+
+
+def dialogue_documents(spark, sf_dir):
+    """Whether each different dialogue is accepted, each written as a document of grammar and sentence, and read back."""
+    lines = dialogues(spark, sf_dir).select(F.array_join("tokens", " ").alias("sentence")).distinct()
+    path = f"{shared_dir(spark)}/dialogues-{uuid.uuid4().hex}"
+    lines.select(F.concat(F.lit(TALK.strip() + "\n---\n"), "sentence").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    found = readers.documents(spark, path)
+    texts = [r[0] for r in found.select("grammar").distinct().limit(2).collect()]
+    grammar, _ = readers.grammar(texts[0] if len(texts) == 1 else "")
+    return parsing.accept(found.select("sentence", "tokens"), grammar).select("sentence", "accepted")
+
+
+def rasp_saved(spark, sf_dir):
+    """rasp_histogram of machines' states that were written and read back."""
+    path = f"{shared_dir(spark)}/machines-{uuid.uuid4().hex}"
+    readers.write_machines(machines.run(programs(spark, sf_dir), 5000), path)
+    return machines.histogram(readers.read_machines(spark, path), 5000, 50)
+
+
+def session_rerank(spark, sf_dir):
+    """Each session's five repairs, ranked anew by a model read from a weights file: the mean of the types' places."""
+    numbers = {"embedding": (np.arange(len(KINDS), dtype="<f4").reshape(-1, 1)), "output": np.ones(1, "<f4"), "bias": np.zeros(1, "<f4")}
+    head, body = {}, b""
+    for name, x in numbers.items():
+        head[name] = {"dtype": "F32", "shape": list(x.shape), "data_offsets": [len(body), len(body) + x.nbytes]}
+        body += x.tobytes()
+    text = json.dumps(head).encode()
+    model = scoring.BagModel(readers.weights(len(text).to_bytes(8, "little") + text + body), KINDS)
+    found = ranking.searched(session_repairs(spark, sf_dir).select("sid", "dist", "repair"), ["sid"], 5, model=model, vocabulary=set(KINDS))
+    return found.select("sid", F.col("rank").cast("long").alias("rank"), F.col("reranked").cast("long").alias("reranked"), F.array_join("repair", " ").alias("repair"))
+
+
 CODES = ["and", "de", "der", "la", "of", "the"]
 
 
@@ -409,7 +491,7 @@ def typed_expressions(spark, sf_dir):
     return typed.expressions(values, fns, members, subtypes, 6).withColumn("len", F.col("len").cast("long"))
 
 
-_QUERIES = [session_accept, session_tree_count, session_active_cells, session_trees, session_segments, session_scenarios, session_fragments, session_led, session_repairs_topk, session_complete_holes, session_suffixes, session_plans, session_samples, order_flag_accept, order_chart_joins, dialogue_accept, tag_balance, token_ngrams4, ngram_cost, automaton_cost, prefix_sums, edit_distance, edit_signature_dedup, fair_merge, grammar_stats, grammar_adjacency, session_backs, session_distributions, session_bounds, session_distances, session_subtrees, session_leaves, session_tree_nodes, session_reach, session_alignment, session_display, session_dispatch, line_repairs, session_ngram_rank, event_draws, part_programs, event_invariance, session_lists, document_codes, page_text, name_prefixes, order_line_errors, event_latest, event_pauses, matrix_square, rasp_histogram, rasp_ends, funnel_stubs, typed_expressions]
+_QUERIES = [session_accept, session_tree_count, session_active_cells, session_trees, session_segments, session_scenarios, session_fragments, session_led, session_repairs_topk, session_complete_holes, session_suffixes, session_plans, session_samples, order_flag_accept, order_chart_joins, dialogue_accept, tag_balance, token_ngrams4, ngram_cost, automaton_cost, prefix_sums, edit_distance, edit_signature_dedup, fair_merge, grammar_stats, grammar_adjacency, session_backs, session_distributions, session_bounds, session_distances, session_subtrees, session_leaves, session_tree_nodes, session_reach, session_alignment, session_display, session_dispatch, line_repairs, session_ngram_rank, event_draws, part_programs, event_invariance, session_lists, holed_chart_joins, example_stats, ngram_file_cost, automaton_file_cost, order_normal_accept, dialogue_documents, rasp_saved, session_rerank, document_codes, page_text, name_prefixes, order_line_errors, event_latest, event_pauses, matrix_square, rasp_histogram, rasp_ends, funnel_stubs, typed_expressions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
