@@ -74,7 +74,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         at = to
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Python workers get at most that many rows at once: whole texts can be long, and Spark counts rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
@@ -121,8 +121,21 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int)
         yield t, bounds(t)
 
 
+def lean() -> None:
+    """Has a Python worker take large blocks from the system and return them as they are freed; workers are used again, and would keep the most that any task of theirs has needed."""
+    import ctypes
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        for option, value in ((-3, 1 << 20), (-1, 4 << 20)):  # blocks from 1 MB on are mapped; up to 4 MB may stay free on top
+            libc.mallopt(option, value)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def give_back() -> None:
-    """Returns a Python worker's free memory to the system; workers are used again, and would keep the most that any task of theirs has needed."""
+    """Returns a Python worker's free memory to the system."""
     import ctypes
     import gc
 

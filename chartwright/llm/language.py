@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chartwright.llm.common import crc_bucket, give_back, read, slices, small_batches, staged
+from chartwright.llm.common import crc_bucket, give_back, lean, read, slices, small_batches, staged
 
 SAMPLE, PARTS, BUCKETS, GRAM, SWITCH = 1500, 64, 1 << 16, 4, 6.0
 #: Words whose scores a task keeps at hand; bytes of texts that are labelled at once.
-KNOWN, SLICE = 100_000, 1 << 20
+KNOWN, SLICE = 60_000, 768 << 10
 #: First code points of scripts' ranges, and the scripts (0 other, 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian, 5 Hebrew, 6 Arabic, 7 Indic, 8 Thai and Lao, 9 Tibetan to Georgian, 10 Hangul, 11 Kana, 12 Han).
 RANGE_STARTS = np.array([0, 0x41, 0x250, 0x370, 0x400, 0x530, 0x590, 0x600, 0x780, 0x900, 0xE00, 0xF00, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00])
 SCRIPTS = 13
@@ -113,6 +113,7 @@ def counted(rows: DataFrame) -> DataFrame:
     """Rows (lang, at, n): n-grams by bucket, and words by script, at -1 - script."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         counts: dict[str, np.ndarray] = {}
         for b in batches:
             for part in slices(b, "text", SLICE):
@@ -178,6 +179,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], column: str = "text"
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", {PREDICTION}"
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         number: dict[str, int] = {}
         table = np.zeros((0, len(langs)), dtype=np.float32)
         sizes = np.zeros(0, dtype=np.int64)

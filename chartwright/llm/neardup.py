@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartwright.llm.common import OFTEN, connected_components, give_back, joined, read, slices, small_batches, staged, whole_groups
+from chartwright.llm.common import OFTEN, connected_components, give_back, joined, lean, read, slices, small_batches, staged, whole_groups
 
 WORDS, SIMILAR = 5, 85
 COORDS, TREES, DEPTH, LEAF = 128, 16, 4, 600
@@ -54,7 +54,7 @@ BUCKET = 8
 #: Records of a block in the exact comparison, and bytes of their sets.
 BLOCK, BLOCK_BYTES = 1000, 8 << 20
 #: Bytes of texts hashed at once; records held at once for groups to be compared by tokens, by texts.
-SLICE, HELD, HELD_TEXTS = 1 << 20, 4000, 500
+SLICE, HELD, HELD_TEXTS = 512 << 10, 4000, 500
 #: Entries of pivots up to which nodes are broadcast.
 FEW = 20_000
 
@@ -125,6 +125,7 @@ def records(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in (part for whole in batches for part in slices(whole, "text", SLICE)):
             sets = [shingles(t) for t in b.column("text").to_pylist()]
             digests = [digest(s) if len(s) else None for s in sets]
@@ -194,6 +195,7 @@ def compared(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (a, b): of each group of rows (keys, side, id, tokens) a spanning forest of the pairs that may be linked, only of those across sides if there are two. A group is a leaf, or two blocks of that size."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for t, bounds in whole_groups(batches, keys, HELD):
             ids, sides, tokens = t.column("id").to_numpy(), t.column("side").to_numpy(), matrix(t.column("tokens")).astype(np.uint16)
             sizes = np.diff(bounds)
@@ -226,6 +228,7 @@ def peeled(rows: DataFrame, branch: bool) -> DataFrame:
     least, band = int(np.ceil(LOOSE * COORDS)), int(np.ceil(BAND * COORDS))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for t, bounds in whole_groups(batches, ["node", "block"], HELD):
             all_ids, sides, nodes, every = t.column("id").to_numpy(), t.column("side").to_numpy(), t.column("node").to_numpy(), matrix(t.column("tokens"))
             out: list[list[np.ndarray]] = [[] for _ in range(5)]
@@ -363,6 +366,7 @@ def confirmed(tasks: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
         return out
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for t, bounds in whole_groups(batches, keys, HELD_TEXTS):
             ids, sides, tokens = t.column("id").to_numpy(), t.column("side").to_numpy(), matrix(t.column("tokens")).astype(np.uint16)
             found = []

@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chartwright.llm.common import give_back, read, slices, small_batches, staged
+from chartwright.llm.common import give_back, lean, read, slices, small_batches, staged
 
 LENGTH, UNIT, END = 4096, 16, 2
 #: Shards of a size's rests: one for each SHARD_ROWS, within these bounds.
 SHARDS, MOST_SHARDS, SHARD_ROWS = 64, 1024, 1_000_000
 #: Words of a generation whose ids a task keeps at hand.
-KNOWN = 80_000
+KNOWN = 40_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -44,7 +44,7 @@ BEYOND = re.compile("[\u0300-\U0010ffff]")
 #: ASCII punctuation; a run of it is a token run of its own beside letters, unless it begins a contraction.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Texts' bytes that are encoded at once.
-SLICE = 2 << 20
+SLICE = 512 << 10
 
 
 def _byte_letters() -> list[str]:
@@ -133,6 +133,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         words = WordTokens(path)
         stop = np.array([end], dtype="<u4").tobytes()
         names = [c.split()[0] for c in PIECES.split(", ")]
