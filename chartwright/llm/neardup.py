@@ -322,8 +322,10 @@ def candidates(recs: DataFrame) -> DataFrame:
         members = with_pivots(joined(level, big, "node", most=FEW), "node")
         of = staged(peeled(members.join(tokens, "id"), depth < DEPTH - 1), "peeled")
         taken = of.where(F.col("kind") == INSIDE).select("node", "pivot", "id", F.expr(f"other div {BUCKET}").cast("int").alias("bucket"))
-        reach = F.sequence(F.lit(int(LOOSE * COORDS) // BUCKET), F.least(F.expr(f"(other + {int(np.ceil(MARGIN * COORDS))}) div {BUCKET}").cast("int"), F.lit(COORDS // BUCKET)))
-        near = of.where(F.col("kind") == NEAR).select("node", "pivot", "id", F.explode(reach).alias("bucket"))
+        # a record near a pivot meets only the buckets that the pivot has, and only those within reach
+        have = staged(taken.groupBy("node", "pivot").agg(F.collect_set("bucket").alias("buckets")), "buckets")  # at most COORDS / BUCKET for each
+        some = joined(of.where(F.col("kind") == NEAR).select("node", "pivot", "id", F.expr(f"(other + {int(np.ceil(MARGIN * COORDS))}) div {BUCKET}").alias("most")), have, ["node", "pivot"])
+        near = some.select("node", "pivot", "id", F.explode(F.filter("buckets", lambda x: x <= F.col("most"))).alias("bucket"))
         edge = across(near, taken, ["node", "pivot", "bucket"], LEAF)
         found = found.unionByName(of.where(F.col("kind") == EDGE).select(F.col("id").alias("a"), F.col("other").alias("b")))
         found = found.unionByName(compared(edge.join(tokens, "id"), ["node", "pivot", "bucket", "lcut", "rcut"]))
