@@ -17,9 +17,10 @@ is at least 0.85 (100 * intersection >= 85 * union), and a class is a connected
    one candidate group with it and need not be compared with each other here: what group a record is in
    is all that the next step wants. As Jaccard distances obey the triangle inequality, a record outside
    that is linked with one inside agrees with its pivot in BAND at least, and in no more than MARGIN less
-   than that one does (both leave two standard deviations for each estimate). Only such pairs are
-   compared, in blocks. Records that no pivot takes branch on to the next level, and what is left of a
-   large node after DEPTH levels is compared in blocks.
+   than that one does (both leave two standard deviations for each estimate). All such pairs
+   are compared, in blocks, where the small buckets of a node's pivots are met together. Records that no
+   pivot takes branch on to the next level, and what is left of a large node after DEPTH levels is
+   compared in blocks.
 5. The forest's components are candidate groups. Records of a group come together with their full sets
    (made anew from the texts) and are compared exactly, except pairs that are connected already. In a
    group of over BLOCK records all are compared exactly with PIVOTS of them; those outside the largest
@@ -41,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chartwright.llm.common import OFTEN, connected_components, give_back, joined, lean, read, slices, small_batches, staged, whole_groups
@@ -213,17 +214,18 @@ def compared(rows: DataFrame, keys: list[str]) -> DataFrame:
     return dealt.mapInArrow(go, "a long, b long")
 
 
-PEELED = "kind int, id long, node long, pivot long, other long"
+PEELED = "kind int, id long, node long, pivot long, other long, near array<struct<pivot: long, other: long>>"
 EDGE, INSIDE, NEAR, CHILD, REST = range(5)
 
 
 def peeled(rows: DataFrame, branch: bool) -> DataFrame:
     """What becomes of rows (node, block, side, id, tokens) of large nodes, side 0 being the pivots.
 
-    Rows (PEELED) by kind: EDGE (id and other, a pivot, may be linked), INSIDE (a record that its best
-    pivot takes; other: how many tokens they share), NEAR (a record that may be linked with one that the
-    pivot takes; other: likewise), CHILD (a record that no pivot takes; node: its next one), or REST
-    instead of CHILD unless branch.
+    Rows (PEELED) by kind: EDGE (id and pivot may be linked), INSIDE (a record that its best pivot takes,
+    so that they may be linked; other: how many tokens they share), NEAR (a record that may be linked with
+    ones that pivots take; near: all of those pivots, other: likewise), CHILD (a record that no pivot
+    takes; node: its next one), or REST instead of CHILD unless branch. A record has one row at most of
+    each kind but EDGE and CHILD, and an EDGE only to classes of pivots other than its best one's.
     """
     least, band = int(np.ceil(LOOSE * COORDS)), int(np.ceil(BAND * COORDS))
 
@@ -231,10 +233,11 @@ def peeled(rows: DataFrame, branch: bool) -> DataFrame:
         lean()
         for t, bounds in whole_groups(batches, ["node", "block"], HELD):
             all_ids, sides, nodes, every = t.column("id").to_numpy(), t.column("side").to_numpy(), t.column("node").to_numpy(), matrix(t.column("tokens"))
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            near: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
 
-            def add(kind: int, ids: np.ndarray, node: np.ndarray | int, pivot: np.ndarray | int, other: np.ndarray | int, out: list = out) -> None:
-                for column, x in zip(out, (kind, ids, node, pivot, other), strict=True):
+            def add(kind: int, ids: np.ndarray, node: np.ndarray | int, pivot: np.ndarray | int, other: np.ndarray | int, nears: np.ndarray | int = 0, out: list = out) -> None:
+                for column, x in zip(out, (kind, ids, node, pivot, other, nears), strict=True):
                     column.append(np.broadcast_to(np.asarray(x, dtype=np.int64), len(ids)))
 
             for a, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -245,21 +248,25 @@ def peeled(rows: DataFrame, branch: bool) -> DataFrame:
                 forest = Forest(len(pivots))
                 for i, j in zip(*np.nonzero(np.triu(among >= least, 1)), strict=True):
                     forest.join(int(i), int(j))
-                    add(EDGE, pivots[i : i + 1], node, 0, pivots[j])
+                    add(EDGE, pivots[i : i + 1], node, pivots[j], 0)
                 label = np.array([forest.root(i) for i in range(len(pivots))])
                 same = np.stack([(tokens == p).sum(axis=1) for p in of], axis=1)
                 best = same.argmax(axis=1)
                 inside = same[np.arange(len(ids)), best] >= least
                 mine = inside & ~np.isin(ids, pivots)
                 add(INSIDE, ids[mine], node, pivots[best[mine]], same[mine, best[mine]])
+                reach = same >= band
                 for c in np.unique(label):
                     group = np.flatnonzero(label == c)
                     first = group[same[:, group].argmax(axis=1)]
                     known = same[np.arange(len(ids)), first] >= least
-                    add(EDGE, ids[known], node, 0, pivots[first[known]])
-                    for p in group:
-                        by = ~known & (same[:, p] >= band)
-                        add(NEAR, ids[by], node, pivots[p], same[by, p])
+                    told = known & ~(mine & (first == best))
+                    add(EDGE, ids[told], node, pivots[first[told]], 0)
+                    reach[np.ix_(known, group)] = False
+                by, (record, p) = reach.any(axis=1), np.nonzero(reach)
+                add(NEAR, ids[by], node, 0, 0, reach[by].sum(axis=1))
+                near[0].append(pivots[p])
+                near[1].append(same[record, p])
                 left = np.flatnonzero(~inside)
                 if not branch:
                     add(REST, ids[left], node, 0, 0)
@@ -268,8 +275,10 @@ def peeled(rows: DataFrame, branch: bool) -> DataFrame:
                     record, got = children(tokens[part], np.full((len(part), 1), node, dtype=np.int64).view(np.uint64))
                     add(CHILD, ids[part][record], got.view(np.int64), 0, 0)
             if out[0]:
-                kind, *others = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *map(pa.array, others)], [c.split()[0] for c in PEELED.split(", ")])
+                kind, *others, nears = (np.concatenate(x) for x in out)
+                pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in near], ["pivot", "other"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(nears)).astype(np.int32)), pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *map(pa.array, others), lists], ["kind", "id", "node", "pivot", "other", "near"])
         give_back()
 
     dealt = rows.select("node", "block", "side", "id", "tokens").repartition("node", "block").sortWithinPartitions("node", "block", "side", "id")
@@ -305,6 +314,13 @@ def with_pivots(rows: DataFrame, group: str) -> DataFrame:
     return top.unionByName(rows.select(group, F.pmod(_spot(), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("side"), "id"))
 
 
+def parts(taken: DataFrame, most: int) -> DataFrame:
+    """Rows (node, pivot, bucket, part) for rows (node, pivot, bucket, id): buckets of a node are one part while those before in it have less than `most` records, so that others meet small buckets together, and once."""
+    before = Window.partitionBy("node").orderBy("pivot", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = taken.groupBy("node", "pivot", "bucket").agg(F.count("*").alias("n"))  # PIVOTS * COORDS / BUCKET at most for a node
+    return sizes.select("node", "pivot", "bucket", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / most).cast("int").alias("part"))
+
+
 def candidates(recs: DataFrame) -> DataFrame:
     """Rows (a, b): a spanning forest, for each leaf of the trees, of the records (id, tokens) that may be linked."""
     tokens = recs.select("id", "tokens")
@@ -319,16 +335,19 @@ def candidates(recs: DataFrame) -> DataFrame:
         big = sizes.where(F.col("n") > LEAF).select("node", _cuts("n", LEAF).alias("blocks"))
         if big.isEmpty():
             break
-        members = with_pivots(joined(level, big, "node", most=FEW), "node")
+        members = with_pivots(staged(joined(level, big, "node", most=FEW), "large"), "node")
         of = staged(peeled(members.join(tokens, "id"), depth < DEPTH - 1), "peeled")
         taken = of.where(F.col("kind") == INSIDE).select("node", "pivot", "id", F.expr(f"other div {BUCKET}").cast("int").alias("bucket"))
-        # a record near a pivot meets only the buckets that the pivot has, and only those within reach
-        have = staged(taken.groupBy("node", "pivot").agg(F.collect_set("bucket").alias("buckets")), "buckets")  # at most COORDS / BUCKET for each
-        some = joined(of.where(F.col("kind") == NEAR).select("node", "pivot", "id", F.expr(f"(other + {int(np.ceil(MARGIN * COORDS))}) div {BUCKET}").alias("most")), have, ["node", "pivot"])
-        near = some.select("node", "pivot", "id", F.explode(F.filter("buckets", lambda x: x <= F.col("most"))).alias("bucket"))
-        edge = across(near, taken, ["node", "pivot", "bucket"], LEAF)
-        found = found.unionByName(of.where(F.col("kind") == EDGE).select(F.col("id").alias("a"), F.col("other").alias("b")))
-        found = found.unionByName(compared(edge.join(tokens, "id"), ["node", "pivot", "bucket", "lcut", "rcut"]))
+        # a record near pivots meets only the parts in which they have a bucket within reach, each once
+        shares = staged(parts(taken, LEAF), "parts")
+        have = staged(shares.groupBy("node").agg(F.collect_list(F.struct("pivot", "bucket", "part")).alias("have")), "have")
+        some = joined(of.where(F.col("kind") == NEAR).select("node", "id", "near"), have, "node")
+        meets = f"array_distinct(flatten(transform(near, n -> transform(filter(have, x -> x.pivot = n.pivot AND x.bucket <= (n.other + {int(np.ceil(MARGIN * COORDS))}) div {BUCKET}), x -> x.part))))"
+        near = staged(some.select("node", "id", F.explode(F.expr(meets)).alias("part")), "near")
+        found = found.unionByName(of.where(F.col("kind").isin(EDGE, INSIDE)).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        if not near.isEmpty():
+            edge = across(near, joined(taken, shares, ["node", "pivot", "bucket"]), ["node", "part"], LEAF)
+            found = found.unionByName(compared(edge.join(tokens, "id"), ["node", "part", "lcut", "rcut"]))
         if depth == DEPTH - 1:
             rest = of.where(F.col("kind") == REST).select("node", "id")
             found = found.unionByName(compared(across(rest, rest, ["node"], LEAF).join(tokens, "id"), ["node", "lcut", "rcut"]))

@@ -104,6 +104,37 @@ def test_large_groups_through_pivots(spark, monkeypatch):
     assert got == classes(rows)
 
 
+def test_records_of_a_large_node_once_by_kind(spark):
+    rng = np.random.default_rng(5)
+    least, band, none = math.ceil(neardup.LOOSE * neardup.COORDS), math.ceil(neardup.BAND * neardup.COORDS), 2**32
+
+    def changed(tokens, k):
+        out = tokens.copy()
+        out[rng.choice(neardup.COORDS, k, replace=False)] = rng.integers(0, none, k, dtype=np.uint32)
+        return out
+
+    stem = rng.integers(0, none, neardup.COORDS, dtype=np.uint32)
+    pivots = {i: changed(stem, 45) for i in range(8)}
+    others = {100 + i: changed(stem, 18) for i in range(60)} | {200 + i: changed(pivots[i % 3], 9) for i in range(30)} | {300 + i: changed(stem, 128) for i in range(10)}
+    rows = [(-9, 0, 0, i, t.tobytes()) for i, t in pivots.items()] + [(-9, 0, 1, i, t.tobytes()) for i, t in (pivots | others).items()]
+    got = neardup.peeled(spark.createDataFrame(rows, "node long, block int, side int, id long, tokens binary"), False).collect()
+    same = {(i, p): int((t == of).sum()) for i, t in others.items() for p, of in pivots.items()}
+    assert sum(band <= x < least for x in same.values()) == 60 * 8
+    assert len(got) <= 2 * len(rows)  # not one row for each record and pivot
+    near = {(r.id, n.pivot): n.other for r in got if r.kind == neardup.NEAR and r.id in others for n in r.near}
+    assert near == {k: x for k, x in same.items() if band <= x < least}
+    inside = {(r.id, r.pivot): r.other for r in got if r.kind == neardup.INSIDE}
+    assert inside == {k: x for k, x in same.items() if x >= least} and len(inside) == 30
+    assert {r.id for r in got if r.kind == neardup.REST} == set(others) - {i for i, _ in inside}
+
+
+def test_small_buckets_of_a_node_are_one_part(spark):
+    sizes = {(1, 1): {11: 3, 12: 4}, (1, 2): {14: 9, 15: 2}, (1, 3): {13: 30, 16: 1}, (2, 1): {12: 1}}
+    taken = [(node, pivot, 1000 * b + i, b) for (node, pivot), of in sizes.items() for b, n in of.items() for i in range(n)]
+    got = {(r.node, r.pivot, r.bucket): r.part for r in neardup.parts(spark.createDataFrame(taken, "node long, pivot long, id long, bucket int"), 10).collect()}
+    assert got == {(1, 1, 11): 0, (1, 1, 12): 0, (1, 2, 14): 0, (1, 2, 15): 1, (1, 3, 13): 1, (1, 3, 16): 4, (2, 1, 12): 0}
+
+
 def test_no_documents(spark):
     none = docs(spark, [])
     assert neardup.classes(none).count() == 0 and scoring.score(none, none).count() == 0
